@@ -17,12 +17,12 @@ TUNING_HZ = 440.0
 BAND_COUNT = 81
 
 
-def periodic_hann(size: int) -> np.ndarray:
-    return np.hanning(size + 1)[:-1].astype(np.float32)
+def periodic_hann(size: int, dtype=np.float32) -> np.ndarray:
+    return np.hanning(size + 1)[:-1].astype(dtype)
 
 
-def symmetric_hann(size: int) -> np.ndarray:
-    return np.hanning(size).astype(np.float32)
+def symmetric_hann(size: int, dtype=np.float32) -> np.ndarray:
+    return np.hanning(size).astype(dtype)
 
 
 def log_filterbank(
@@ -80,10 +80,11 @@ def cut_frames(signal: np.ndarray, origin: int, first: int, count: int, hop: int
 
 
 def magnitude(frames: np.ndarray, window: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """Scaled spectrum magnitude in the window's precision."""
     spectrum = np.fft.rfft(frames * window, axis=1)
-    return (np.abs(spectrum) * scale).astype(np.float32)
+    return np.abs(spectrum) * window.dtype.type(scale)
 
 
 def level_db(values: np.ndarray, minimum_db: float) -> np.ndarray:
-    floor = np.float32(10.0 ** (minimum_db / 20.0))
-    return np.maximum(20.0 * np.log10(np.maximum(values, floor)), minimum_db).astype(np.float32)
+    floor = values.dtype.type(10.0 ** (minimum_db / 20.0))
+    return np.maximum(20.0 * np.log10(np.maximum(values, floor)), minimum_db)

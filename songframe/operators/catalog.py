@@ -142,7 +142,12 @@ def select_diverse(
             ["track_id", "genre_top", "artist_id", "draw", "selection_order"]
         ]
 
-    picked = prune_for_draw(candidates, count, seed).groupBy(F.lit(1)).applyInPandas(fold, schema)
+    picked = (
+        prune_for_draw(candidates, count, seed)
+        .withColumn("__all", F.lit(0))
+        .groupBy("__all")
+        .applyInPandas(fold, schema)
+    )
     # The picks are ``count`` rows, whatever the catalog's size.
     return candidates.join(
         F.broadcast(picked.select("track_id", "selection_order")), "track_id"

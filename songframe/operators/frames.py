@@ -18,6 +18,7 @@ from songframe import schemas
 from songframe.functions import exprs as X
 from songframe.functions import signal as S
 from songframe.operators import timeline as TL
+from songframe.operators.ordered import with_previous
 
 # Rows are flushed to Spark once this many float values are waiting.
 FLUSH_VALUES = 1 << 20
@@ -162,10 +163,12 @@ def spectrogram_frames(
     blocks: DataFrame,
     configs: Iterable[SpectrogramConfig] = DEFAULT_CONFIGS,
     decibels: bool = True,
+    precise: bool = False,
 ) -> DataFrame:
     """Level of every STFT frame of every track, for each configuration.
 
     A frame belongs to the block that holds its first sample. Only frames that fit are made.
+    ``precise`` computes in double precision; results are stored in single precision either way.
     """
     configs = tuple(configs)
     for config in configs:
@@ -173,7 +176,8 @@ def spectrogram_frames(
             raise ValueError(f"n_fft above {schemas.CONTEXT_AFTER} needs wider block context")
         if config.window != "hann":
             raise ValueError("only the hann window is available")
-    windows = {c.name: S.periodic_hann(c.n_fft) for c in configs}
+    dtype = np.float64 if precise else np.float32
+    windows = {c.name: S.periodic_hann(c.n_fft, dtype) for c in configs}
 
     def kernel(block: _Block):
         for c in configs:
@@ -212,13 +216,15 @@ def log_band_frames(
     rate: int = S.BAND_RATE,
     low_hz: float = S.BAND_LOW_HZ,
     high_hz: float = S.BAND_HIGH_HZ,
+    precise: bool = False,
 ) -> DataFrame:
     """Log-compressed band energies on a regular grid, one frame centred at every hop.
 
     Frames reach past both ends of the recording, where samples count as zero.
     """
-    window = S.symmetric_hann(frame)
-    filters = S.log_filterbank(frame, rate, low_hz, high_hz)
+    dtype = np.float64 if precise else np.float32
+    window = S.symmetric_hann(frame, dtype)
+    filters = S.log_filterbank(frame, rate, low_hz, high_hz).astype(dtype)
 
     def kernel(block: _Block):
         if block.rate != rate:
@@ -305,12 +311,31 @@ def project_frames(frames: DataFrame, column: str, matrix: np.ndarray, output: s
             values = batch.column(column)
             flat = values.flatten().to_numpy(zero_copy_only=False)
             grid = flat.reshape(batch.num_rows, -1)[:, :bins] if batch.num_rows else np.zeros((0, bins))
-            arrays = [batch.column(f.name) for f in kept] + [_lists(grid.astype(np.float32) @ matrix)]
+            arrays = [batch.column(f.name) for f in kept] + [_lists(grid.astype(np.float64) @ matrix)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [output])
 
     return frames.mapInArrow(run, f"{ddl}, `{output}` array<float>")
 
 
+def onset_from_frames(frames: DataFrame, vector: str = "magnitude_dbfs", run: int = 4_096) -> DataFrame:
+    """Onset strength of stored level frames: the mean positive change from the frame before.
+
+    For frames that are already in a table; ``onset_chroma_frames`` gets it from the audio without
+    moving any spectrum.
+    """
+    keys = ["recording_id", "track", "config"]
+    paired = with_previous(
+        frames.select(*keys, "frame_index", vector), keys, "frame_index",
+        F.floor(F.col("frame_index") / F.lit(run)), {"__previous": vector},
+    )
+    change = F.zip_with(vector, "__previous", lambda a, b: F.greatest((a - b).cast("double"), F.lit(0.0)))
+    total = F.aggregate(change, F.lit(0.0), lambda acc, x: acc + x)
+    return paired.select(
+        *keys, "frame_index",
+        F.when(F.col("__previous").isNull(), F.lit(0.0)).otherwise(total / F.size(vector)).alias("onset"),
+    )
+
+
 def framed(vector: str | Column, size: int, hop: int) -> Column:
     """Overlapping windows of a short array as an array of arrays, without padding."""
     vector = F.col(vector) if isinstance(vector, str) else vector
