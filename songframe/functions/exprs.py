@@ -18,6 +18,15 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value if isinstance(value, Column) else F.lit(value)
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Inside a higher-order function every expression is evaluated again per element; a one-element
+    array makes the value a variable of the function instead.
+    """
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
 def half_even(value) -> Column:
     """Round to the nearest whole number, halves to even."""
     return F.rint(_col(value)).cast("bigint")
@@ -101,12 +110,15 @@ def sigmoid(value) -> Column:
 
 def softmax(vector) -> Column:
     """Probabilities over an array of logits, shifted by the largest logit."""
-    shifted = F.transform(
-        F.transform(_col(vector), lambda x: x.cast("double")),
-        lambda x: F.exp(x - F.array_max(_col(vector)).cast("double")),
+
+    def spread(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda t: F.transform(weights, lambda x: x / t))
+
+    return let(
+        F.array_max(_col(vector)).cast("double"),
+        lambda top: let(F.transform(_col(vector), lambda x: F.exp(x.cast("double") - top)), spread),
     )
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
 
 
 def group_letter(group) -> Column:

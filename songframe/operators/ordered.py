@@ -3,6 +3,10 @@
 A key may hold a large share of all rows. Each function therefore takes a ``bucket``: a column
 that grows with the order and splits a key into runs. The window runs inside (key, bucket); what
 has to cross a bucket edge travels in a summary with one row per bucket.
+
+The input is read twice, once for the rows and once for the summary. That is cheap for tables and
+for plans whose shuffles Spark reuses; results of Python functions should be written or cut with
+``session.cut_lineage`` first.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ of them, gives the last cut before each run, and the runs then emit their passag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songframe.operators import timeline as TL
@@ -109,10 +109,12 @@ def passage_cuts(
     runs = beat_runs(sections, beats, minimum)
 
     # Every n-th beat of the section, counted across runs.
-    counted = with_running_total(
-        runs.select(*SECTION, "run", F.size("beats").cast("bigint").alias("__size")),
-        SECTION, "run", F.floor(F.col("run") / F.lit(1_024)), F.col("__size"), "beats_ahead",
-    ).select(*SECTION, "run", "beats_ahead")
+    # A section has a bounded number of runs, so this window is short; beats stay out of it.
+    earlier = Window.partitionBy(*SECTION).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    counted = runs.select(
+        *SECTION, "run",
+        F.coalesce(F.sum(F.size("beats").cast("bigint")).over(earlier), F.lit(0)).alias("beats_ahead"),
+    )
     candidates = runs.join(counted, [*SECTION, "run"]).withColumn(
         "cuts",
         F.filter(
@@ -189,11 +191,9 @@ def passage_cuts(
         )
     )
     # Passages of the earlier sections of the recording come first in its numbering.
-    ahead = with_running_total(
-        folded.select(*SECTION, (F.col("kept") + 1).alias("__count")),
-        KEYS, "section_index", F.floor(F.col("section_index") / TL.RUN), F.col("__count"), "ahead",
-    ).select(*SECTION, "ahead")
-    folded = folded.join(ahead, SECTION)
+    folded = with_running_total(
+        folded, KEYS, "section_index", F.floor(F.col("section_index") / TL.RUN), F.col("kept") + 1, "ahead"
+    )
 
     entering = folded.select(
         *SECTION,

@@ -34,19 +34,26 @@ Backend = Callable[[DataFrame], DataFrame]
 
 def pcm_to_float(samples: str | Column, bits) -> Column:
     """Integer samples of every channel scaled to single precision."""
-    scale = X.pcm_scale(bits).cast("float")
-    return F.transform(samples, lambda c: F.transform(c, lambda x: (x.cast("float") / scale).cast("float")))
+    return X.let(
+        X.pcm_scale(bits).cast("float"),
+        lambda scale: F.transform(
+            samples, lambda c: F.transform(c, lambda x: (x.cast("float") / scale).cast("float"))
+        ),
+    )
 
 
 def downmix(samples: str | Column) -> Column:
     """Mean over the channels of a block, in single precision."""
-    samples = F.col(samples) if isinstance(samples, str) else samples
-    total = F.aggregate(
-        F.slice(samples, 2, F.greatest(F.size(samples) - 1, F.lit(0))),
-        F.get(samples, 0),
-        lambda acc, c: F.zip_with(acc, c, lambda a, b: (a + b).cast("float")),
-    )
-    return F.transform(total, lambda x: (x / F.size(samples)).cast("float"))
+
+    def mean(channels: Column) -> Column:
+        total = F.aggregate(
+            F.slice(channels, 2, F.greatest(F.size(channels) - 1, F.lit(0))),
+            F.get(channels, F.lit(0)),
+            lambda acc, c: F.zip_with(acc, c, lambda a, b: (a + b).cast("float")),
+        )
+        return X.let(F.size(channels), lambda n: F.transform(total, lambda x: (x / n).cast("float")))
+
+    return X.let(samples, mean)
 
 
 def track_geometry(blocks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from songframe.operators.frames import ONSET_HOP, onset_chroma_frames
 from songframe.operators.joins import attach
 from songframe.operators.learned import section_distributions
 from songframe.operators.ordered import with_position, with_previous
-from songframe.session import cut_lineage
+from songframe.session import cut_lineage, spread
 
 BEATS_PER_BAR = 4
 PITCH_CLASSES = 12
@@ -93,6 +94,13 @@ def _windows(frames: DataFrame) -> DataFrame:
     return frames.withColumn("window", F.explode(own)).filter(F.col("window") >= 0)
 
 
+def _in_order(rows: pa.Table, order: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of a group as arrays, sorted by the first."""
+    keys = rows.column(order).to_numpy()
+    sorting = np.argsort(keys, kind="stable")
+    return keys[sorting], rows.column(value).to_numpy()[sorting]
+
+
 def _lag_range(frame_rate: float) -> tuple[int, int]:
     return max(1, int(round(60.0 * frame_rate / FASTEST_BPM))), int(round(60.0 * frame_rate / SLOWEST_BPM))
 
@@ -105,25 +113,25 @@ def estimate_tempo(frames: DataFrame, frame_rate: float) -> DataFrame:
     """
     shortest, longest = _lag_range(frame_rate)
 
-    def lag_products(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_index")
-        frame = rows["frame_index"].to_numpy()
-        onset = rows["onset"].to_numpy()
-        first = rows["window"].iloc[0] * WINDOW_FRAMES
+    lags = np.arange(shortest, longest + 1)
+
+    def lag_products(key: tuple, rows: pa.Table) -> pa.Table:
+        frame, onset = _in_order(rows, "frame_index", "onset")
+        first = key[1].as_py() * WINDOW_FRAMES
         begin, stop = np.searchsorted(frame, [first, first + WINDOW_FRAMES])
-        lags = np.arange(shortest, longest + 1)
-        sums = [
-            float(np.dot(onset[begin : max(begin, min(stop, len(onset) - lag))],
-                         onset[begin + lag : max(begin, min(stop, len(onset) - lag)) + lag]))
-            if len(onset) - lag > begin else 0.0
-            for lag in lags
-        ]
-        return pd.DataFrame({"recording_id": rows["recording_id"].iloc[0], "lag": lags, "product": sums})
+        sums = np.zeros(len(lags))
+        for i, lag in enumerate(lags):
+            pairs = min(stop, len(onset) - lag) - begin
+            if pairs > 0:
+                sums[i] = onset[begin : begin + pairs] @ onset[begin + lag : begin + lag + pairs]
+        return pa.table({
+            "recording_id": pa.repeat(key[0], len(lags)), "lag": pa.array(lags), "product": pa.array(sums),
+        })
 
     sums = (
-        _windows(frames.select("recording_id", "frame_index", "onset"))
+        spread(_windows(frames.select("recording_id", "frame_index", "onset")), "recording_id", "window")
         .groupBy("recording_id", "window")
-        .applyInPandas(lag_products, "recording_id string, lag bigint, product double")
+        .applyInArrow(lag_products, "recording_id string, lag bigint, product double")
         .groupBy("recording_id", "lag")
         .agg(F.sum("product").alias("product"))
     )
@@ -145,11 +153,11 @@ def follow_beats(onset: np.ndarray, period: int) -> np.ndarray:
 
     Dynamic programming over frames (Ellis 2007). Runs on one window.
     """
-    spread = onset.std(ddof=1) if onset.size > 1 else 0.0
-    if spread <= 0:
+    deviation = onset.std(ddof=1) if onset.size > 1 else 0.0
+    if deviation <= 0:
         return np.zeros(0, dtype=np.int64)
     reach = np.arange(-period, period + 1)
-    local = np.convolve(onset / spread, np.exp(-0.5 * (reach * 32.0 / period) ** 2), mode="same")
+    local = np.convolve(onset / deviation, np.exp(-0.5 * (reach * 32.0 / period) ** 2), mode="same")
     gaps = np.arange(max(1, period // 2), 2 * period + 1)
     cost = -TIGHTNESS * np.log(gaps / period) ** 2
     total = np.zeros(onset.size)
@@ -181,19 +189,17 @@ def track_beats(frames: DataFrame, tempo: DataFrame, frame_rate: float) -> DataF
     """Beats of every recording, numbered, with the onset strength they fall on."""
     schema = "recording_id string, frame_index bigint, onset double, period_frames bigint"
 
-    def track(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_index")
-        frame = rows["frame_index"].to_numpy()
-        onset = rows["onset"].to_numpy()
-        first = rows["window"].iloc[0] * WINDOW_FRAMES
-        beats = follow_beats(onset, int(rows["period_frames"].iloc[0]))
-        found = frame[beats]
-        core = (found >= first) & (found < first + WINDOW_FRAMES)
-        return pd.DataFrame({
-            "recording_id": rows["recording_id"].iloc[0],
-            "frame_index": found[core],
-            "onset": onset[beats][core],
-            "period_frames": rows["period_frames"].iloc[0],
+    def track(key: tuple, rows: pa.Table) -> pa.Table:
+        frame, onset = _in_order(rows, "frame_index", "onset")
+        first = key[1].as_py() * WINDOW_FRAMES
+        period = rows.column("period_frames")[0].as_py()
+        beats = follow_beats(onset, period)
+        beats = beats[(frame[beats] >= first) & (frame[beats] < first + WINDOW_FRAMES)]
+        return pa.table({
+            "recording_id": pa.repeat(key[0], len(beats)),
+            "frame_index": pa.array(frame[beats]),
+            "onset": pa.array(onset[beats]),
+            "period_frames": pa.array(np.full(len(beats), period, dtype=np.int64)),
         })
 
     timed = attach(
@@ -201,7 +207,10 @@ def track_beats(frames: DataFrame, tempo: DataFrame, frame_rate: float) -> DataF
         tempo.filter(F.col("period_frames").isNotNull()).select("recording_id", "period_frames"),
         ["recording_id"], "frame_index", "inner",
     )
-    raw = timed.groupBy("recording_id", "window").applyInPandas(track, schema)
+    # Read several times below; beats are few, the dynamic programme is not cheap.
+    raw = cut_lineage(
+        spread(timed, "recording_id", "window").groupBy("recording_id", "window").applyInArrow(track, schema)
+    )
     # Where two windows meet, both may claim the same beat.
     run = F.floor(F.col("frame_index") / WINDOW_FRAMES)
     spaced = with_previous(raw, ["recording_id"], "frame_index", run, {"__previous": "frame_index"}).filter(
@@ -324,7 +333,9 @@ def segment_frames(frames: DataFrame, vector: str, size: int, spans: DataFrame)
             "recording_id": rows["recording_id"].iloc[0], "frame_index": rows["frame_index"].to_numpy()[starts],
         })
 
-    return cells.groupBy("recording_id").applyInPandas(cut, "recording_id string, frame_index bigint")
+    return spread(cells, "recording_id").groupBy("recording_id").applyInPandas(
+        cut, "recording_id string, frame_index bigint"
+    )
 
 
 def similar_groups(vectors: np.ndarray, groups: int) -> np.ndarray:
@@ -378,7 +389,8 @@ def baseline_sections(frames: DataFrame, recordings: DataFrame, hop: int = ONSET
         "recording_id",
         X.section_count("duration_seconds", "__frames", TARGET_SECTION_SECONDS).alias("span_count"),
     )
-    starts = segment_frames(frames, "chroma", PITCH_CLASSES, spans)
+    # A dozen rows per recording, read several times below.
+    starts = cut_lineage(segment_frames(frames, "chroma", PITCH_CLASSES, spans))
     seconds = starts.join(known, "recording_id").select(
         "recording_id", X.frame_to_seconds("frame_index", F.lit(hop), "sample_rate_hz").alias("seconds")
     )
@@ -420,7 +432,7 @@ def baseline_structure(blocks: DataFrame, recordings: DataFrame, rate: int = 44_
     """
     frame_rate = rate / ONSET_HOP
     frames = cut_lineage(onset_chroma_frames(blocks.filter(F.col("track") == "mixture")))
-    tempo = estimate_tempo(frames, frame_rate)
+    tempo = cut_lineage(estimate_tempo(frames, frame_rate))
     beats = mark_downbeats(track_beats(frames, tempo, frame_rate), ["recording_id"])
     phases = beats.groupBy("recording_id").agg(F.max("downbeat_phase").alias("downbeat_phase"))
     structures = tempo.join(phases, "recording_id", "left").select(

@@ -23,6 +23,7 @@ from songframe.operators.lineage import lineage_violations
 from songframe.operators.ordered import with_position
 from songframe.operators.validation import roll_up
 from songframe.plans import testbed as B
+from songframe.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -667,7 +668,7 @@ def validation_report(t):
 def _spans(t: B.Tables) -> DataFrame:
     frames = B.label_frames(t).select("recording_id", F.col("frame").alias("frame_index"), "embedding")
     spans = frames.select("recording_id").distinct().withColumn("span_count", F.lit(8).cast("bigint"))
-    return ST.segment_frames(frames, "embedding", 64, spans)
+    return cut_lineage(ST.segment_frames(frames, "embedding", 64, spans))
 
 
 @query

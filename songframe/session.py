@@ -37,3 +37,13 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir or pass fallback_dir")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows on ``keys`` over all shuffle partitions.
+
+    For groups that are small in bytes but slow in Python: adaptive execution would put many of
+    them into one task, and leaves an explicit number of partitions alone.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
