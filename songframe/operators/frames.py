@@ -7,11 +7,11 @@ nothing is shuffled. ``with_context`` adds the surroundings to blocks that were
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songframe import schemas
@@ -350,17 +350,18 @@ def frequency_axis(n_fft: int, rate: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_fft // 2)), lambda k: (k * rate / n_fft).cast("float"))
 
 
-def config_table(spark: SparkSession, configs: Iterable[SpectrogramConfig]) -> DataFrame:
-    """Configurations as rows, with their digest."""
-    rows = [asdict(c) for c in configs]
-    table = spark.createDataFrame(
-        [(r["name"], r["n_fft"], r["hop_length"], r["window"], float(r["minimum_db"])) for r in rows],
-        "config string, n_fft int, hop_length int, window string, minimum_db double",
-    )
-    digest = X.config_digest(
-        name="config", n_fft="n_fft", hop_length="hop_length", window="window", minimum_db="minimum_db"
-    )
-    return table.withColumn("config_sha256", digest)
+def config_rows(configs: Iterable[SpectrogramConfig]) -> Column:
+    """Configurations as an array of structs, for ``F.inline``."""
+    return F.array(*[
+        F.struct(
+            F.lit(c.name).alias("config"),
+            F.lit(c.n_fft).alias("n_fft"),
+            F.lit(c.hop_length).alias("hop_length"),
+            F.lit(c.window).alias("window"),
+            F.lit(float(c.minimum_db)).alias("minimum_db"),
+        )
+        for c in configs
+    ])
 
 
 def spectrogram_meta(
@@ -368,15 +369,20 @@ def spectrogram_meta(
 ) -> DataFrame:
     """Shape and lineage of every spectrogram, one row per (recording, track, configuration).
 
-    ``tracks`` needs recording_id, track, sample_rate_hz, frame_count and sha256. The fan-out is a
-    join with the list of configurations, two rows by default.
+    ``tracks`` needs recording_id, track, sample_rate_hz, frame_count and sha256. Each track row is
+    expanded in place by the list of configurations.
     """
-    table = config_table(tracks.sparkSession, configs)
+    digest = X.config_digest(
+        name="config", n_fft="n_fft", hop_length="hop_length", window="window", minimum_db="minimum_db"
+    )
     frames = X.stft_frame_count("frame_count", "n_fft", "hop_length")
     center = lambda k: X.frame_center(k, "n_fft", "hop_length", "sample_rate_hz")
     return (
-        tracks.crossJoin(F.broadcast(table))
+        tracks.select(
+            "recording_id", "track", "sample_rate_hz", "frame_count", "sha256", F.inline(config_rows(configs))
+        )
         .withColumn("time_frames", frames)
+        .withColumn("config_sha256", digest)
         .select(
             "recording_id", "track", "config", "n_fft", "hop_length", "window", "minimum_db",
             "config_sha256", "sample_rate_hz",

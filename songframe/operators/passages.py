@@ -5,7 +5,7 @@ minimum; a cut that leaves too short a tail is taken back. Whether a beat is use
 cut accepted before it, so the cuts of a section form a chain.
 
 The chain is followed without gathering a section's beats in one place. Beats are grouped into
-time runs (one shuffle, reused by all later steps). Each run states what it would do for every cut
+time runs (one shuffle, written to the checkpoint folder). Each run states what it would do for every cut
 that could be the first one accepted in it, one short entry per candidate in the run's first
 ``minimum`` seconds. Folding those statements over a section's runs, at most about ``MAX_RUNS``
 of them, gives the last cut before each run, and the runs then emit their passages independently.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from songframe.operators import timeline as TL
 from songframe.operators.joins import attach, points_in_intervals
 from songframe.operators.ordered import with_running_total
+from songframe.session import cut_lineage
 
 # A run lasts this many minimum lengths, or longer where a section would have too many runs.
 RUN_MINIMUMS = 64
@@ -106,7 +107,8 @@ def passage_cuts(
     """
     config_is_valid(beats_per_passage, minimum_seconds)
     n, minimum = int(beats_per_passage), float(minimum_seconds)
-    runs = beat_runs(sections, beats, minimum)
+    # Written once to the checkpoint folder: four later steps read it.
+    runs = cut_lineage(beat_runs(sections, beats, minimum))
 
     # Every n-th beat of the section, counted across runs.
     # A section has a bounded number of runs, so this window is short; beats stay out of it.
@@ -190,6 +192,8 @@ def passage_cuts(
             "kept", F.col("final.count") - F.when(F.col("take_back"), 1).otherwise(0)
         )
     )
+    # One small row per section, again with several readers.
+    folded = cut_lineage(folded.drop("runs"))
     # Passages of the earlier sections of the recording come first in its numbering.
     folded = with_running_total(
         folded, KEYS, "section_index", F.floor(F.col("section_index") / TL.RUN), F.col("kept") + 1, "ahead"

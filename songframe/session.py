@@ -10,8 +10,10 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A block row is about 1 MB, so batches are bounded by bytes and not by row count.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # A block row is about 1 MB. Batches for Python are bounded by bytes, and Parquet tables with
+    # arrays are read row by row: a vectorised batch would hold 4,096 of their rows at once.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.parquet.enableNestedColumnVectorizedReader": "false",
     "spark.sql.parquet.compression.codec": "zstd",
     # Lineage re-published for one recording replaces that recording's partition only.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from songframe import schemas
 from songframe.functions import exprs as X
 from songframe.operators import timeline as TL
+from songframe.session import spread
 
 CHUNK_BYTES = 1 << 20
 # Wave format tags and the tag that points into the extension.
@@ -162,7 +163,6 @@ def waveform_blocks(tracks: DataFrame, block: int = schemas.BLOCK_SAMPLES) -> Da
             "recording_id", "track", "block_index", "path", "channels", "sample_rate_hz",
             "sample_width_bytes", "frame_count", "is_float", "data_offset",
         )
-        .repartition("path", "block_index")
     )
     nested = pa.list_(pa.list_(pa.float32()))
     schema = pa.schema([
@@ -196,7 +196,8 @@ def waveform_blocks(tracks: DataFrame, block: int = schemas.BLOCK_SAMPLES) -> Da
                     schema=schema,
                 )
 
-    return spans.mapInArrow(read, schemas.WAVEFORM_BLOCKS)
+    # Span rows are tiny and decoding is not, so their partitions must not be merged.
+    return spread(spans, "path", "block_index").mapInArrow(read, schemas.WAVEFORM_BLOCKS)
 
 
 def recordings(pairs: DataFrame, digests: DataFrame, geometry: DataFrame) -> DataFrame:
