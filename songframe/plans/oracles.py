@@ -124,7 +124,7 @@ eligible AS (
 
 _LABEL_FRAMES = """
 framed AS (
-  SELECT label AS song, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame
+  SELECT CAST(label AS BIGINT) AS song, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame
   FROM embeddings)"""
 
 _USER_BEATS = """
@@ -322,10 +322,10 @@ SELECT song, count(*) AS stems, max(frames) AS frames, (SELECT count(*) FROM ban
 FROM shaped GROUP BY song""",
     "onset_flux": """WITH paired AS (
   SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS previous FROM embeddings)
-SELECT label, vec_id, round(coalesce(list_avg(list_transform(range(1, 65),
+SELECT CAST(label AS BIGINT) AS label, vec_id, round(coalesce(list_avg(list_transform(range(1, 65),
   lambda i: greatest(CAST(embedding[i] - previous[i] AS DOUBLE), 0.0))), 0.0), 6) AS onset
 FROM (SELECT label, vec_id, embedding, previous FROM paired WHERE previous IS NOT NULL)
-UNION ALL SELECT label, vec_id, 0.0 FROM paired WHERE previous IS NULL""",
+UNION ALL SELECT CAST(label AS BIGINT), vec_id, 0.0 FROM paired WHERE previous IS NULL""",
     "chroma_fold": f"""WITH {_SPECTRUM},
 pitched AS (
   SELECT k, CAST(((round_even(12 * log2(k * 44100 / 64.0 / 440.0), 0) + 9) % 12 + 12) % 12 AS BIGINT) AS pitch_class

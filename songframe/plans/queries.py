@@ -511,9 +511,8 @@ def label_top3(t):
     )
 
 
-def _segments(t: B.Tables) -> DataFrame:
+def _segments(frames: DataFrame) -> DataFrame:
     """Seven-frame segments of the label recordings, between a start and an end marker."""
-    frames = B.label_frames(t)
     cuts = frames.groupBy("recording_id", F.floor(F.col("frame") / 7).alias("segment_index")).agg(
         F.min("frame").alias("first"), (F.max("frame") + 1).alias("stop")
     )
@@ -532,7 +531,7 @@ def _segments(t: B.Tables) -> DataFrame:
 
 @query
 def learned_sections(t):
-    frames = B.label_frames(t)
+    frames = cut_lineage(B.label_frames(t))
     logits = F.transform(F.slice("embedding", 1, 10), lambda x: (x * 10).cast("float"))
     activations = frames.select(
         "recording_id", F.lit("m").alias("model"), "frame",
@@ -543,7 +542,7 @@ def learned_sections(t):
         "recording_id", (F.col("n") / F.lit(100.0)).alias("duration_seconds"), F.lit(B.RATE).alias("sample_rate_hz"),
         (F.col("n") * 441).alias("frame_count"),
     )
-    found = LN.learned_sections(activations, _segments(t), recordings)
+    found = LN.learned_sections(activations, _segments(frames), recordings)
     top = lambda i: F.get("label_hypotheses", F.lit(i))
     return found.select(
         F.col("recording_id").cast("bigint").alias("song"), "section_index", "start_seconds", "end_seconds",
@@ -665,22 +664,22 @@ def validation_report(t):
 # Unsupervised structure ---------------------------------------------------------------------
 
 
-def _spans(t: B.Tables) -> DataFrame:
-    frames = B.label_frames(t).select("recording_id", F.col("frame").alias("frame_index"), "embedding")
+def _spans(labelled: DataFrame) -> DataFrame:
+    frames = labelled.select("recording_id", F.col("frame").alias("frame_index"), "embedding")
     spans = frames.select("recording_id").distinct().withColumn("span_count", F.lit(8).cast("bigint"))
     return cut_lineage(ST.segment_frames(frames, "embedding", 64, spans))
 
 
 @query
 def ward_segments(t):
-    return _spans(t).select(F.col("recording_id").cast("bigint").alias("song"), "frame_index")
+    return _spans(B.label_frames(t)).select(F.col("recording_id").cast("bigint").alias("song"), "frame_index")
 
 
 @query
 def section_groups(t):
-    frames = B.label_frames(t)
+    frames = cut_lineage(B.label_frames(t))
     sizes = frames.groupBy("recording_id").agg(F.count(F.lit(1)).alias("end"))
-    edges = _spans(t).select("recording_id", F.col("frame_index").cast("double").alias("seconds")).unionByName(
+    edges = _spans(frames).select("recording_id", F.col("frame_index").cast("double").alias("seconds")).unionByName(
         sizes.select("recording_id", F.col("end").cast("double").alias("seconds"))
     )
     # Eight spans per recording, so the numbering sees eight rows of each.
