@@ -27,17 +27,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The folder named by the cluster wins; ``fallback_dir`` is for sessions without one.
+    The folder the cluster names in spark.checkpoint.dir is used. Where none is named, as in tests,
+    one inside the session's warehouse is.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or fallback_dir
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir or pass fallback_dir")
-        context.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -27,6 +27,9 @@ CHUNK_BYTES = 1 << 20
 # Wave format tags and the tag that points into the extension.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
+# The canonical form.
+CANONICAL = {"sample_rate_hz": 44_100, "channels": 2, "codec": "pcm_s24le", "sample_width_bytes": 3}
+
 GEOMETRY = (
     "path string, bytes bigint, channels int, sample_rate_hz int, sample_width_bytes int, "
     "frame_count bigint, duration_seconds double, compression_type string, is_float boolean, "
@@ -203,9 +206,11 @@ def waveform_blocks(tracks: DataFrame, block: int = schemas.BLOCK_SAMPLES) -> Da
 def recordings(pairs: DataFrame, digests: DataFrame, geometry: DataFrame) -> DataFrame:
     """The recordings table from source and canonical files.
 
-    ``pairs``: recording_id (may be null), source_path, canonical_path. Conversion itself happens
-    outside; this records what was converted into what.
+    ``pairs``: recording_id (may be null), source_path, canonical_path and, if known, tool_version.
+    Conversion itself happens outside; this records what was converted into what.
     """
+    version = F.col("tool_version") if "tool_version" in pairs.columns else F.lit(None).cast("string")
+    wanted = F.struct(*[F.lit(value).alias(name) for name, value in CANONICAL.items()])
     source = digests.select(
         F.col("path").alias("source_path"), F.col("bytes").alias("sb"), F.col("sha256").alias("ss")
     )
@@ -223,6 +228,7 @@ def recordings(pairs: DataFrame, digests: DataFrame, geometry: DataFrame) -> Dat
                 F.col("canonical_path").alias("path"), "bytes", "sha256", "channels", "sample_rate_hz",
                 "sample_width_bytes", "frame_count", "duration_seconds", "compression_type",
             ).alias("canonical"),
+            F.struct(wanted.alias("config"), version.alias("tool_version")).alias("conversion"),
         )
     )
 

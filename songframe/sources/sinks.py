@@ -15,10 +15,15 @@ def with_shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, by: str = "shard", shards: int = SHARDS) -> None:
-    """Replace the partitions that occur in ``df`` and leave the others in place."""
+    """Replace the partitions that occur in ``df`` and leave the others in place.
+
+    Rows are rebalanced on the partition column first, which gives few files per folder and still
+    splits a folder that is too large for one task.
+    """
     table = with_shard(df, shards) if by == "shard" else df
     (
-        table.write.mode("overwrite")
+        table.hint("rebalance", by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(by)
@@ -32,9 +37,13 @@ def append_hypothesis(df: DataFrame, path: str) -> None:
 
 
 def save_blocks(blocks: DataFrame, table: str, buckets: int) -> None:
-    """Store waveform blocks bucketed on the key that the mixture and its stems are joined on."""
+    """Store waveform blocks bucketed on the key that the mixture and its stems are joined on.
+
+    Later joins of tracks on (recording, block) then need no shuffle. Each bucket is one file.
+    """
     (
-        blocks.write.mode("overwrite")
+        blocks.repartition(buckets, "recording_id", "block_index")
+        .write.mode("overwrite")
         .bucketBy(buckets, "recording_id", "block_index")
         .sortBy("recording_id", "block_index")
         .option("compression", "zstd")

@@ -64,9 +64,45 @@ def test_recordings_and_their_problems(spark, tmp_path):
     good = [r for r in M.recordings(pairs, digests, geometry).collect() if r.recording_id != "../escape"]
     digest = hashlib.sha256((tmp_path / "good.wav").read_bytes()).hexdigest()
     assert [r.recording_id for r in good] == [digest[:16]]
+    assert good[0].conversion.config.codec == "pcm_s24le" and good[0].conversion.tool_version is None
     assert good[0].canonical.channels == 2 and good[0].canonical.sha256 == digest
     problems = sorted((r.recording_id, r.check) for r in M.source_violations(pairs, digests, geometry).collect())
     assert problems == [
         ("../escape", "unsafe_recording_id"), ("e", "missing_or_empty_source"),
         ("gone", "missing_or_empty_source"), ("junk", "unreadable_wave"),
     ]
+
+
+def test_manifests_and_malformed_ones(spark, tmp_path):
+    from songframe.sources import manifests as MF
+
+    for name, text in (("a", '{"recording_id": "a", "frames": 3}'), ("b", '{"recording_id": "b", "frames": "many"}')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_text(text)
+    (tmp_path / "a" / "other.txt").write_text("ignored")
+    rows = MF.read_manifests(spark, str(tmp_path), "recording_id string, frames bigint").cache()
+    assert sorted((r.recording_id, r.frames) for r in rows.collect()) == [("a", 3), ("b", None)]
+    assert [(r.recording_id, r.check) for r in MF.malformed(rows, "ingest").collect()] == [("b", "malformed_manifest")]
+
+
+def test_bucketed_blocks_join_without_a_shuffle(spark):
+    import numpy as np
+    from audio import blocks_of
+
+    from songframe.operators import separation as SP
+    from songframe.sources import sinks
+
+    x = np.ones(9_000)
+    blocks = blocks_of(spark, {("a", t): [x] for t in ("mixture", *SP.REQUIRED_STEMS)}, block=2_000)
+    sinks.save_blocks(blocks, "blocks_by_key", 4)
+    table = spark.table("blocks_by_key")
+    joined = SP.side_by_side(table.filter("track = 'mixture'"), table.filter("track <> 'mixture'"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE blocks_by_key")
