@@ -232,7 +232,9 @@ def attach_onsets(beats: DataFrame, frames: DataFrame) -> DataFrame:
     placed = attach(beats, sizes, ["recording_id"], "frame_index", "inner").withColumn(
         "frame_index", X.clip_index("frame_index", "__frames")
     ).drop("__frames")
-    return placed.join(frames.select("recording_id", "frame_index", "onset"), ["recording_id", "frame_index"])
+    return placed.join(
+        frames.select("recording_id", "frame_index", "onset"), ["recording_id", "frame_index"], "left"
+    )
 
 
 def downbeat_phase(

@@ -262,6 +262,27 @@ counted AS (
   SELECT user_id, CAST(round_even(60.0 / gap, 0) AS BIGINT) AS bpm, count(*) AS n FROM gaps WHERE gap > 0 GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, bpm) AS r FROM counted)
 SELECT user_id, bpm AS tempo_bpm FROM ranked WHERE r = 1""",
+    "onset_at_beats": """WITH hourly AS (
+  SELECT user_id, event_id, CAST(round_even(value * 100, 0) AS BIGINT) AS cents,
+    (epoch_us(ts) - 1704067200000000) // 3600000000 AS hour FROM events),
+frames AS (SELECT user_id, hour, CAST(sum(cents) AS BIGINT) AS onset FROM hourly GROUP BY user_id, hour),
+sizes AS (SELECT user_id, max(hour) AS last FROM frames GROUP BY user_id),
+beats AS (SELECT user_id, event_id, greatest(0, least(last, hour + 3)) AS hour FROM hourly JOIN sizes USING (user_id))
+SELECT user_id, event_id, hour AS frame_index, onset FROM beats LEFT JOIN frames USING (user_id, hour)""",
+    "count_rules": f"""WITH {_SECTIONS},
+sized AS (
+  SELECT conv_id, round(frame_count / CAST(44100 AS DOUBLE), 9) AS d, CAST(floor(duration * 44100 / 512) AS BIGINT) AS frames
+  FROM recordings),
+spanned AS (
+  SELECT *, least(greatest(2, least(12, CAST(round_even(d / 20, 0) AS BIGINT))), frames) AS spans FROM sized),
+grouped AS (SELECT *, least(4, greatest(1, CAST(round_even(sqrt(spans), 0) AS BIGINT))) AS groups FROM spanned)
+SELECT conv_id, d AS duration_seconds, frames, spans, groups, 'section_' || chr(CAST(64 + groups AS INTEGER)) AS last_label
+FROM grouped""",
+    "corrected_structures": f"""WITH {_CORRECTIONS}
+SELECT doc_id, 'correction:c' || doc_id AS hypothesis_id, 'human-corrected-structure' AS backend,
+  'unsupervised-baseline' AS base_backend, 'baseline' AS base_hypothesis_id, sha256(text) AS base_manifest_sha256,
+  'reviewer' AS annotator, duration AS duration_seconds, CAST(0 AS BIGINT) AS beat_index, duration AS beat_seconds
+FROM supplied JOIN documents USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM problems)""",
     "stem_contract": f"""WITH {_STEMS},
 daily AS (SELECT DISTINCT user_id || '-' || strftime(ts, '%Y%m%d') AS recording_id, stem FROM named),
 songs AS (SELECT DISTINCT recording_id FROM daily)

@@ -282,6 +282,31 @@ def tempo_mode(t):
     return found.select("user_id", F.col("tempo_bpm").cast("bigint").alias("tempo_bpm"))
 
 
+@query
+def onset_at_beats(t):
+    """Beats three hours after each event, read from the user's hourly onset axis and kept on it."""
+    hour = F.floor((B.event_micros() - F.lit(1_704_067_200_000_000)) / F.lit(3_600_000_000)).cast("bigint")
+    user = F.col("user_id").cast("string").alias("recording_id")
+    frames = t.events.groupBy(user, hour.alias("frame_index")).agg(F.sum(B.cents()).alias("onset"))
+    beats = t.events.select(user, "event_id", (hour + 3).alias("frame_index"))
+    found = ST.attach_onsets(beats, frames)
+    return found.select(F.col("recording_id").cast("bigint").alias("user_id"), "event_id", "frame_index", "onset")
+
+
+@query
+def count_rules(t):
+    """How many spans and groups a recording gets, and its length on the canonical clock."""
+    sized = B.recordings(t).select(
+        "recording_id",
+        F.round(F.col("frame_count") / F.col("sample_rate_hz"), 9).alias("duration_seconds"),
+        X.seconds_to_frame("duration_seconds", F.lit(512), "sample_rate_hz").alias("frames"),
+    )
+    return sized.withColumn("spans", X.section_count("duration_seconds", "frames")).select(
+        _conv(), "duration_seconds", "frames", "spans", X.group_count("spans").alias("groups"),
+        X.group_letter(X.group_count("spans") - 1).alias("last_label"),
+    )
+
+
 # Separation ---------------------------------------------------------------------------------
 
 
@@ -618,6 +643,22 @@ def apply_corrections(t):
     )
 
 
+@query
+def corrected_structures(t):
+    """The new hypotheses' own rows: kept scalars, lineage, and the base's beats under the new key."""
+    recordings = _bases(t).select("recording_id", F.lit(B.RATE).alias("sample_rate_hz"), F.lit(0).cast("bigint").alias("frame_count"))
+    beats = _bases(t).select(
+        "recording_id", "hypothesis_id", F.lit(0).cast("bigint").alias("beat_index"), F.col("duration_seconds").alias("seconds")
+    )
+    done = CR.apply_corrections(_corrections(t), _bases(t), beats, recordings)
+    moved = done.beats.select("recording_id", "hypothesis_id", "beat_index", "seconds")
+    return done.structures.join(moved, ["recording_id", "hypothesis_id"]).select(
+        F.col("recording_id").cast("bigint").alias("doc_id"), "hypothesis_id", "backend", "base_backend",
+        "base_hypothesis_id", "base_manifest_sha256", "annotator", "duration_seconds", "beat_index",
+        F.col("seconds").alias("beat_seconds"),
+    )
+
+
 @query
 def correction_problems(t):
     found = CR.correction_violations(CR.judge_corrections(_corrections(t), _bases(t)))
