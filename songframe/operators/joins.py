@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How many ways a per-recording attribute row is replicated so that the detail rows of one
-# recording can be spread over that many tasks.
+# recording can be spread over that many tasks. Adaptive execution splits what is still too large.
 SPREAD = 16
 
 
