@@ -32,8 +32,18 @@ def publish(df: DataFrame, path: str, by: str = "shard", shards: int = SHARDS) -
 
 
 def append_hypothesis(df: DataFrame, path: str) -> None:
-    """Add a hypothesis beside the existing ones."""
-    df.write.mode("append").option("compression", "zstd").partitionBy("hypothesis_id").parquet(path)
+    """Add hypotheses beside the existing ones.
+
+    Folders are by kind, the part of the id before a colon: there may be a hypothesis per
+    correction, and a folder each would be too many.
+    """
+    (
+        df.withColumn("hypothesis_kind", F.substring_index("hypothesis_id", ":", 1))
+        .write.mode("append")
+        .option("compression", "zstd")
+        .partitionBy("hypothesis_kind")
+        .parquet(path)
+    )
 
 
 def save_blocks(blocks: DataFrame, table: str, buckets: int) -> None:

@@ -44,7 +44,12 @@ def publish_corrections(
         corrected = apply_corrections(batch, bases, beats, recordings)
         sections = corrected.sections.drop("spectrogram_frames")
         try:
-            known = batch.sparkSession.read.parquet(f"{output}/sections").select("recording_id", "hypothesis_id").distinct()
+            known = (
+                batch.sparkSession.read.parquet(f"{output}/sections")
+                .filter(F.col("hypothesis_kind") == "correction")
+                .select("recording_id", "hypothesis_id")
+                .distinct()
+            )
             sections = sections.join(known, ["recording_id", "hypothesis_id"], "left_anti")
         except Exception as missing:  # first batch: nothing written yet
             if "PATH_NOT_FOUND" not in str(missing):
