@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only, so they can be applied to a session somebody else started.
@@ -27,17 +32,45 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_songframe_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="songframe-"), "songframe.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._songframe_shipped = True
+
 
-    The folder the cluster names in spark.checkpoint.dir is used. Where none is named, as in tests,
-    one inside the session's warehouse is.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, shared by the driver and all executors.
+
+    Where it is unset, a temporary folder is made if the session runs in the driver's own process,
+    as in tests; with executors elsewhere this raises, since they would not see such a folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root:
+        return root
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="songframe-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    context = df.sparkSession.sparkContext
+    root = checkpoint_root(df.sparkSession)
     if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints"))
+        context.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
