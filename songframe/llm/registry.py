@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, quality
+from songframe.llm import bpe, minhash, quality
 
 QUERIES = {
+    "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
     "op7_quality_rules": quality.query,
 }
