@@ -14,6 +14,7 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of each of the two generations of a memo; memory stays bounded on any input.
-MEMO_ENTRIES = 1 << 18
+MEMO_ENTRIES = 1 << 17
+#: Rows in an Arrow batch; texts, ids and decoded bytes of one batch are held at once.
+BATCH_ROWS = 500
 
 # The characters with Unicode's White_Space property.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -85,16 +88,20 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.automaton = ahocorasick.Automaton()
-        for token in ranks:
-            self.automaton.add_word(token.decode("latin-1"), token)
-        self.automaton.make_automaton()
         self.pattern = regex.compile(pattern)
         self.edges = Memo(self._edges)
         self.compatible = Memo(self._compatible)
         self.shorter = Memo(self._shorter)
         self.pieces = Memo(self.piece)
-        self.coarse = Memo(self._chunk)
+        self.coarse = Memo(self._chunk, 2 * MEMO_ENTRIES)
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        made = ahocorasick.Automaton()
+        for token in self.ranks:
+            made.add_word(token.decode("latin-1"), token)
+        made.make_automaton()
+        return made
 
     def _edges(self, token: bytes):
         """How a token's edges grow, or nothing for one that merges never make."""
@@ -188,6 +195,7 @@ def coder(content: bytes, pattern: str) -> Coder:
 def _mapped(spark: SparkSession, docs: DataFrame, column: str, into: str, vocabulary: str, pattern: str, what: str) -> DataFrame:
     with open(vocabulary, "rb") as file:  # bounded: one vocabulary, sent to each executor once
         content = spark.sparkContext.broadcast(file.read())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = docs.drop(into)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
