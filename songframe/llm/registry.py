@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, minhash, quality
+from songframe.llm import bpe, minhash, quality, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
+    "op4_url_filters": urls.query,
     "op7_quality_rules": quality.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES = {
+    "op4_url_filters": urls.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
