@@ -22,7 +22,6 @@ def relabel(labels: DataFrame, links: DataFrame, space: Workspace) -> DataFrame:
     while True:
         near = edges.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         least = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        least = space.keep(least, "least")
         up = least.select(F.col("node").alias("label"), F.col("label").alias("up"))
         nxt = space.keep(least.join(up, "label").select("node", "was", F.col("up").alias("label")), "labels")
         moved = nxt.where("label <> was").limit(1).count()

@@ -23,6 +23,9 @@ from songframe.llm.storage import Workspace
 
 _U = np.uint64
 
+#: After a round, pairs per row of a group up to which all are compared at once.
+PAIRS_A_ROW = 64
+
 
 @dataclass(frozen=True)
 class Banding:
@@ -197,12 +200,13 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
 def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Banding, space: Workspace) -> DataFrame:
     """Labels after all links between nodes that share a key.
 
-    A round compares each node with one member of each group of nodes that share a key, and only
-    where the two are still in different components. As soon as the pairs left are no more than twice
-    the rows of the groups, all of them are compared, which ends it. No pair that could join two
-    components stays uncompared.
+    A round compares each node with one member of the groups that it is in, and only where the two
+    are still in different components. Once the pairs left are in proportion to the groups' rows, or
+    a round linked next to nothing, all that are left are compared, which ends it. No pair that could
+    join two components stays uncompared.
     """
     tested: DataFrame | None = None
+    barren = False
     for turn in range(1, 1_000_000):
         live = live.join(labels, "node") if "comp" not in live.columns else live.drop("comp").join(labels, "node")
         groups = live.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
@@ -213,7 +217,7 @@ def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Bandi
         if not size:
             return labels
         live = space.keep(live.join(groups.select("key"), "key", "left_semi"), "live")
-        last = apart <= 2 * size
+        last = barren or apart <= (2 if tested is None else PAIRS_A_ROW) * size
         if last:
             other = live.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             pairs = live.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").where("a < b and comp <> cb")
@@ -235,6 +239,7 @@ def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Bandi
         if last:
             return labels
         tested = pairs if tested is None else tested.union(pairs)
+        barren = 20 * links.count() < pairs.count()
 
 
 #: op1: three words, similarity 0.85.
