@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, minhash, quality, urls, warc
+from songframe.llm import bpe, debruijn, minhash, quality, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
     "op4_url_filters": urls.query,
     "op7_quality_rules": quality.query,
+    "op8_debruijn": debruijn.query,
     "op10_warc": warc.query,
+    "op8_debruijn": debruijn.query,
     "op10_warc": warc.query,
 }
 
