@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, debruijn, minhash, quality, urls, warc
+from songframe.llm import bpe, brown, debruijn, minhash, quality, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_url_filters": urls.query,
     "op7_quality_rules": quality.query,
     "op8_debruijn": debruijn.query,
+    "op9_brown_lm": brown.query,
     "op10_warc": warc.query,
     "op8_debruijn": debruijn.query,
+    "op9_brown_lm": brown.query,
     "op10_warc": warc.query,
 }
 
