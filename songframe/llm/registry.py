@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, brown, debruijn, minhash, quality, urls, warc
+from songframe.llm import bpe, brown, debruijn, lines, minhash, quality, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
+    "op3_line_dedup": lines.query,
     "op4_url_filters": urls.query,
     "op7_quality_rules": quality.query,
     "op8_debruijn": debruijn.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_line_dedup": lines.ORACLE,
     "op4_url_filters": urls.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op10_warc": warc.ORACLE,
