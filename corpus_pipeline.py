@@ -1,8 +1,67 @@
-"""The corpus pipeline: quality rules, line dedup, near dedup, decontamination, tokens."""
+"""The corpus pipeline: quality rules, line dedup, near dedup, decontamination, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, folder of tables) and returns a DataFrame that is written as Parquet and
+read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from songframe.llm import bm25, bpe, lines, minhash, quality
+from songframe.llm.storage import Workspace
+from songframe.session import ship_package
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the production policy go."""
+    ship_package(spark)
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones, or nearly so, are taken out; n_chars follows the text."""
+    out = lines.without_repeats(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates stays."""
+    ship_package(spark)
+    return minhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship_package(spark)
+    return bm25.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ids (packed, 32 bits each), n_tokens, and whether decoding gives the text again."""
+    ship_package(spark)
+    coded = bpe.decode(bpe.encode(docs, *bpe.production()), *bpe.production())
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "round_trip": same}).drop("decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+
+#: Neither the near dedup's components nor the merges can be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what its predecessor wrote."""
+    space = Workspace(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = space.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
