@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from songframe.llm import bm25, bpe, brown, debruijn, lines, minhash, quality, urls, warc
+from songframe.llm import bm25, bpe, brown, debruijn, lines, minhash, quality, suffixes, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
     "op3_line_dedup": lines.query,
     "op4_url_filters": urls.query,
+    "op5_suffix_dedup": suffixes.query,
     "op6_bm25_leaks": bm25.query,
     "op7_quality_rules": quality.query,
     "op8_debruijn": debruijn.query,
