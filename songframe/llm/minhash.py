@@ -23,8 +23,8 @@ from songframe.llm.storage import Workspace
 
 _U = np.uint64
 
-#: After a round, pairs per row of a group up to which all are compared at once.
-PAIRS_A_ROW = 64
+#: Pairs per row of the groups up to which all that are left are compared at once.
+PAIRS_A_ROW = 2
 
 
 @dataclass(frozen=True)
@@ -200,36 +200,39 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
 def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Banding, space: Workspace) -> DataFrame:
     """Labels after all links between nodes that share a key.
 
-    A round compares each node with one member of the groups that it is in, and only where the two
-    are still in different components. Once the pairs left are in proportion to the groups' rows, or
-    a round linked next to nothing, all that are left are compared, which ends it. No pair that could
-    join two components stays uncompared.
+    A round names one head in each group of nodes that share a key, the member that meets most nodes
+    of other components in all its groups; in a group of edited copies that is what they are copies
+    of. Each node is compared with the head it shares most keys with, where the two are still apart.
+    Once the pairs left are in proportion to the groups' rows, or a round linked next to nothing, all
+    that are left are compared, which ends it. No pair that could join two components stays uncompared.
     """
     tested: DataFrame | None = None
     barren = False
-    for turn in range(1, 1_000_000):
-        live = live.join(labels, "node") if "comp" not in live.columns else live.drop("comp").join(labels, "node")
-        groups = live.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
-            F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inner"), F.count("*").alias("parts")
-        ).where("parts > 1")
-        groups = space.keep(groups, "groups")
+    while True:
+        live = live.drop("comp", "c").join(labels, "node")
+        parts = live.groupBy("key", "comp").agg(F.count("*").alias("own"))
+        groups = parts.groupBy("key").agg(F.sum("own").alias("c"), F.sum(F.col("own") * F.col("own")).alias("inner"), F.count("*").alias("parts"))
+        groups = space.keep(groups.where("parts > 1"), "groups")
         size, apart = groups.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("(c * c - inner) / 2")), F.lit(0.0))).first()
         if not size:
             return labels
-        live = space.keep(live.join(groups.select("key"), "key", "left_semi"), "live")
-        last = barren or apart <= (2 if tested is None else PAIRS_A_ROW) * size
+        live = space.keep(live.join(groups.select("key", "c"), "key"), "live").select("key", "node", "n", "comp", "c")
+        last = barren or apart <= PAIRS_A_ROW * size
         if last:
             other = live.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             pairs = live.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").where("a < b and comp <> cb")
         else:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")))
-            heads = live.groupBy("key").agg(first.alias("h")).select("key", "h.a", "h.na", "h.ca")
+            met = live.groupBy("node").agg(F.sum("c").alias("met"))
+            if tested is not None:
+                met = met.join(tested.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+            best = F.max(F.struct("met", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")))
+            heads = live.join(met, "node").groupBy("key").agg(best.alias("h")).select("key", "h.a", "h.na", "h.ca")
             pairs = live.join(heads, "key").where("comp <> ca").select("key", "a", F.col("node").alias("b"), F.col("na").alias("n"), F.col("n").alias("nb"))
         pairs = pairs.where(F.expr(f"100 * least(n, nb) >= {banding.percent} * greatest(n, nb)"))
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        if not last:  # a node's most promising partner of this round
+        if not last:  # a node's most promising head of this round
             pairs = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
         pairs = space.keep(pairs.select("a", "b"), "pairs")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
