@@ -130,8 +130,14 @@ def functional_label(label) -> Column:
     return F.when(_col(label) == "inst", F.lit("instrumental")).otherwise(_col(label))
 
 
+def stripped(text) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def recording_id(supplied, digest) -> Column:
-    return F.coalesce(_col(supplied), F.substring(_col(digest), 1, 16))
+    """The supplied id, or the start of the content's digest where none or an empty one is given."""
+    return F.coalesce(F.nullif(_col(supplied), F.lit("")), F.substring(_col(digest), 1, 16))
 
 
 def is_safe_id(value) -> Column:

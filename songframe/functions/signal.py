@@ -33,7 +33,8 @@ def log_filterbank(
 ) -> np.ndarray:
     """Unit-sum triangles between semitone-spaced bins, as a (frame/2, bands) matrix."""
     bins, spacing = frame // 2, rate / frame
-    semitones = TUNING_HZ * np.exp2(np.arange(-47, 64) / 12.0)
+    first, last = (int(f(12 * np.log2(hz / TUNING_HZ))) for f, hz in ((np.floor, low_hz), (np.ceil, high_hz)))
+    semitones = TUNING_HZ * np.exp2(np.arange(first, last + 1) / 12.0)
     wanted = semitones[(semitones >= low_hz) & (semitones <= high_hz)]
     nearest = np.floor(wanted / spacing + 0.5).astype(int)
     edges = np.unique(np.clip(nearest, 0, bins - 1))

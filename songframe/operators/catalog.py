@@ -24,8 +24,8 @@ def eligible_tracks(
     """Tracks with the wanted license, a genre and a length in range, with derived columns."""
     identifier = F.format_string("%06d", F.col("track_id"))
     return (
-        tracks.withColumn("genre_top", F.trim("genre_top"))
-        .withColumn("license", F.trim("license"))
+        tracks.withColumn("genre_top", X.stripped("genre_top"))
+        .withColumn("license", X.stripped("license"))
         .filter(
             (F.col("license") == license_name)
             & (F.col("genre_top") != "")

@@ -52,28 +52,45 @@ def _section_checks(section: Column, index: Column) -> Column:
 def judge_corrections(corrections: DataFrame, bases: DataFrame) -> DataFrame:
     """Each correction next to its base with the list of its problems.
 
-    ``bases`` has one row per recording: hypothesis_id, sha256, duration_seconds, backend. All
-    section checks run inside the document's own array, so no window is needed.
+    ``bases`` has a row per hypothesis: recording_id, hypothesis_id, sha256, duration_seconds, backend.
+    A correction's base is the hypothesis it names in ``base_hypothesis_id`` (where the table has that
+    column), else the one with the hash it claims, else the recording's only one. All section checks
+    run inside the document's own array, so no window is needed.
     """
-    base = bases.select(
-        "recording_id",
+    one = F.struct(
         F.col("hypothesis_id").alias("base_hypothesis_id"),
         F.col("sha256").alias("actual_sha256"),
         "duration_seconds",
         F.col("backend").alias("base_backend"),
     )
-    joined = attach(corrections, base, ["recording_id"], "correction_id")
+    listed = bases.groupBy("recording_id").agg(F.sort_array(F.collect_list(one)).alias("__bases"))
+    joined = corrections.join(listed, "recording_id", "left").withColumn("__bases", F.coalesce("__bases", F.array().cast(listed.schema["__bases"].dataType)))
+    named = F.col("base_hypothesis_id") if "base_hypothesis_id" in corrections.columns else F.lit(None).cast("string")
+    joined = joined.withColumn("__named", named).drop("base_hypothesis_id")
+    asked = F.filter("__bases", lambda x: F.col("__named").isNull() | (x["base_hypothesis_id"] == F.col("__named")))
+    exact = F.filter(asked, lambda x: x["actual_sha256"] == F.col("base_manifest_sha256"))
+    fitting = F.when(F.size(exact) > 0, exact).otherwise(asked)
+    only = F.when(F.size("__fit") == 1, F.get("__fit", F.lit(0)))
+    joined = joined.withColumn("__fit", fitting).withColumns({
+        "base_hypothesis_id": only["base_hypothesis_id"],
+        "actual_sha256": only["actual_sha256"],
+        "duration_seconds": F.coalesce(only["duration_seconds"], F.get("__bases", F.lit(0))["duration_seconds"]),
+        "base_backend": only["base_backend"],
+        "__n": F.size("__fit"),
+        "__same": F.size(exact),
+    }).drop("__bases", "__fit", "__named")
     claimed = F.col("base_manifest_sha256")
     last_end = F.get(F.col("sections"), F.size("sections") - 1)["end_seconds"]
     document = F.array(
         _check("wrong_schema", ~F.col("schema").rlike(CORRECTION_SCHEMA), F.col("schema")),
-        _check("missing_base", F.col("base_hypothesis_id").isNull(), F.col("recording_id")),
+        _check("missing_base", F.col("__n") == 0, F.col("recording_id")),
+        _check("ambiguous_base", F.col("__n") > 1, F.col("recording_id")),
         _check(
             "malformed_base_hash", claimed.isNotNull() & ~claimed.rlike(SHA256_PATTERN), claimed
         ),
         _check(
             "different_base",
-            claimed.isNotNull() & F.col("actual_sha256").isNotNull() & (claimed != F.col("actual_sha256")),
+            claimed.isNotNull() & (F.col("__n") > 0) & (F.col("__same") == 0),
             claimed,
         ),
         _check("missing_annotator", F.length("annotator") < 1, F.col("annotator")),
@@ -93,6 +110,7 @@ def judge_corrections(corrections: DataFrame, bases: DataFrame) -> DataFrame:
     judged = joined.withColumn(
         "problems", F.filter(F.concat(document, per_section), lambda p: p.isNotNull())
     )
+    judged = judged.drop("__n", "__same")
     if "unknown_keys" in corrections.columns:
         extra = F.transform(
             F.coalesce("unknown_keys", F.array()),
@@ -164,7 +182,8 @@ def apply_corrections(
         "created_at",
     )
     kept = [c for c in bases.columns if c not in ("recording_id", "hypothesis_id", "backend")]
-    structures = bases.join(lineage, "recording_id").select(
+    of_base = bases.withColumnRenamed("hypothesis_id", "base_hypothesis_id")
+    structures = of_base.join(lineage, ["recording_id", "base_hypothesis_id"]).select(
         "recording_id",
         F.col("__new").alias("hypothesis_id"),
         F.lit(BACKEND_NAME).alias("backend"),

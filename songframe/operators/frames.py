@@ -44,10 +44,34 @@ DEFAULT_CONFIGS = (
 )
 
 
+def reblocked(blocks: DataFrame, size: int = schemas.BLOCK_SAMPLES) -> DataFrame:
+    """The same samples in blocks of ``size``, whatever lengths they came in.
+
+    Each piece goes to the block it falls in; a block collects at most ``size`` samples.
+    """
+    first, last = F.floor(F.col("start_sample") / size), F.floor((F.col("start_sample") + F.size(F.get("samples", F.lit(0))) - 1) / size)
+    cut = blocks.filter(F.size(F.get("samples", F.lit(0))) > 0).withColumn("__block", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("__block") * size - F.col("start_sample"), F.lit(0))
+    end = F.least((F.col("__block") + 1) * size - F.col("start_sample"), F.size(F.get("samples", F.lit(0))).cast("long"))
+    cut = cut.withColumn("__start", F.col("start_sample") + begin)
+    cut = cut.withColumn("samples", F.transform("samples", lambda c: F.slice(c, (begin + 1).cast("int"), (end - begin).cast("int"))))
+    others = [c for c in blocks.columns if c not in ("recording_id", "track", "block_index", "start_sample", "samples", "before", "after")]
+    parts = cut.groupBy("recording_id", "track", F.col("__block").cast("bigint").alias("block_index")).agg(
+        F.min("__start").alias("start_sample"),
+        F.sort_array(F.collect_list(F.struct("__start", "samples"))).alias("__parts"),
+        *[F.first(c).alias(c) for c in others],
+    )
+    channels = F.size(F.get("__parts", F.lit(0))["samples"])
+    joined = F.transform(F.sequence(F.lit(0), channels - 1), lambda i: F.flatten(F.transform("__parts", lambda p: F.get(p["samples"], i))))
+    return parts.withColumn("samples", joined).select(*[c for c in blocks.columns if c not in ("before", "after")])
+
+
 def with_context(blocks: DataFrame) -> DataFrame:
     """Add ``before`` and ``after`` samples taken from the neighbouring blocks.
 
-    Only block edges travel to the neighbours; each block is moved once to meet them.
+    Only block edges travel to the neighbours; each block is moved once to meet them. Blocks that are
+    shorter than the context they owe are an error, since frames would be lost without a word: see
+    ``reblocked``. The last block of a track may be short.
     """
     keys = ["recording_id", "track", "block_index"]
     tail = F.transform(
@@ -74,9 +98,13 @@ def with_context(blocks: DataFrame) -> DataFrame:
         F.first("edge.h", ignorenulls=True).alias("after"),
     )
     silent = F.transform("samples", lambda c: F.slice(c, 1, 0))
+    length = F.size(F.get("samples", F.lit(0)))
+    owed = F.when(F.col("after").isNotNull(), max(schemas.CONTEXT_BEFORE, schemas.CONTEXT_AFTER)).otherwise(0)
+    short = F.raise_error(F.concat(F.lit("block shorter than its context: "), F.concat_ws("/", *keys))).cast("array<array<float>>")
     return (
         blocks.drop("before", "after")
         .join(edges, keys, "left")
+        .withColumn("samples", F.when(length < owed, short).otherwise(F.col("samples")))
         .withColumn("before", F.coalesce("before", silent))
         .withColumn("after", F.coalesce("after", silent))
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# How many ways a per-recording attribute row is replicated so that the detail rows of one
-# recording can be spread over that many tasks. Adaptive execution splits what is still too large.
-SPREAD = 16
+# How many ways an attribute row is replicated so that the detail rows of one key can be spread over
+# that many tasks. Adaptive execution splits large partitions of a join by itself, so the default is
+# not to copy; more is for keys known to be hot where it cannot, as under an aggregate.
+SPREAD = 1
 
 
 def attach(
@@ -16,9 +17,11 @@ def attach(
 ) -> DataFrame:
     """Join one attribute row per key to many detail rows.
 
-    Detail rows of one key are split by a hash of ``spread_by``; the attribute row is copied once
-    per split. The copies are a fixed multiple of the small side and the answer is unchanged.
+    With ``spread`` above 1, detail rows of one key are split by a hash of ``spread_by``, and the
+    attribute row is copied once per split. The answer is unchanged.
     """
+    if spread == 1:
+        return detail.join(attributes, on, how)
     column = F.col(spread_by) if isinstance(spread_by, str) else spread_by
     salted = detail.withColumn("__salt", F.pmod(F.xxhash64(column), F.lit(spread)).cast("int"))
     copies = attributes.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(spread)])))

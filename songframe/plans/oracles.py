@@ -172,7 +172,7 @@ SELECT track_id, genre_top, artist_id, is_repeat, genre_rank FROM ranked ORDER B
     "content_hash": """SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes,
   substr(sha256(text), 1, 16) AS recording_id FROM documents""",
     "recording_ids": """WITH named AS (
-  SELECT o_orderkey, coalesce(nullif(o_orderpriority, '2-HIGH'), substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16)) AS recording_id
+  SELECT o_orderkey, CASE WHEN o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM') THEN o_orderpriority END AS given, coalesce(given, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16)) AS recording_id
   FROM orders)
 SELECT o_orderkey, recording_id, regexp_full_match(recording_id, '[A-Za-z0-9][A-Za-z0-9._-]*') AS safe FROM named""",
     "config_violations": """

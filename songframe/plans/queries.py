@@ -89,7 +89,9 @@ def content_hash(t):
 
 @query
 def recording_ids(t):
-    supplied = F.nullif(F.col("o_orderpriority"), F.lit("2-HIGH"))
+    """Given, missing and empty ids."""
+    given = F.nullif(F.col("o_orderpriority"), F.lit("2-HIGH"))
+    supplied = F.when(F.col("o_orderpriority") == "3-MEDIUM", "").otherwise(given)
     identity = X.recording_id(supplied, F.sha2(F.col("o_orderkey").cast("string"), 256))
     return t.orders.select("o_orderkey", identity.alias("recording_id"), X.is_safe_id(identity).alias("safe"))
 
@@ -619,7 +621,7 @@ def _corrections(t: B.Tables) -> DataFrame:
         F.concat(F.lit("c"), "doc_id").alias("correction_id"), F.col("doc_id").cast("string").alias("recording_id"),
         F.lit("structure-correction/v1").alias("schema"),
         F.when(F.col("toxic") == 1, F.sha2(F.col("doc_id").cast("string"), 256)).otherwise(F.col("sha")).alias("base_manifest_sha256"),
-        F.lit("reviewer").alias("annotator"), F.lit("2026-08-12T15:00:00Z").alias("created_at"),
+        F.lit("reviewer").alias("annotator"), F.lit("2031-03-04T05:06:07+01:00").alias("created_at"),
         F.array(
             part(F.lit(0.0), half, "intro", none),
             part(half, F.col("n_chars") / F.lit(10.0), "verse", F.when(F.col("quality") == 0, 1.5).otherwise(0.5)),

@@ -20,7 +20,7 @@ RUNTIME = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
     "spark.sql.parquet.enableNestedColumnVectorizedReader": "false",
     "spark.sql.parquet.compression.codec": "zstd",
-    # Lineage re-published for one recording replaces that recording's partition only.
+    # Publishing replaces the partitions it writes; ``sinks.publish`` carries over their other recordings.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from songframe.operators.corrections import apply_corrections
 from songframe.sources.manifests import correction_documents, parse_corrections
-from songframe.sources.sinks import append_hypothesis
+from songframe.sources.sinks import append_new
 
 
 def arriving_corrections(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,28 +34,19 @@ def publish_corrections(
     output: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Apply every arriving correction once and append its sections under its own hypothesis.
+    """Apply every arriving correction once: its structure, beats, sections and violations.
 
-    The source remembers files by name; what was already written is skipped by hypothesis, so a
-    repeated batch after a lost driver adds nothing twice.
+    The source remembers files by name; what was already written is skipped by hypothesis, and
+    violations by correction and check, so a repeated batch after a lost driver adds nothing twice.
     """
+    hypothesis = ["recording_id", "hypothesis_id"]
 
     def apply(batch: DataFrame, _: int) -> None:
         corrected = apply_corrections(batch, bases, beats, recordings)
-        sections = corrected.sections.drop("spectrogram_frames")
-        try:
-            known = (
-                batch.sparkSession.read.parquet(f"{output}/sections")
-                .filter(F.col("hypothesis_kind") == "correction")
-                .select("recording_id", "hypothesis_id")
-                .distinct()
-            )
-            sections = sections.join(known, ["recording_id", "hypothesis_id"], "left_anti")
-        except Exception as missing:  # first batch: nothing written yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        append_hypothesis(sections, f"{output}/sections")
-        corrected.violations.write.mode("append").parquet(f"{output}/violations")
+        append_new(corrected.sections.drop("spectrogram_frames"), f"{output}/sections", hypothesis)
+        append_new(corrected.beats, f"{output}/beats", hypothesis)
+        append_new(corrected.structures, f"{output}/structures", hypothesis)
+        append_new(corrected.violations, f"{output}/violations", ["recording_id", "stage", "check", "subject"])
 
     return (
         arriving_corrections(spark, folder)

@@ -1,15 +1,17 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from songframe.operators import corrections as CR
 from songframe.sources import manifests as MF
 
-BASE_SHA = hashlib.sha256(b"base").hexdigest()
-SECTIONS = [{"start_seconds": 0, "end_seconds": 4, "label": "intro"}, {"start_seconds": 4, "end_seconds": 10, "label": "verse"}]
+BASE_SHA, OTHER_SHA = (hashlib.sha256(x).hexdigest() for x in (b"first take", b"second take"))
+SECTIONS = [{"start_seconds": 0, "end_seconds": 5.5, "label": "opening"}, {"start_seconds": 5.5, "end_seconds": 13, "label": "closing"}]
 
 
 def document(**changes):
-    value = {"schema": "structure-correction/v1", "annotator": "reviewer-1", "created_at": "2026-08-12T15:00:00Z", "sections": SECTIONS}
+    value = {"schema": "structure-correction/v1", "annotator": "ear-7", "created_at": "2030-02-03T04:05:06.5+07:00", "sections": SECTIONS}
     value.update(changes)
     return json.dumps({k: v for k, v in value.items() if v is not None})
 
@@ -18,12 +20,14 @@ def section(i, **changes):
     return [{**s, **(changes if k == i else {})} for k, s in enumerate(SECTIONS)]
 
 
+BASES = "recording_id string, hypothesis_id string, sha256 string, duration_seconds double, backend string, tempo_bpm double"
+
+
 def setup(spark):
-    bases = spark.createDataFrame([("song", "baseline", BASE_SHA, 10.0, "test", 120.0)],
-                                  "recording_id string, hypothesis_id string, sha256 string, duration_seconds double, backend string, tempo_bpm double")
-    beats = spark.createDataFrame([("song", "baseline", i, float(i + 1), i == 0) for i in range(3)],
+    bases = spark.createDataFrame([("song", "baseline", BASE_SHA, 13.0, "test", 96.0)], BASES)
+    beats = spark.createDataFrame([("song", "baseline", i, 0.7 * i, i == 2) for i in range(4)],
                                   "recording_id string, hypothesis_id string, beat_index bigint, seconds double, is_downbeat boolean")
-    recordings = spark.createDataFrame([("song", 100, 1_000)], "recording_id string, sample_rate_hz int, frame_count bigint")
+    recordings = spark.createDataFrame([("song", 200, 2_600)], "recording_id string, sample_rate_hz int, frame_count bigint")
     return bases, beats, recordings
 
 
@@ -33,28 +37,45 @@ def parse(spark, documents):
 
 
 def test_accepted_correction_realigns_and_keeps_beats(spark):
+    """5.5 s are 1,100 samples at 200 Hz; frames are 0.4 s apart, so frame 14 at 5.6 s is the first after."""
     bases, beats, recordings = setup(spark)
-    meta = spark.createDataFrame([("song", "mixture", "test", 0, 25, 100, 40)],
+    meta = spark.createDataFrame([("song", "mixture", "coarse", 0, 80, 200, 33)],
                                  "recording_id string, track string, config string, n_fft int, hop_length int, sample_rate_hz int, time_frames bigint")
-    sections = [SECTIONS[0] | {"notes": "quiet"}, SECTIONS[1] | {"confidence": 0.5}]
-    done = CR.apply_corrections(parse(spark, {"c1": document(base_manifest_sha256=BASE_SHA, sections=sections)}), bases, beats, recordings, meta)
+    sections = [SECTIONS[0] | {"confidence": 0.25}, SECTIONS[1] | {"notes": "slower"}]
+    done = CR.apply_corrections(parse(spark, {"c9": document(base_manifest_sha256=BASE_SHA, sections=sections)}), bases, beats, recordings, meta)
     assert done.violations.count() == 0
-    rows = done.sections.orderBy("section_index").collect()
-    assert [(r.label, r.label_kind, r.confidence, r.notes) for r in rows] == [
-        ("intro", "human_annotation", 1.0, "quiet"), ("verse", "human_annotation", 0.5, None)]
-    assert rows[0].end_sample == 400 and rows[1].spectrogram_frames["test"].start == 16
-    assert sorted((r.hypothesis_id, r.seconds) for r in done.beats.collect()) == [("correction:c1", s) for s in (1.0, 2.0, 3.0)]
-    structure = done.structures.first()
-    assert (structure.backend, structure.base_backend, structure.tempo_bpm, structure.annotator) == ("human-corrected-structure", "test", 120.0, "reviewer-1")
-    assert structure.base_manifest_sha256 == BASE_SHA and structure.hypothesis_id == "correction:c1"
+    first, second = done.sections.orderBy("section_index").collect()
+    assert (first.label, first.confidence, first.notes, first.end_sample) == ("opening", 0.25, None, 1_100)
+    assert (second.label, second.confidence, second.notes, second.end_sample) == ("closing", 1.0, "slower", 2_600)
+    assert first.spectrogram_frames["coarse"].end == second.spectrogram_frames["coarse"].start == 14
+    assert {first.label_kind, second.label_kind} == {CR.LABEL_KIND}
+    assert {(r.hypothesis_id, r.beat_index, r.is_downbeat) for r in done.beats.collect()} == {("correction:c9", i, i == 2) for i in range(4)}
+    made = done.structures.first()
+    assert (made.hypothesis_id, made.backend, made.base_backend, made.tempo_bpm) == ("correction:c9", CR.BACKEND_NAME, "test", 96.0)
+    assert (made.annotator, made.base_manifest_sha256) == ("ear-7", BASE_SHA)
+
+
+def test_several_hypotheses_of_one_recording(spark):
+    bases, beats, recordings = setup(spark)
+    bases = bases.union(spark.createDataFrame([("song", "learned", OTHER_SHA, 13.0, "net", 97.0)], BASES))
+    texts = {"by_hash": document(base_manifest_sha256=OTHER_SHA), "none": document(), "wrong": document(base_manifest_sha256="0" * 64)}
+    done = CR.apply_corrections(parse(spark, texts), bases, beats, recordings)
+    assert {(r.subject, r.check) for r in done.violations.collect()} == {
+        ("none", "ambiguous_base"), ("wrong", "ambiguous_base"), ("wrong", "different_base")}
+    made = done.structures.collect()
+    assert [(r.hypothesis_id, r.base_backend, r.base_hypothesis_id, r.tempo_bpm) for r in made] == [("correction:by_hash", "net", "learned", 97.0)]
+    named = parse(spark, {"named": document()}).withColumn("base_hypothesis_id", F.lit("baseline"))
+    done = CR.apply_corrections(named, bases, beats, recordings)
+    assert [(r.base_hypothesis_id, r.base_manifest_sha256) for r in done.structures.collect()] == [("baseline", BASE_SHA)]
+    assert done.violations.count() == 0 and done.beats.count() == 4
 
 
 def test_every_problem_is_named(spark):
     bases, beats, recordings = setup(spark)
     cases = {
-        "gap": (document(sections=section(1, start_seconds=5)), "discontinuous"),
-        "short": (document(sections=section(1, end_seconds=9)), "incomplete"),
-        "late": (document(sections=section(1, end_seconds=11)), "past_end"),
+        "gap": (document(sections=section(1, start_seconds=6)), "discontinuous"),
+        "short": (document(sections=section(1, end_seconds=12)), "incomplete"),
+        "late": (document(sections=section(1, end_seconds=14)), "past_end"),
         "flat": (document(sections=section(0, end_seconds=0)), "non_positive"),
         "label": (document(sections=section(0, label="")), "empty_label"),
         "sure": (document(sections=section(0, confidence=1.5)), "confidence_out_of_range"),
@@ -103,7 +124,14 @@ def test_stream_applies_each_correction_once(spark, tmp_path):
     (landing / "a.json").write_text(document())
     assert drain() == 2
     (landing / "b.json").write_text(document(annotator="other"))
-    (landing / "c.json").write_text(document(sections=section(1, start_seconds=5)))
+    (landing / "c.json").write_text(document(sections=section(1, start_seconds=6)))
     assert drain() == 4
     assert drain() == 4
     assert {r.check for r in spark.read.parquet(f"{out}/violations").collect()} == {"discontinuous"}
+    for table, rows in (("structures", 2), ("beats", 8), ("violations", 1)):
+        assert spark.read.parquet(f"{out}/{table}").count() == rows
+    # a lost source checkpoint replays every file
+    query = publish_corrections(spark, str(tmp_path / "landing"), bases, beats, recordings, out, str(tmp_path / "again"))
+    query.awaitTermination(120)
+    for table, rows in (("sections", 4), ("structures", 2), ("beats", 8), ("violations", 1)):
+        assert spark.read.parquet(f"{out}/{table}").count() == rows

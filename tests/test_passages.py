@@ -73,16 +73,16 @@ def test_edges(spark):
 
 
 def test_alignment_stems_and_violations(spark):
-    sections = spark.createDataFrame([("a", "h", 0, 0.0, 2.0, "intro"), ("a", "h", 1, 2.0, 4.0, "outro")], SECTIONS)
-    beats = spark.createDataFrame([("a", "h", 0.5 * i) for i in range(1, 8)], BEATS)
-    recordings = spark.createDataFrame([("a", 100, 400, 4.0)], "recording_id string, sample_rate_hz int, frame_count bigint, duration_seconds double")
+    sections = spark.createDataFrame([("a", "h", 0, 0.0, 3.0, "ride"), ("a", "h", 1, 3.0, 7.0, "coda")], SECTIONS)
+    beats = spark.createDataFrame([("a", "h", 0.6 * i) for i in range(1, 12)], BEATS)
+    recordings = spark.createDataFrame([("a", 50, 350, 7.0)], "recording_id string, sample_rate_hz int, frame_count bigint, duration_seconds double")
     stems = spark.createDataFrame([("a", s, f"/{s}", s[0]) for s in ("vocals", "drums", "bass", "other", "choir")], "recording_id string, stem string, path string, sha256 string")
-    built = PS.build_passages(sections, beats, recordings, None, stems, 2, 0.25)
+    built = PS.build_passages(sections, beats, recordings, None, stems, 3, 0.5)
     rows = built.orderBy("passage_index").collect()
-    assert rows[0].start_seconds == 0 and rows[-1].end_seconds == 4 and rows[-1].end_sample == 400
+    assert rows[0].start_seconds == 0 and rows[-1].end_seconds == 7 and rows[-1].end_sample == 350
     assert all(a.end_seconds == b.start_seconds for a, b in zip(rows, rows[1:]))
     assert [r.passage_index for r in rows] == list(range(len(rows)))
-    assert {r.section_label for r in rows} == {"intro", "outro"}
+    assert {r.section_label for r in rows} == {"ride", "coda"}
     assert set(rows[0].aligned_stems) == {"vocals", "drums", "bass", "other"}
     durations = recordings.withColumn("hypothesis_id", F.lit("h"))
     assert PS.passage_violations(built, durations).count() == 0
@@ -93,6 +93,7 @@ def test_alignment_stems_and_violations(spark):
 
 def test_bad_settings():
     with pytest.raises(ValueError):
-        PS.config_is_valid(0, 1.0)
-    with pytest.raises(ValueError):
-        PS.config_is_valid(1, 0.0)
+        PS.check_settings(beats_per_passage=-3, minimum_seconds=2.5)
+    with pytest.raises(ValueError, match="minimum_seconds"):
+        PS.check_settings(beats_per_passage=4, minimum_seconds=float("nan"))
+    PS.check_settings(beats_per_passage=4, minimum_seconds=0.1)
