@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from songframe.llm.batches import pieces, signed, word_hashes, words
 from songframe.llm.storage import Workspace
 
-#: Share of all training tokens from which a word's count goes to every task (at most 32,768 words).
-LISTED = 1 / 32_768
+#: Share of all training tokens from which a word's count goes to every task: at most 1,048,576 words of
+#: 24 bytes, however large the corpus is.
+LISTED = 1 / 1_048_576
 #: Share from which a word takes part in the clustering (at most 2,048 words).
 CLUSTERED = 1 / 2_048
 CLASSES = 48

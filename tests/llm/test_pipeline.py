@@ -27,7 +27,7 @@ def corpus():
     texts += [boilerplate + "\n" + prose(6) for _ in range(4)] + [edited(rng, boilerplate, 2) + "\n" + prose(6)]
     texts += [prose(4) + "\n" + item + "\n" + prose(2)]
     # near copies with every line too far from the first's for the line stage
-    body = [[f"z{rng.randint(0, 3000)}" for _ in range(25)] for _ in range(8)]
+    body = [[f"z{rng.randint(0, 3000)}" for _ in range(60)] for _ in range(8)]
     texts.append("\n".join(" ".join(x) for x in body))
     texts.append("\n".join(" ".join(x) + " other" for x in body))
     return list(enumerate(texts)), [(7, item)]
