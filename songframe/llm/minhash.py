@@ -25,6 +25,8 @@ _U = np.uint64
 
 #: Pairs per row of the groups up to which all that are left are compared at once.
 PAIRS_A_ROW = 2
+#: So many pairs are few anyway, and not worth a round.
+FEW_PAIRS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -217,7 +219,7 @@ def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Bandi
         if not size:
             return labels
         live = space.keep(live.join(groups.select("key", "c"), "key"), "live").select("key", "node", "n", "comp", "c")
-        last = barren or apart <= PAIRS_A_ROW * size
+        last = barren or apart <= max(FEW_PAIRS, PAIRS_A_ROW * size)
         if last:
             other = live.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             pairs = live.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").where("a < b and comp <> cb")
