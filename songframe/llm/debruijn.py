@@ -230,7 +230,7 @@ def repeated(source: DataFrame, space: Workspace, k: int = K, window: int = WIND
     vertices = source.mapInArrow(_vertices(k, window), "doc long, th long, v long, q int, before int, after int, e_in long, e_out long")
     graph = compacted(vertices, space)
     entry = F.struct("q", "before", "after", "v", "inner", "u")
-    lists = graph.distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(entry)).alias("vertices"))
+    lists = graph.groupBy("doc", "th").agg(F.array_distinct(F.sort_array(F.collect_list(entry))).alias("vertices"))
     ready = source.join(lists, ["doc", "th"]).select("doc", "th", "text", "vertices")
     spans = space.keep(ready.mapInArrow(_open(k, window), "doc long, th long, u long, h1 long, h2 long, start int, end int"), "spans")
     firsts = spans.groupBy("u", "h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")

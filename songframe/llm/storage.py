@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,9 @@ class Workspace:
         self._n += 1
         path = f"{self.path}/{self._n:02d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        # what was shuffled for the table is of no more use; Spark drops it once nothing refers to it
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:
