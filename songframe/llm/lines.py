@@ -60,6 +60,12 @@ def _common(a: str, b: str, most: str) -> str:
     return f"aggregate(sequence(24, 0, -1), 0, (p, k) -> if({ask}, p + {step}, p))"
 
 
+def _fixed(rows: DataFrame, **columns: str) -> DataFrame:
+    """``rows`` with columns that are computed once: the optimiser moves no expression over a generator,
+    where it would put plain columns into each place that uses them, lambdas included."""
+    return rows.select("*", F.inline(F.array(F.struct(*[F.expr(value).alias(name) for name, value in columns.items()]))))
+
+
 def within(pairs: DataFrame, edits: int) -> DataFrame:
     """The rows of ``pairs`` whose strings a and b are at most ``edits`` apart, characters as units.
 
@@ -69,13 +75,14 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     """
     k, width = edits, 2 * edits + 1
     mask = (1 << width) - 1
-    rows = pairs.where(f"abs(char_length(a) - char_length(b)) <= {k}")
-    rows = rows.withColumn("_p", F.expr(_common("a", "b", "least(char_length(a), char_length(b))")))
-    rows = rows.withColumn("_ra", F.expr("reverse(substring(a, _p + 1))")).withColumn("_rb", F.expr("reverse(substring(b, _p + 1))"))
-    rows = rows.withColumn("_s", F.expr(_common("_ra", "_rb", "least(char_length(_ra), char_length(_rb))")))
     pad = "x" * k  # the same at both ends changes no distance, and makes the band fit
-    rows = rows.withColumn("_x", F.expr(f"concat(substring(_ra, _s + 1), '{pad}')")).withColumn("_y", F.expr(f"concat(substring(_rb, _s + 1), '{pad}')"))
-    rows = rows.withColumn("_m", F.expr("char_length(_x)")).withColumn("_n", F.expr("char_length(_y)"))
+    rows = pairs.where(f"abs(char_length(a) - char_length(b)) <= {k}")
+    rows = _fixed(rows, _q="least(char_length(a), char_length(b))")
+    rows = _fixed(rows, _p=_common("a", "b", "_q"))
+    rows = _fixed(rows, _ra="reverse(substring(a, _p + 1))", _rb="reverse(substring(b, _p + 1))")
+    rows = _fixed(rows, _s=_common("_ra", "_rb", "(_q - _p)"))
+    rows = _fixed(rows, _x=f"concat(substring(_ra, _s + 1), '{pad}')", _y=f"concat(substring(_rb, _s + 1), '{pad}')")
+    rows = _fixed(rows, _m="char_length(_x)", _n="char_length(_y)")
     row = lambda t: f"(j + {t - k})"
     hit = " | ".join(
         f"if({row(t)} between 1 and _m and substring(_x, {row(t)}, 1) = substring(_y, j, 1), {1 << t}L, 0L)" for t in range(width)
@@ -95,7 +102,8 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     start = f"named_struct('vp', {((1 << (k + 1)) - 1) << k}L, 'vn', 0L, 'd', {k})"
     step = f"if(s.d > {2 * k} + _n - _m, s, {body})"
     distance = f"aggregate(sequence(1, _n), {start}, (s, j) -> {step}, s -> s.d)"
-    return rows.where(F.expr(f"{distance} <= {k}")).drop("_p", "_ra", "_rb", "_s", "_x", "_y", "_m", "_n")
+    rows = _fixed(rows, _d=distance).where(f"_d <= {k}")
+    return rows.drop("_q", "_p", "_ra", "_rb", "_s", "_x", "_y", "_m", "_n", "_d")
 
 
 def _bucketed(docs: DataFrame, space: Workspace) -> DataFrame:
