@@ -1,13 +1,14 @@
 """Language-model scores from word classes learned by exchange clustering.
 
-Words are counted over all training documents. The words above a share of all tokens get classes by
-the exchange algorithm: every word moves to the class that raises the likelihood of the class bigrams
-most. Rarer words share one class, and so do words that training never saw; contexts look past them. A
-token's probability is that of its class after the class before, times that of the word in its class,
-both smoothed.
-
-Words are known by 64-bit hashes. What is sent to every task is bounded by shares of all tokens: at
-most ``1 / LISTED`` words with their counts, and the classes of at most ``1 / CLUSTERED`` of them.
+Words are counted over all training documents. Every one of them gets a class by the exchange
+algorithm: in rounds over all words, each moves to the class that raises the likelihood of the class
+bigrams most, until few move. A token's probability is that of its class after the class before, times
+that of the word in its class, both smoothed; words that training never saw have a class of their own.
+
+Words are known by 64-bit hashes. What is sent to every task is bounded: the ``LISTED`` most frequent
+words with their counts and classes, and the table of class pairs. All other words' counts and classes
+lie in a table and are joined. Bigrams of words stay in a table; the number of classes grows with the
+cube root of the number of words, so the class table stays smaller than the vocabulary.
 """
 
 from __future__ import annotations
@@ -21,23 +22,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm.batches import pieces, signed, word_hashes, words
+from songframe.llm.batches import mix, pieces, signed, word_hashes, words
 from songframe.llm.storage import Workspace
 
-#: Share of all training tokens from which a word's count goes to every task: at most 1,048,576 words of
-#: 24 bytes, however large the corpus is.
-LISTED = 1 / 1_048_576
-#: Share from which a word takes part in the clustering (at most 2,048 words).
-CLUSTERED = 1 / 2_048
+#: At most so many words, the most frequent ones, are sent to every task; the others are joined.
+LISTED = 1 << 18
+#: Least number of classes; more from the cube of it on.
 CLASSES = 48
-#: Words are split in this many parts, and a round moves the words of one.
-PARTS = 4
-ROUNDS = 8
+#: Words are split in this many parts, and a round moves the words of one; in more, once moves made
+#: side by side lower the likelihood. The rounds end where ``MOST_PARTS`` still lower it.
+PARTS, MOST_PARTS = 2, 64
+#: A round is quiet if fewer than this share of its words move, or the likelihood grows by less than
+#: this share of what it grew in all rounds. The rounds end when each part in turn was quiet.
+FEW = 0.01
+#: A task brings its table up to date after moves of words with this share of all tokens.
+STALE = 1 / 1_000
+#: Counts up to which differences of c * log c are tabled.
+SMALL = 8
 #: Tokens that smoothing adds to each class transition's count.
 ADDED = 0.1
 
 END = np.uint64(0x5EED0FE4D0C5)  # the hash that stands for the end of a text
-RARE, BORDER = 0, 1  # classes of all words not clustered, and of a text's end
+RARE, BORDER = 0, 1  # classes of words that training never saw, and of a text's end
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,183 +74,328 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-class _Classes:
-    """Looks hashes up in a sorted list; what is not listed has class RARE and count 0."""
+class _Listed:
+    """Codes of words: a listed word's rank, the number of listed words for a text's end, and for all
+    other words a negative number made of the hash."""
 
-    def __init__(self, listed: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.words, self.counts, self.classes = listed
+    def __init__(self, hashes: np.ndarray, ranks: np.ndarray):
+        self.hashes, self.ranks = hashes, ranks
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(self.words):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.full(len(hashes), RARE)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        found = self.words[at] == hashes
-        return found, np.where(found, self.counts[at], 0), np.where(found, self.classes[at], RARE)
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        other = signed(hashes | np.uint64(1 << 63))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            other = np.where(self.hashes[at] == hashes, self.ranks[at], other)
+        return np.where(hashes == END, len(self.hashes), other)
 
 
-def _pairs(known):
-    """Texts to counts (a, b, c) of clustered words with only rare ones between; ids in the list."""
+def _summed(keys: list[np.ndarray], c: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of two key columns put together, their counts added."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(mix(keys[0].view(np.uint64)) + keys[1].astype(np.int64).view(np.uint64), kind="stable")
+    keys, c = [k[order] for k in keys], c[order]
+    fresh = np.ones(len(c), bool)
+    fresh[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+    at = np.flatnonzero(fresh)
+    return [k[at] for k in keys], np.add.reduceat(c, at) if len(c) else c
+
+
+def _before(codes: np.ndarray, end: int) -> np.ndarray:
+    """The code before each token; an end stands before the next text."""
+    return np.concatenate(([end], codes[:-1]))
+
+
+def _pairs(sent):
+    """Texts to counts (a, b, c) of neighbours' codes, ends among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, size = known.value, len(known.value)
-        total, held = [], 0
+        listed: _Listed = sent.value
+        held, size = [], 0
 
         def flush():
-            values, n = np.unique(np.concatenate(total), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(values // size, pa.int32()), pa.array(values % size, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "c"]
-            )
+            codes = np.concatenate(held)
+            keys, c = _summed([_before(codes, len(listed.hashes)), codes], np.ones(len(codes), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(c)], ["a", "b", "c"])
 
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                hashes, texts = _tokens(data, offsets)
-                at = np.minimum(np.searchsorted(vocabulary, hashes), size - 1)
-                good = vocabulary[at] == hashes
-                at, texts = at[good], texts[good]
-                both = np.flatnonzero(texts[1:] == texts[:-1])
-                total.append(at[both] * size + at[both + 1])
-                held += len(both)
-                if held > 1 << 21:
+                held.append(listed.codes(_tokens(data, offsets)[0]))
+                size += len(held[-1])
+                if size > 1 << 21:
                     yield flush()
-                    total, held = [], 0
-        if total:
+                    held, size = [], 0
+        if held:
             yield flush()
 
     return run
 
 
-def _before(own: np.ndarray) -> np.ndarray:
-    """For each token the last class before it that isn't RARE; an end stands before the next text."""
-    last = np.maximum.accumulate(np.where(own == RARE, -1, np.arange(len(own))))
-    last = np.concatenate(([-1], last[:-1]))
-    return np.where(last < 0, BORDER, own[last])
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).fill_null(0).to_numpy(zero_copy_only=False)
+
 
+def _class_of(codes: np.ndarray, own: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    return np.where(codes >= 0, own[np.maximum(codes, 0)], joined)
 
-def _transitions(listed):
-    """Texts to counts of class pairs (first, then, c); a text's first class follows BORDER."""
+
+def _cells(sent, classes: int):
+    """(a, b, c, ka, kb) to counts of class pairs (first, then, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _Classes(listed.value)
-        total = np.zeros((CLASSES + 2, CLASSES + 2), np.int64)
+        own, total = sent.value, np.zeros(classes * classes)
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
-                hashes, _ = _tokens(data, offsets)
-                own = np.where(hashes == END, BORDER, classes.find(hashes)[2])
-                before = _before(own)
-                total += np.bincount(before * (CLASSES + 2) + own, minlength=total.size).reshape(total.shape)
-        first, then = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(then), pa.array(total[first, then])], ["first", "then", "c"])
+            a, b, c, ka, kb = (_numbers(batch, x) for x in ("a", "b", "c", "ka", "kb"))
+            pair = _class_of(a, own, ka) * classes + _class_of(b, own, kb)
+            total += np.bincount(pair, weights=c, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at // classes), pa.array(at % classes), pa.array(total[at].astype(np.int64))], ["first", "then", "c"]
+        )
 
     return run
 
 
+def _near(sent, classes: int, part: int, parts: int):
+    """(a, b, c, ka, kb) to (w, at, c) of the words of one part: counts of the classes after a word,
+    then of those before it; a word's own class is a third such range with no count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, end = sent.value, len(sent.value) - 1
+        held, size = [], 0
+
+        def flush():
+            w, at, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            (w, at), c = _summed([w, at], c)
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(at, pa.int32()), pa.array(c)], ["w", "at", "c"])
+
+        for batch in batches:
+            a, b, c, ka, kb = (_numbers(batch, x) for x in ("a", "b", "c", "ka", "kb"))
+            ka, kb = _class_of(a, own, ka), _class_of(b, own, kb)
+            for side, w, k, mine in ((0, a, kb, ka), (1, b, ka, kb)):
+                turn = np.flatnonzero((mix(w.view(np.uint64)) % np.uint64(parts) == part) & (w != end))
+                held.append((w[turn], k[turn] + side * classes, c[turn]))
+                if not side:  # every word is once before another, or before an end
+                    held.append((w[turn], mine[turn] + 2 * classes, np.zeros(len(turn), np.int64)))
+                size += len(turn) * (2 - side)
+            if size > 1 << 21:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1.0))
+
+
+class _Table:
+    """Class pairs as one task knows them, with differences of c * log c for small counts."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.total = table.copy(), table.sum()
+        self.renew()
+
+    def renew(self) -> None:
+        self.sides = np.stack((np.ascontiguousarray(self.table.T), self.table))  # [side, neighbour's class, word's class]
+        self.alone, self.changed = self.table.sum(1), 0.0
+        n = np.arange(1, SMALL + 1)[None, :, None, None]
+        self.rise = _xlogx(self.sides[:, None] + n) - _xlogx(self.sides)[:, None]
+
+    def best(self, at: np.ndarray, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The class each word of sorted (word, at, c) moves to; entries of a word from ``begin`` on."""
+        classes = len(self.table)
+        side, k = at // classes, at % classes
+        word = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
+        own = np.zeros(len(begin), np.int64)
+        own[word[side == 2]] = k[side == 2]
+        tokens = np.bincount(word, weights=c * (side == 0), minlength=len(begin))
+        rise = np.zeros((len(at), classes))
+        small = np.flatnonzero((side < 2) & (c <= SMALL))
+        rise[small] = self.rise[side[small], c[small] - 1, k[small]]
+        large = np.flatnonzero((side < 2) & (c > SMALL))
+        now = self.sides[side[large], k[large]]
+        rise[large] = _xlogx(now + c[large, None]) - _xlogx(now)
+        gain = np.add.reduceat(rise, begin) - 2 * (_xlogx(self.alone + tokens[:, None]) - _xlogx(self.alone))
+        # where it is, the word is taken out first
+        both = np.flatnonzero(side < 2)
+        here = self.sides[side[both], k[both], own[word[both]]]
+        stay = np.bincount(word[both], weights=_xlogx(here) - _xlogx(np.maximum(here - c[both], 0)), minlength=len(begin))
+        stay -= 2 * (_xlogx(self.alone[own]) - _xlogx(np.maximum(self.alone[own] - tokens, 0)))
+        gain[np.arange(len(begin)), own] = stay
+        gain[:, : BORDER + 1] = -np.inf
+        chosen = gain.argmax(1)
+        chosen = np.where(gain.max(1) > stay + 1e-9, chosen, own)
+        # the moves, as this task's later words see them
+        for s, rows in ((0, self.table), (1, self.table.T)):
+            mine = np.flatnonzero((side == s) & (chosen != own)[word])
+            np.add.at(rows, (own[word[mine]], k[mine]), -c[mine])
+            np.add.at(rows, (chosen[word[mine]], k[mine]), c[mine])
+        np.maximum(self.table, 0, out=self.table)
+        self.changed += tokens[chosen != own].sum()
+        if self.changed > STALE * self.total:
+            self.renew()
+        return np.where(chosen != own, chosen, -1)
+
+
+def _moves(sent):
+    """(w, at, c) sorted by w to the words that move and their new classes (w, k)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Table(sent.value)
+        classes = len(known.table)
+        most = max(1, (1 << 22) // classes)  # entries at once
+
+        def flush(w, at, c):
+            order = np.lexsort((at, w))
+            w, at, c = w[order], at[order], c[order]
+            fresh = np.ones(len(w), bool)
+            fresh[1:] = (w[1:] != w[:-1]) | (at[1:] != at[:-1])
+            first = np.flatnonzero(fresh)
+            w, at, c = w[first], at[first].astype(np.int64), np.add.reduceat(c, first)
+            begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            edges = np.append(begin, len(w))
+            tokens = np.add.reduceat(c * (at < classes), begin).cumsum()
+            i, chosen = 0, []
+            while i < len(begin):
+                so_far = tokens[i - 1] if i else 0
+                j = min(np.searchsorted(tokens, so_far + STALE * known.total, side="right"), np.searchsorted(edges, edges[i] + most) - 1)
+                j = max(i + 1, int(j))
+                part = slice(edges[i], edges[j])
+                chosen.append(known.best(at[part], c[part], begin[i:j] - edges[i]))
+                i = j
+            k = np.concatenate(chosen)
+            return pa.RecordBatch.from_arrays([pa.array(w[begin][k >= 0]), pa.array(k[k >= 0], pa.int32())], ["w", "k"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append([_numbers(batch, x) for x in ("w", "at", "c")])
+            size += batch.num_rows
+            if size > 1 << 19:
+                w, at, c = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(w, w[-1]))  # the last word may go on
+                if cut:
+                    yield flush(w[:cut], at[:cut], c[:cut])
+                held, size = [[w[cut:], at[cut:], c[cut:]]], len(w) - cut
+        if size:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+def exchange(pairs: DataFrame, listed: int, rare: DataFrame | None, distinct: int, space: Workspace, classes: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """Classes of all words: of the listed ones and the end, of the table ``rare(word, c)`` as ``k``
+    beside, and the table of class pairs, from the counts ``pairs(a, b, c)`` of neighbours' codes.
+
+    Words start in classes by code. In a round the words of one part see their neighbours' classes, and
+    many tasks move each word to where the sum of c * log c over class pairs, less those of the classes
+    alone, grows most. A task follows up its own moves only, so the sum is computed anew after each
+    round; a round that lowered it is taken back, and smaller parts are moved from then on.
+    """
+    spark, sc = pairs.sparkSession, pairs.sparkSession.sparkContext
+    size = classes + 2
+    own = np.append(np.arange(listed) % classes + 2, BORDER)
+    if rare is not None:
+        rare = rare.withColumn("k", (F.pmod("word", F.lit(classes)) + 2).cast("int"))
+
+    def classed(rare):
+        none = F.lit(None).cast("int")
+        if rare is None:
+            return pairs.select("a", "b", "c", none.alias("ka"), none.alias("kb"))
+        of = lambda x: rare.select(F.col("word").alias(x), F.col("k").alias("k" + x))
+        ab = pairs.where("a < 0 and b < 0").join(of("a"), "a").join(of("b"), "b")
+        a = pairs.where("a < 0 and b >= 0").join(of("a"), "a").withColumn("kb", none)
+        b = pairs.where("a >= 0 and b < 0").join(of("b"), "b").withColumn("ka", none)
+        both = pairs.where("a >= 0 and b >= 0").withColumns({"ka": none, "kb": none})
+        return both.unionByName(a).unionByName(b).unionByName(ab)
+
+    def count(own, rare):
+        found = classed(rare).mapInArrow(_cells(sc.broadcast(own), size), "first long, then long, c long")
+        cells = found.groupBy("first", "then").agg(F.sum("c").alias("c")).toPandas()
+        table = np.zeros((size, size))
+        table[cells["first"].to_numpy(np.int64), cells["then"].to_numpy(np.int64)] = cells["c"].to_numpy(float)
+        return table
+
+    table = count(own, rare)
+    first = last = _likelihood(table)
+    parts, turn, quiet = PARTS, 0, 0
+    while quiet < parts and distinct > 1:
+        near = classed(rare).mapInArrow(_near(sc.broadcast(own), size, turn % parts, parts), "w long, at int, c long")
+        near = near.repartition("w").sortWithinPartitions("w")
+        moved = space.keep(near.mapInArrow(_moves(sc.broadcast(table)), "w long, k int"), "moved")
+        new_own, new_rare, n = own.copy(), rare, moved.count()
+        of_listed = moved.where("w >= 0").toPandas()
+        new_own[of_listed.w.to_numpy(np.int64)] = of_listed.k.to_numpy(np.int64)
+        if rare is not None:
+            to = moved.where("w < 0").select(F.col("w").alias("word"), F.col("k").alias("to"))
+            new_rare = space.keep(rare.join(to, "word", "left").select("word", "c", F.coalesce("to", "k").alias("k")), "rare")
+        new_table = count(new_own, new_rare)
+        reached = _likelihood(new_table)
+        if reached < last:
+            parts, turn, quiet = parts * 2, 0, 0
+            if parts > MOST_PARTS:
+                break
+            continue
+        grown, (own, rare, table, last) = reached - last, (new_own, new_rare, new_table, reached)
+        still = n < FEW * distinct / parts or grown < FEW * (last - first)
+        turn, quiet = turn + 1, quiet + 1 if still else 0
+    return own, rare, table
+
+
 def _scored(model):
-    """(row, text) to partial scores of a text's listed tokens, and its other words one by one."""
+    """(row, text) to partial scores of what listed words alone decide, and other neighbours one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, steps, base_floor, class_totals, class_floor = model.value
-        classes = _Classes(listed)
+        listed, log_count, own, steps, base_floor, class_floor = model.value
+        end = len(log_count) - 1
+        emit = np.where(own == BORDER, 0.0, log_count - class_floor[own])
         for batch in batches:
             for first, last, data, offsets in pieces(batch.column(1)):
                 rows = last - first
                 hashes, texts = _tokens(data, offsets)
-                found, count, own = classes.find(hashes)
-                own = np.where(hashes == END, BORDER, own)
-                before = _before(own)
-                base = np.log10(count + 0.5) - base_floor
-                word = np.where(own == BORDER, 0.0, np.log10(count + 0.5) - class_floor[own])
-                score = steps[before, own] + np.where(found, word, -class_floor[RARE])
-                end = hashes == END
-                score = np.where(end, steps[before, own], score)
-                base = np.where(found, base, -base_floor)
-                other = ~found
-                order = np.lexsort((hashes[other], texts[other]))
-                h, t = hashes[other][order], texts[other][order]
-                fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-                at = np.flatnonzero(fresh)
-                times = np.diff(np.append(at, len(h)))
+                codes = listed.codes(hashes)
+                before = _before(codes, end)
+                found, whole = codes >= 0, (codes >= 0) & (before >= 0)
+                at, ahead = np.maximum(codes, 0), np.maximum(before, 0)
+                score = np.where(whole, steps[own[ahead], own[at]] + emit[at], 0.0)
+                base = np.where(found, log_count[at] - base_floor, 0.0)
+                rest = np.flatnonzero(~whole)
+                known = found & ((codes != end) | (log_count[end] > 0))  # a training text's end counts 1 or more
                 sums = lambda x: np.bincount(texts, weights=x, minlength=rows)  # noqa: B023, E731
-                n_other = len(at)
-                zeros = np.zeros(n_other)
-                row = np.concatenate((np.arange(rows), t[at])).astype(np.int64)
+                n_rest, lone = len(rest), _spread(rows)
+                zeros, none = np.zeros(n_rest), np.zeros(n_rest, np.int64)
+                row = np.concatenate((np.arange(rows), texts[rest])).astype(np.int64)
+                # a code of zero or more is in no table, and spreads the rows
+                known_a, known_b = before[rest] >= 0, codes[rest] >= 0
+                a = np.where(known_a, _spread(n_rest), before[rest])
+                b = np.where(known_b, _spread(n_rest), codes[rest])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(first + row)),
-                        pa.array(np.concatenate((signed(_spread(rows)), signed(h[at])))),
-                        pa.array(np.concatenate((np.zeros(rows, np.int64), times)), pa.int64()),
-                        pa.array(np.concatenate((np.bincount(texts, minlength=rows), np.zeros(n_other, np.int64))), pa.int64()),
-                        pa.array(np.concatenate((sums(found.astype(float)).astype(np.int64), np.zeros(n_other, np.int64))), pa.int64()),
+                        pa.array(np.concatenate((lone, a))),
+                        pa.array(np.concatenate((lone, b))),
+                        pa.array(np.concatenate((np.zeros(rows), np.where(known_a, own[ahead[rest]], RARE))).astype(np.int32)),
+                        pa.array(np.concatenate((np.zeros(rows), np.where(known_b, own[at[rest]], RARE))).astype(np.int32)),
+                        pa.array(np.concatenate((np.zeros(rows), np.where(known_b, emit[at[rest]], 0.0)))),
+                        pa.array(np.concatenate((np.zeros(rows, np.int32), np.where(known_b, 1, 2))).astype(np.int32)),
+                        pa.array(np.concatenate((np.bincount(texts, minlength=rows), none)), pa.int64()),
+                        pa.array(np.concatenate((sums(known.astype(float)).astype(np.int64), none)), pa.int64()),
                         pa.array(np.concatenate((sums(base), zeros))),
                         pa.array(np.concatenate((sums(score), zeros))),
                     ],
-                    ["row", "word", "times", "n", "known", "base", "score"],
+                    ["row", "a", "b", "ka", "kb", "emit", "kind", "n", "known", "base", "score"],
                 )
 
     return run
 
 
 def _spread(n: int) -> np.ndarray:
-    return np.random.default_rng().integers(0, 1 << 64, n, dtype=np.uint64)
-
-
-def exchange(pairs: DataFrame, counts: np.ndarray, space: Workspace, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Classes of the clustered words 0.., from their bigram counts ``pairs(a, b, c)``.
-
-    Words start in classes by rank. A round takes one part of the words, sees their neighbours'
-    classes, and moves one word after the other to where the sum of c * log c over class pairs, less
-    those of the classes alone, grows most; were all words moved at once, they would follow each
-    other into one class. Bigrams stay in tables. The driver and a round's one task hold words times
-    classes at most, which the share ``CLUSTERED`` bounds at 2,048 * 48, however large the corpus is.
-    """
-    own = np.arange(len(counts)) % classes
-    if not len(counts):
-        return own
-    spark = pairs.sparkSession
-    left = pairs.select(F.col("a").alias("w"), F.col("b").alias("n"), "c", F.lit(0).alias("side"))
-    right = pairs.select(F.col("b").alias("w"), F.col("a").alias("n"), "c", F.lit(1).alias("side"))
-    sides = space.keep(left.union(right), "sides")
-
-    def xlogx(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
-    for turn in range(rounds):
-        of_n = spark.createDataFrame(pd.DataFrame({"n": np.arange(len(own), dtype=np.int32), "k": own.astype(np.int32)}))
-        seen = sides.join(F.broadcast(of_n), "n").groupBy("w", "side", "k").agg(F.sum("c").alias("c"))
-        seen = space.keep(seen, "seen")
-        of_w = spark.createDataFrame(pd.DataFrame({"w": np.arange(len(own), dtype=np.int32), "j": own.astype(np.int32)}))
-        cells = seen.where("side = 0").join(F.broadcast(of_w), "w").groupBy("j", "k").agg(F.sum("c").alias("c")).toPandas()
-        table = np.zeros((classes, classes))
-        table[cells.j, cells.k] = cells.c
-        alone = np.bincount(own, weights=counts, minlength=classes)
-        sent = spark.sparkContext.broadcast((own, table, alone, counts))
-
-        def moves(frame: pd.DataFrame) -> pd.DataFrame:
-            own, table, alone, counts = (x.copy() for x in sent.value)  # noqa: B023
-            names = np.unique(frame.w)
-            at = np.searchsorted(names, frame.w)
-            near = np.zeros((2, len(names), classes))  # what follows each word, and what comes before
-            near[frame.side, at, frame.k] = frame.c
-            chosen = own[names]
-            for i, w in enumerate(names):
-                j, ahead, behind = own[w], near[0, i], near[1, i]
-                table[j, :] -= ahead
-                table[:, j] -= behind
-                table = np.maximum(table, 0)  # neighbours that moved before are not followed up
-                alone[j] -= counts[w]
-                gain = (xlogx(table + ahead[None, :]) - xlogx(table)).sum(1) + (xlogx(table + behind[:, None]) - xlogx(table)).sum(0)
-                gain -= 2 * (xlogx(alone + counts[w]) - xlogx(alone))
-                k = chosen[i] = int(np.argmax(gain))
-                table[k, :] += ahead
-                table[:, k] += behind
-                alone[k] += counts[w]
-            return pd.DataFrame({"w": names, "j": chosen})
-
-        part = seen.withColumn("part", F.col("w") % PARTS).where(F.col("part") == turn % PARTS)
-        moved = part.groupBy("part").applyInPandas(moves, "w int, j int").toPandas()
-        own = own.copy()
-        own[moved.w.to_numpy()] = moved.j.to_numpy()
-    return own
+    return np.random.default_rng().integers(0, 1 << 63, n, dtype=np.int64)
 
 
 def held_out(doc_id) -> F.Column:
@@ -252,7 +403,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, classes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Texts are taken whole with A-Z lower-cased, a null or empty one has its end as the only token.
@@ -269,60 +420,65 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Data
     counts = space.keep(training.mapInArrow(_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    often = counts.where(F.col("c") >= max(1.0, total * LISTED)).toPandas()  # at most 1 / LISTED words
-    often["word"] = often.word.to_numpy(np.int64)
-    listed_words = often.word.to_numpy().view(np.uint64) if len(often) else np.zeros(0, np.uint64)
+    words_of = counts.where(F.col("word") != int(signed(np.array([END]))[0]))
+    sizes = words_of.groupBy("c").agg(F.count("*").alias("words")).toPandas().sort_values("c", ascending=False)
+    fits = sizes[sizes.words.cumsum() <= LISTED]
+    least = int(fits.c.min()) if len(fits) else int(total) + 1
+    often = words_of.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=False)
+    listed_words = often.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(listed_words)
-    listed_words, listed_counts = listed_words[order], often.c.to_numpy(np.int64)[order]
-    core = np.flatnonzero((listed_counts >= total * CLUSTERED) & (listed_words != END))
-    vocabulary = spark.sparkContext.broadcast(listed_words[core])
-    own = np.zeros(0, np.int64)
-    if len(core):
-        pairs = space.keep(
-            training.mapInArrow(_pairs(vocabulary), "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c")), "pairs"
-        )
-        by_rank = np.argsort(np.argsort(-listed_counts[core], kind="stable"), kind="stable")
-        back = np.argsort(by_rank)
-        rank_of = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(core), dtype=np.int32), "rank": by_rank.astype(np.int32)}))
-        ranked = pairs.join(F.broadcast(rank_of.select(F.col("at").alias("a"), F.col("rank").alias("ra"))), "a")
-        ranked = ranked.join(F.broadcast(rank_of.select(F.col("at").alias("b"), F.col("rank").alias("rb"))), "b")
-        by_class = exchange(ranked.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "c"), listed_counts[core][back], space, classes, rounds)
-        own = by_class[by_rank]
-    of_class = np.full(len(listed_words), RARE)
-    of_class[core] = own + 2
-    listed = (listed_words, listed_counts, of_class)
-
-    steps_df = training.mapInArrow(_transitions(spark.sparkContext.broadcast(listed)), "first long, then long, c long")
-    cells = steps_df.groupBy("first", "then").agg(F.sum("c").alias("c")).toPandas()
-    steps = np.zeros((CLASSES + 2, CLASSES + 2))
-    steps[cells["first"], cells["then"]] = cells["c"]
-    log_steps = np.log10((steps + ADDED) / (steps.sum(1, keepdims=True) + ADDED * (CLASSES + 2)))
-    class_totals = np.bincount(of_class, weights=listed_counts, minlength=CLASSES + 2)
-    sizes = np.bincount(of_class, minlength=CLASSES + 2).astype(float)
-    clustered = class_totals[2:].sum()
-    ends = float(listed_counts[listed_words == END].sum()) if len(listed_words) else 0.0
-    if not ends:
-        ends = float(steps[:, BORDER].sum())
-    class_totals[RARE] = total - clustered - ends
-    sizes[RARE] = max(0, distinct - len(core) - bool(ends)) + 1  # and one for words never seen
-    class_floor = np.log10(np.maximum(class_totals + 0.5 * sizes, 0.5))
+    listed = _Listed(listed_words[order], order)
+    code = (F.col("word").bitwiseOR(F.lit(-(1 << 63)))).alias("word")
+    rare = None
+    if len(fits) < len(sizes):
+        rare = space.keep(words_of.where(F.col("c") < least).select(code, "c"), "unlisted")
+
+    sc = spark.sparkContext
+    pairs = training.mapInArrow(_pairs(sc.broadcast(listed)), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    pairs = space.keep(pairs, "pairs")
+    classes = classes or max(CLASSES, round(distinct ** (1 / 3)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    own, rare, steps = exchange(pairs, len(listed_words), rare, distinct, space, classes)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+    members = np.bincount(own[:-1], minlength=classes + 2).astype(float)
+    if rare is not None:
+        more = rare.groupBy("k").agg(F.count("*").alias("n")).toPandas()
+        members[more.k.to_numpy(np.int64)] += more.n.to_numpy(float)
+    members[RARE] = 1  # all words never seen
+    ends = steps[:, BORDER].sum()
+    class_floor = np.log10(np.maximum(steps.sum(0) + 0.5 * members, 0.5))
+    steps[RARE] = steps.sum(0)  # after a word never seen, classes come as often as anywhere
+    log_steps = np.log10((steps + ADDED) / (steps.sum(1, keepdims=True) + ADDED * (classes + 2)))
     base_floor = math.log10(total + 0.5 * (distinct + 1))
 
-    sent = spark.sparkContext.broadcast((listed, log_steps, base_floor, class_totals, class_floor))
+    log_count = np.log10(np.append(often.c.to_numpy(float), ends) + 0.5)
+    sent = sc.broadcast((listed, log_count, own, log_steps, base_floor, class_floor))
     # an id of its own for every row, stable because it depends on the row alone up to equal rows
     keyed = source.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("row"), "text")
     parts = keyed.mapInArrow(
-        _scored(sent), "row struct<doc_id:long,th:long>, word long, times long, n long, known long, base double, score double"
+        _scored(sent),
+        "row struct<doc_id:long,th:long>, a long, b long, ka int, kb int, emit double, kind int, n long, known long, base double, score double",
     )
-    rare = counts.where(F.col("c") < max(1.0, total * LISTED))
-    joined = parts.join(rare, "word", "left")
-    extra = F.when((F.col("times") > 0), F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)
+    if rare is None:
+        joined = parts.withColumn("c", F.lit(None).cast("long"))
+    else:
+        joined = parts.join(rare.select(F.col("word").alias("b"), "c", F.col("k").alias("jb")), "b", "left")
+        joined = joined.join(rare.select(F.col("word").alias("a"), F.col("k").alias("ja")), "a", "left")
+        joined = joined.withColumns({"ka": F.coalesce("ja", "ka"), "kb": F.coalesce("jb", "kb")})
+    cells = np.indices(log_steps.shape)
+    of_cell = pd.DataFrame({"ka": cells[0].ravel().astype(np.int32), "kb": cells[1].ravel().astype(np.int32), "step": log_steps.ravel(), "floor": class_floor[cells[1].ravel()]})
+    joined = joined.join(F.broadcast(spark.createDataFrame(of_cell)), ["ka", "kb"])
+    log_c = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    other = F.col("kind") == 2
     rows = joined.groupBy("row").agg(
-        F.sum((F.col("times") == 0).cast("long")).alias("copies"),
+        F.sum((F.col("kind") == 0).cast("long")).alias("copies"),
         F.sum("n").alias("n_tokens"),
-        F.sum(F.col("known") + F.when((F.col("times") > 0) & F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + extra).alias("base_score"),
-        F.sum(F.col("score") + extra).alias("score"),
+        F.sum(F.col("known") + (other & F.col("c").isNotNull()).cast("long")).alias("n_known"),
+        F.sum(F.col("base") + F.when(other, log_c - F.lit(base_floor)).otherwise(0.0)).alias("base_score"),
+        F.sum(
+            F.col("score") + F.when(F.col("kind") == 0, 0.0).otherwise(F.col("step") + F.when(other, log_c - F.col("floor")).otherwise(F.col("emit")))
+        ).alias("score"),
     )
     each = lambda name: (F.col(name) / F.col("copies")).alias(name)
     rows = rows.select(

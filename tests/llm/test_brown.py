@@ -53,3 +53,18 @@ def test_class_model_sums_to_one_and_beats_the_word_model(spark):
     rows = [r for r in brown.score(docs).collect() if r.held_out]
     gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
     assert gain > 0.2, gain
+
+
+def test_every_word_gets_a_class(spark, monkeypatch):
+    """Many words of one use each: no single one is frequent, yet their classes show, listed or joined."""
+    rng = random.Random(7)
+    nouns, verbs = [f"n{i}" for i in range(1500)], [f"v{i}" for i in range(1500)]
+    texts = [" ".join(x for _ in range(50) for x in (rng.choice(nouns), rng.choice(verbs))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for listed in (brown.LISTED, 1500, 0):
+        monkeypatch.setattr(brown, "LISTED", listed)
+        got = brown.score(docs, classes=4).collect()
+        same(got, list(enumerate(texts)))
+        rows = [r for r in got if r.held_out]
+        gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
+        assert gain > 0.2, (listed, gain)
