@@ -8,8 +8,9 @@ whole in one. All parts that score ``threshold`` or more are retrieved.
 Terms are split as in WAND. What a part's frequent terms can add at most is known beforehand, so only
 rare terms are looked up; postings lie in blocks of parts with the largest weight of each block, and
 the parts of a block are scored only where rare terms' block maxima and the frequent terms' bound
-reach the threshold together. A retrieved item is verified: shares of the five-word runs of its
-question and of its answer that the document holds.
+reach the threshold together. A question or answer long enough to count alone is also indexed as parts of
+its own. A retrieved item is verified by the share of its words that the document holds, in runs or along
+one place of the document where words may be changed, left out or put in.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ from songframe.llm.batches import LOWERED, mix, piece_hash, pieces, prefix_hash,
 PART, BLOCK = 64, 8
 K1, B = 1.2, 0.75
 RUN = 5
+#: Words that must agree at a place of the document for the words around it to be compared one by one,
+#: and by how many words these may have moved against each other.
+ANCHOR, SHIFT = 3, 2
+#: Words from which a question or an answer alone makes a leak.
+LONG = 13
 #: Terms in at most this share of the parts count as rare; the bound of the others is exact anyway.
 RARE = 0.03
 #: Characters of test items in one index; larger sets of items take several, one after the other.
@@ -55,7 +61,7 @@ def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(windows(hashes, np.zeros(len(hashes), np.int64), n)[1])
+    return windows(hashes, np.zeros(len(hashes), np.int64), n)[1]
 
 
 @dataclass
@@ -63,8 +69,50 @@ class Item:
     item_id: int
     question: np.ndarray
     answer: np.ndarray
-    question_run: int
-    answer_run: int
+
+
+class _Text:
+    """A document's words, and where its runs are."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.of = hashes, {}
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in self.of:
+            found = _runs(self.hashes, n)
+            order = np.argsort(found, kind="stable")
+            self.of[n] = found[order], order
+        return self.of[n]
+
+    def holds(self, side: np.ndarray) -> np.ndarray:
+        """Which words of ``side`` lie in a run of ``RUN`` words found anywhere (of all words, if fewer),
+        or agree along the one place where most do."""
+        covered = np.zeros(len(side), bool)
+        if not len(side) or not len(self.hashes):
+            return covered
+        size = min(RUN, len(side))
+        held, own = self.runs(size)[0], _runs(side, size)
+        for at in np.flatnonzero(np.searchsorted(held, own, side="right") > np.searchsorted(held, own)):
+            covered[at : at + size] = True
+        if covered.all() or len(side) < ANCHOR:
+            return covered
+        (held, place), own = self.runs(ANCHOR), _runs(side, ANCHOR)
+        first = np.searchsorted(held, own)
+        count = np.searchsorted(held, own, side="right") - first
+        entry = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        starts = np.unique(place[entry] - np.repeat(np.arange(len(own)), count))
+        most, best = 0, covered
+        step = max(1, (1 << 20) // len(side))
+        for i in range(0, len(starts), step):
+            at = starts[i : i + step, None] + np.arange(len(side))[None, :]
+            same = np.zeros(at.shape, bool)
+            for shift in range(-SHIFT, SHIFT + 1):
+                to = at + shift
+                same |= (self.hashes[np.clip(to, 0, len(self.hashes) - 1)] == side) & (to >= 0) & (to < len(self.hashes))
+            n = same.sum(1)
+            if n.max() > most:
+                most, best = n.max(), same[n.argmax()]
+        return covered | best
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -81,31 +129,33 @@ class Index:
     """Postings, block maxima and bounds of a set of test items (item_id, text)."""
 
     def __init__(self, rows: list[tuple[int, str]], threshold: float):
-        self.items, parts, owner = [], [], []
+        self.items, parts, owner, alone = [], [], [], []
         for item_id, text in rows:
             hashes = terms(*_bytes(text or ""))[0]
             if not len(hashes):
                 continue
             sides = [terms(*_bytes(x))[0] for x in question_and_answer(text)]
-            sizes = [max(1, min(RUN, len(x))) for x in sides]
-            self.items.append(Item(item_id, _runs(sides[0], sizes[0]), _runs(sides[1], sizes[1]), *sizes))
-            n = -(-len(hashes) // PART)
-            for part in np.array_split(hashes, n):
-                parts.append(np.unique(part, return_counts=True))
-                owner.append(len(self.items) - 1)
+            self.items.append(Item(item_id, *sides))
+            for text_hashes in (hashes, *(x for x in sides if LONG <= len(x) < len(hashes))):
+                for part in np.array_split(text_hashes, -(-len(text_hashes) // PART)):
+                    parts.append(np.unique(part, return_counts=True))
+                    owner.append(len(self.items) - 1)
+                    alone.append(text_hashes is not hashes)
         self.threshold, self.owner, self.parts = threshold, np.array(owner, np.int64), len(parts)
         term = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         tf = np.concatenate([p[1] for p in parts]).astype(float) if parts else np.zeros(0)
         part = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
         length = np.bincount(part, weights=tf, minlength=len(parts))
         self.terms, self.term = np.unique(term, return_inverse=True)
-        df = np.bincount(self.term, minlength=len(self.terms))
-        idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
-        weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[part] / max(1.0, length.mean() if len(length) else 1.0)))
+        # statistics are those of the whole items' parts
+        whole = ~np.array(alone, bool)
+        df = np.bincount(self.term[whole[part]], minlength=len(self.terms))
+        idf = np.log1p((whole.sum() - df + 0.5) / (df + 0.5))
+        weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[part] / max(1.0, length[whole].mean() if len(length) else 1.0)))
         self.weight, self.part = weight / np.bincount(part, weights=weight, minlength=len(parts))[part], part
         # by part, for scoring
         self.begin = np.searchsorted(part, np.arange(len(parts) + 1))
-        frequent = df[self.term] > max(1, RARE * len(parts))
+        frequent = df[self.term] > max(1, RARE * whole.sum())
         rest = np.bincount(part[frequent], weights=self.weight[frequent], minlength=len(parts))
         self.blocks = -(-len(parts) // BLOCK)
         self.bound = np.maximum.reduceat(rest, np.arange(0, len(parts), BLOCK)) if len(parts) else rest
@@ -167,7 +217,7 @@ def passages(owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate((word[here], word[before])), np.concatenate(((base[owner] + ahead)[here], (base[owner] + ahead - 1)[before])), many
 
 
-def _searched(sent):
+def _searched(sent, overlap: float):
     """(row.., text) to n_passages and the verified items of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +236,17 @@ def _searched(sent):
                     best[t, i] = max(s, best.get((t, i), 0.0))
                 rows = [[] for _ in range(last - first)]
                 begin = np.searchsorted(owner, np.arange(last - first + 1))
-                held: dict[tuple[int, int], np.ndarray] = {}
+                held: _Text | None = None
                 for (t, i), s in sorted(best.items()):
-                    item, share = index.items[i], []
-                    for runs, size in ((item.question, item.question_run), (item.answer, item.answer_run)):
-                        if (t, size) not in held:
-                            held[t, size] = _runs(hashes[begin[t] : begin[t + 1]], size)
-                        share.append(len(np.intersect1d(runs, held[t, size], assume_unique=True)) / len(runs) if len(runs) else 1.0)
-                    rows[t].append({"item_id": item.item_id, "score": s, "question": share[0], "answer": share[1]})
-                    if len(held) > 64:
-                        held.clear()
+                    if held is None or t != at:
+                        held, at = _Text(hashes[begin[t] : begin[t + 1]]), t
+                    item = index.items[i]
+                    words_of = [held.holds(x) for x in (item.question, item.answer)]
+                    share = [float(x.mean()) if len(x) else 1.0 for x in words_of]
+                    every = np.concatenate(words_of)
+                    leaked = bool(every.mean() >= overlap) if len(every) else True
+                    leaked = leaked or any(len(x) >= LONG and y >= overlap for x, y in zip(words_of, share, strict=True))
+                    rows[t].append({"item_id": item.item_id, "score": s, "question": share[0], "answer": share[1], "leaked": leaked})
                 n_passages += many.tolist()
                 hits += rows
             yield pa.RecordBatch.from_arrays(
@@ -205,15 +256,16 @@ def _searched(sent):
     return run
 
 
-_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("leaked", pa.bool_())]))
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text: str = "text", into: str = "leaks") -> DataFrame:
     """``docs`` with the struct ``into``: n_passages, items and leaked.
 
-    ``items`` holds what was retrieved in any passage: item_id, the best score, and the shares of the
-    question's and of the answer's runs that the document holds. ``leaked`` tells whether both shares
-    are at least ``overlap`` for some item. Items are (item_id, text); null, empty and wordless ones
+    ``items`` holds what was retrieved in any passage: item_id, the best score, the shares of the
+    question's and of the answer's words that the document holds, and whether it is leaked: if the share
+    of all its words, or that of a side of ``LONG`` words or more, is at least ``overlap``. ``leaked``
+    tells whether some item is. Items are (item_id, text); null, empty and wordless ones
     are never found, repeated ones are found each. A null or empty text has no passage. Texts are read
     whole. A column named ``into`` is replaced, others pass through; no rows give none. Each index is
     of at most about ``SHARD_CHARS`` characters, with statistics of its own.
@@ -226,15 +278,15 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: f
     cells = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = cells.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(chars) // SHARD_CHARS))
-    out = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("items", F.expr("cast(array() as array<struct<item_id:long,score:double,question:double,answer:double>>)")).withColumn("n", F.lit(0).cast("long"))
+    out = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("items", F.expr("cast(array() as array<struct<item_id:long,score:double,question:double,answer:double,leaked:boolean>>)")).withColumn("n", F.lit(0).cast("long"))
     for shard in range(shards):
         rows = cells.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], threshold))
         asked = out.withColumn("asked", F.col(f"c{at}"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", n_passages long, hits array<struct<item_id:long,score:double,question:double,answer:double>>"
-        out = asked.mapInArrow(_searched(sent), schema)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", n_passages long, hits array<struct<item_id:long,score:double,question:double,answer:double,leaked:boolean>>"
+        out = asked.mapInArrow(_searched(sent, overlap), schema)
         out = out.withColumns({"items": F.concat("items", "hits"), "n": F.col("n_passages")}).drop("asked", "hits", "n_passages")
-    leaked = F.exists("items", lambda x: (x.question >= overlap) & (x.answer >= overlap))
+    leaked = F.exists("items", lambda x: x.leaked)
     result = F.struct(F.col("n").alias("n_passages"), F.col("items"), leaked.alias("leaked"))
     return out.withColumn("result", result).drop("items", "n").toDF(*names, into)
 
@@ -250,6 +302,6 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     out = search(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
     return out.select(
         "doc_id", "leaks.n_passages", F.size("leaks.items").cast("long").alias("n_retrieved"), "leaks.leaked",
-        F.transform(F.filter("leaks.items", lambda x: (x.question >= 0.8) & (x.answer >= 0.8)), lambda x: x.item_id).alias("items"),
+        F.transform(F.filter("leaks.items", lambda x: x.leaked), lambda x: x.item_id).alias("items"),
         F.array_max(F.transform("leaks.items", lambda x: x.score)).alias("best_score"),
     )

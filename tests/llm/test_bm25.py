@@ -83,3 +83,26 @@ def test_shards_clashing_names_and_no_rows(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs if not (i % 3 == 0 and i < 40)}
     assert bm25.clean(frame.limit(0), tests).count() == 0
     assert bm25.clean(frame, tests.limit(0)).count() == len(docs)
+
+
+def test_items_with_changed_words_or_one_side_only(spark):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
+    items = [(i, sentence(rng.randint(16, 30)) + " " + sentence(rng.choice([2, 4, 5, 16]))) for i in range(20)]
+    docs, want = [], {}
+    for i, text in items:
+        question, answer = bm25.question_and_answer(text)
+        versions = [(question, True), (answer, len(answer.split()) >= 13), (sentence(40), False), (" ".join(text.split()[:9]), False)]
+        for changes in (1, 2):
+            words = text.split()
+            for at in rng.sample(range(len(words)), changes):
+                words[at] = "changed"
+            versions += [(" ".join(words), True)]
+        words = text.split()
+        versions += [(" ".join(words[:7] + words[8:12] + ["put", "in"] + words[12:]), True)]
+        for version, leaked in versions:
+            want[len(docs)] = leaked
+            docs.append((len(docs), f"{sentence(50)} {version} {sentence(60)}"))
+    got = bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.leaks.leaked for r in got} == want
