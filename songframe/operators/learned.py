@@ -36,14 +36,14 @@ def fold_markers(segments: DataFrame, recordings: DataFrame) -> DataFrame:
     """Drop a leading start marker and a trailing end marker into their neighbours.
 
     ``segment_index`` counts up by one. A marker that is the only segment left stays.
-    ``recordings`` needs recording_id and duration_seconds.
+    ``recordings`` needs recording_id and duration_seconds; without a row there the last end stays as it is.
     """
     ends = segments.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("__n"),
         F.min("segment_index").alias("__first"),
         F.min_by("label", "segment_index").alias("__first_label"),
         F.max_by("label", "segment_index").alias("__last_label"),
-    ).join(recordings.select("recording_id", "duration_seconds"), "recording_id")
+    ).join(recordings.select("recording_id", "duration_seconds"), "recording_id", "left")
     opening = (F.col("__n") > 1) & (F.col("__first_label") == "start")
     left = F.col("__n") - F.when(opening, 1).otherwise(0)
     flagged = ends.withColumn("__open", opening).withColumn(
@@ -59,7 +59,7 @@ def fold_markers(segments: DataFrame, recordings: DataFrame) -> DataFrame:
             *KEYS,
             (at - skip).alias("section_index"),
             F.when(F.col("__open") & (at == 1), F.lit(0.0)).otherwise(F.col("start")).alias("start"),
-            F.when(F.col("__close") & (at == kept_last), F.col("duration_seconds"))
+            F.when(F.col("__close") & (at == kept_last), F.coalesce("duration_seconds", "end"))
             .otherwise(F.col("end"))
             .alias("end"),
             X.functional_label("label").alias("label"),
@@ -70,7 +70,7 @@ def fold_markers(segments: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def snap_segments(folded: DataFrame) -> DataFrame:
-    """Clamp to the recording; the first section starts at zero and the last ends with it."""
+    """Clamp to the recording, if its duration is known; the first section starts at zero and the last ends with it."""
     duration = F.col("duration_seconds")
     start = F.greatest(F.lit(0.0), F.least(F.col("start"), duration))
     end = F.greatest(start, F.least(F.col("end"), duration))
@@ -78,21 +78,22 @@ def snap_segments(folded: DataFrame) -> DataFrame:
         *KEYS,
         "section_index",
         F.when(F.col("section_index") == 0, F.lit(0.0)).otherwise(start).alias("start_seconds"),
-        F.when(F.col("section_index") == F.col("section_count") - 1, duration).otherwise(end).alias("end_seconds"),
+        F.when(F.col("section_index") == F.col("section_count") - 1, F.coalesce(duration, end)).otherwise(end).alias("end_seconds"),
         "label",
     )
 
 
 def section_frames(sections: DataFrame, frame_counts: DataFrame, fps: float = FRAMES_PER_SECOND) -> DataFrame:
-    """First and one-past-last activation frame of each section, at least one frame long."""
-    counted = attach(sections, frame_counts, KEYS, "section_index", "inner")
-    first = F.least(F.col("frames") - 1, F.greatest(F.lit(0), X.half_even(F.col("start_seconds") * F.lit(fps))))
+    """First and one-past-last activation frame of each section, at least one frame long; null without activations."""
+    counted = attach(sections, frame_counts, KEYS, "section_index")
+    known = lambda value: F.when(F.col("frames").isNotNull(), value)
+    first = known(F.least(F.col("frames") - 1, F.greatest(F.lit(0), X.half_even(F.col("start_seconds") * F.lit(fps)))))
     return counted.withColumn("start_frame", first).withColumn(
         "end_frame",
-        F.least(
+        known(F.least(
             F.col("frames"),
             F.greatest(F.col("start_frame") + 1, X.half_even(F.col("end_seconds") * F.lit(fps))),
-        ),
+        )),
     ).drop("frames")
 
 
@@ -145,7 +146,8 @@ def learned_sections(
 ) -> DataFrame:
     """Labelled sections with confidences, alternatives, sample positions and frame ranges.
 
-    ``recordings`` needs recording_id, duration_seconds, sample_rate_hz and frame_count.
+    ``recordings`` needs recording_id, duration_seconds, sample_rate_hz and frame_count. Sections without
+    activations have no confidences, those without a recording no samples; ``learned_violations`` lists them.
     """
     probabilities = activation_probabilities(activations)
     frame_counts = activations.groupBy(*KEYS).agg((F.max("frame") + 1).alias("frames"))
@@ -170,6 +172,20 @@ def learned_sections(
     return TL.align_intervals(known, recordings, meta, "section_index")
 
 
+def learned_violations(activations: DataFrame, segments: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Hypotheses of which the segments, the activations or the recording are missing."""
+    sides = activations.select(*KEYS, F.lit("activations").alias("side")).unionByName(
+        segments.select(*KEYS, F.lit("segments").alias("side"))
+    )
+    held = sides.groupBy(*KEYS).agg(F.collect_set("side").alias("sides"))
+    known = recordings.select("recording_id", F.lit("recording").alias("known")).distinct()
+    wanted = F.array(*[F.lit(x) for x in ("activations", "segments", "recording")])
+    missing = F.array_except(wanted, F.concat("sides", F.array_compact(F.array("known"))))
+    return held.join(known, "recording_id", "left").select("recording_id", "model", F.explode(missing).alias("side")).select(
+        "recording_id", *TL.violation("learned", F.concat(F.lit("missing_"), F.col("side")), F.col("model"), F.lit(None))
+    )
+
+
 def tempo_from_beats(beats: DataFrame, keys: list[str], seconds: str = "seconds", run: float = 600.0) -> DataFrame:
     """The most frequent whole tempo between consecutive beats; the slower one on a tie."""
     from songframe.operators.ordered import with_previous

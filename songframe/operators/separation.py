@@ -124,10 +124,19 @@ def alignment_violations(mixtures: DataFrame, stems: DataFrame) -> DataFrame:
     )
 
 
+def _block_sides(mixture: DataFrame, stems: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(recording_id, block_index, sides): which of the mixture and the required stems have each block."""
+    keys = ["recording_id", "block_index"]
+    sides = mixture.select(*keys, F.lit("mixture").alias("side")).unionByName(
+        stems.filter(F.col("track").isin(*required)).select(*keys, F.col("track").alias("side"))
+    )
+    return sides.groupBy(*keys).agg(F.collect_set("side").alias("sides"))
+
+
 def side_by_side(
     mixture: DataFrame, stems: DataFrame, required: tuple[str, ...] = REQUIRED_STEMS
 ) -> DataFrame:
-    """Mixture and stem samples of the same block in one row.
+    """Mixture and stem samples of each block of the mixture in one row; null for a stem that lacks it.
 
     Every side is keyed by (recording, block), so a long recording spreads over all tasks; tables
     bucketed on that key join without moving.
@@ -136,10 +145,36 @@ def side_by_side(
     rows = mixture.select(*keys, "start_sample", F.col("samples").alias("mixture"))
     for stem in required:
         side = stems.filter(F.col("track") == stem).select(*keys, F.col("samples").alias(stem))
-        rows = rows.join(side, keys)
+        rows = rows.join(side, keys, "left")
     return rows
 
 
+def _with_lone_blocks(found: DataFrame, mixture: DataFrame, stems: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """``found`` and a row of nulls for each block of its recordings that only stems have."""
+    keys = ["recording_id", "block_index"]
+    lone = (
+        stems.filter(F.col("track").isin(*required)).select(*keys)
+        .join(mixture.select("recording_id").distinct(), "recording_id", "left_semi")
+        .join(mixture.select(*keys), keys, "left_anti")
+        .distinct()
+    )
+    return found.unionByName(lone, allowMissingColumns=True)
+
+
+def block_violations(
+    mixture: DataFrame, stems: DataFrame, required: tuple[str, ...] = REQUIRED_STEMS
+) -> DataFrame:
+    """Blocks that some side has and the mixture or a required stem lacks."""
+    wanted = F.array(*[F.lit(s) for s in ("mixture", *required)])
+    return _block_sides(mixture, stems, required).select(
+        "recording_id", "block_index", F.explode(F.array_except(wanted, "sides")).alias("side")
+    ).select("recording_id", *TL.violation("separation", "missing_block", F.col("side"), F.col("block_index")))
+
+
+def _complete(batch: pa.RecordBatch, row: int, required: tuple[str, ...]) -> bool:
+    return all(batch.column(name)[row].is_valid for name in ("mixture", *required))
+
+
 def _block_arrays(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
     return np.stack(_channels(batch.column(name)[row]))
 
@@ -147,12 +182,15 @@ def _block_arrays(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
 def residual_blocks(
     mixture: DataFrame, stems: DataFrame, required: tuple[str, ...] = REQUIRED_STEMS
 ) -> DataFrame:
-    """Mixture minus the sum of the stems, sample by sample."""
+    """Mixture minus the sum of the stems, sample by sample; null for a block that a side lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             residuals = []
             for row in range(batch.num_rows):
+                if not _complete(batch, row, required):
+                    residuals.append(None)
+                    continue
                 total = _block_arrays(batch, row, required[0]).copy()
                 for stem in required[1:]:
                     total += _block_arrays(batch, row, stem)
@@ -163,16 +201,17 @@ def residual_blocks(
                 names=["recording_id", "block_index", "start_sample", "residual"],
             )
 
-    return side_by_side(mixture, stems, required).mapInArrow(
+    found = side_by_side(mixture, stems, required).mapInArrow(
         run,
         "recording_id string, block_index bigint, start_sample bigint, residual array<array<float>>",
     )
+    return _with_lone_blocks(found, mixture, stems, required)
 
 
 def block_energies(
     mixture: DataFrame, stems: DataFrame, required: tuple[str, ...] = REQUIRED_STEMS
 ) -> DataFrame:
-    """Per block: values counted, energies in double precision, peaks."""
+    """Per block: values counted, energies in double precision, peaks; null where a side lacks the block."""
     peaks = ", ".join(f"peak_{s} double" for s in required)
     names = [f"peak_{s}" for s in required]
 
@@ -180,6 +219,9 @@ def block_energies(
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
+                if not _complete(batch, row, required):
+                    found.append((np.nan,) * (4 + len(required)))
+                    continue
                 whole = _block_arrays(batch, row, "mixture")
                 total, peak = np.zeros_like(whole), []
                 for stem in required:
@@ -195,29 +237,36 @@ def block_energies(
                     *peak,
                 ))
             columns = np.array(found, dtype=np.float64).reshape(batch.num_rows, 4 + len(required))
+            lacking = np.array([not _complete(batch, row, required) for row in range(batch.num_rows)], bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("recording_id"), batch.column("block_index")]
-                + [pa.array(columns[:, i]) for i in range(columns.shape[1])],
+                + [pa.array(columns[:, i], mask=lacking) for i in range(columns.shape[1])],
                 names=["recording_id", "block_index", "values", "mixture_energy", "residual_energy",
                        "max_residual", *names],
             )
 
-    return side_by_side(mixture, stems, required).mapInArrow(
+    found = side_by_side(mixture, stems, required).mapInArrow(
         run,
         "recording_id string, block_index bigint, values double, mixture_energy double, "
         f"residual_energy double, max_residual double, {peaks}",
     )
+    return _with_lone_blocks(found, mixture, stems, required)
 
 
 def reconstruction_metrics(energies: DataFrame, config: SeparationConfig = SeparationConfig()) -> DataFrame:
-    """RMS, normalised error, signal-to-noise ratio and peaks per recording."""
+    """RMS, normalised error, signal-to-noise ratio and peaks per recording.
+
+    A recording of which a side lacks a block has nulls: what is left says nothing about the whole.
+    """
+    whole = F.count("values") == F.count(F.lit(1))
+    over = lambda value: F.when(whole, value)
     per_recording = energies.groupBy("recording_id").agg(
-        F.sqrt(F.sum("mixture_energy") / F.sum("values")).alias("mixture_rms"),
-        F.sqrt(F.sum("residual_energy") / F.sum("values")).alias("residual_rms"),
-        F.max("max_residual").alias("maximum_absolute_residual"),
-        *[F.max(f"peak_{s}").alias(f"peak_{s}") for s in config.required_stems],
+        over(F.sqrt(F.sum("mixture_energy") / F.sum("values"))).alias("mixture_rms"),
+        over(F.sqrt(F.sum("residual_energy") / F.sum("values"))).alias("residual_rms"),
+        over(F.max("max_residual")).alias("maximum_absolute_residual"),
+        *[over(F.max(f"peak_{s}")).alias(f"peak_{s}") for s in config.required_stems],
     )
-    loudness = F.greatest(F.col("mixture_rms"), F.lit(X.DOUBLE_EPSILON))
+    loudness = F.when(F.col("mixture_rms").isNotNull(), F.greatest(F.col("mixture_rms"), F.lit(X.DOUBLE_EPSILON)))
     return (
         per_recording.withColumn("normalized_reconstruction_error", F.col("residual_rms") / loudness)
         .withColumn(
@@ -257,16 +306,20 @@ def audit_separation(
     stems: DataFrame,
     config: SeparationConfig = SeparationConfig(),
 ) -> SeparationAudit:
-    """Contract, alignment and reconstruction quality.
+    """Contract, alignment, blocks of every side and reconstruction quality.
 
-    Recordings that break the contract or the alignment have violations and no metrics.
+    Recordings that break the contract or the alignment, or of which a side lacks a block, have
+    violations and no metrics.
     """
     broken = contract_violations(mixtures, stems, config.required_stems).unionByName(
         alignment_violations(mixtures, stems)
     )
     failing = broken.select("recording_id").distinct()
     sound = mixture.join(failing, "recording_id", "left_anti")
-    metrics = reconstruction_metrics(block_energies(sound, stem_blocks, config.required_stems), config)
+    sound_stems = stem_blocks.join(failing, "recording_id", "left_anti")
+    broken = broken.unionByName(block_violations(sound, sound_stems, config.required_stems))
+    metrics = reconstruction_metrics(block_energies(sound, sound_stems, config.required_stems), config)
+    metrics = metrics.filter(F.col("mixture_rms").isNotNull())
     return SeparationAudit(metrics, broken.unionByName(quality_violations(metrics)))
 
 

@@ -72,3 +72,20 @@ def test_softmax_of_large_logits(spark):
 def test_tempo(spark):
     beats = spark.createDataFrame([("a", 0.5 * i) for i in range(20)] + [("a", 30.0), ("b", 1.0)], "k string, seconds double")
     assert [tuple(r) for r in LN.tempo_from_beats(beats, ["k"], run=3.0).collect()] == [("a", 120)]
+
+
+def test_segments_without_activations_or_recording(spark):
+    names = ("whole", "silent", "unknown")
+    df = spark.createDataFrame([(r, "m", i, i * 1.0, i + 1.0, "verse") for r in names for i in range(3)], schemas.SEGMENTS)
+    activations = spark.createDataFrame(
+        [(r, "m", i, 0.0, 0.0, 0.0, [0.0] * 10) for r in ("whole", "unknown", "alone") for i in range(300)], schemas.ACTIVATIONS
+    )
+    recordings = spark.createDataFrame([(r, 3.0, 100, 300) for r in ("whole", "silent", "alone")], RECORDINGS)
+    rows = {(r.recording_id, r.section_index): r for r in LN.learned_sections(activations, df, recordings).collect()}
+    assert set(rows) == {(r, i) for r in names for i in range(3)}
+    assert all((rows["silent", i].confidence is None) and (rows["unknown", i].start_sample is None) for i in range(3))
+    assert abs(rows["unknown", 2].confidence - 0.1) < 1e-9 and rows["unknown", 2].end_seconds == 3.0
+    found = LN.learned_violations(activations, df, recordings).collect()
+    assert {(r.recording_id, r.check) for r in found} == {
+        ("silent", "missing_activations"), ("unknown", "missing_recording"), ("alone", "missing_segments")
+    }

@@ -98,3 +98,20 @@ def test_clamp_and_pcm_widths(spark):
     from songframe.functions import exprs as X_
     row = spark.range(1).select(X_.clamp(F.lit(3.0), -0.99, 0.99), X_.pcm_scale(F.lit(24)), X_.pcm_scale(F.lit(8))).first()
     assert tuple(row) == (0.99, 2.0**23, 255.0)
+
+
+def test_blocks_that_a_side_lacks(spark, catalog):
+    mixture, stems, mixtures, tracks = split(catalog)
+    lost = "(recording_id = 'exact' AND track = 'bass' AND block_index = 1)"
+    stems = stems.filter(f"NOT {lost}")
+    mixture = mixture.filter("NOT (recording_id = 'quarter' AND block_index = 2)")
+    audit = SP.audit_separation(mixture, stems, mixtures, tracks)
+    assert {r.recording_id for r in audit.metrics.collect()} == {"poor", "silent"}
+    found = {(r.recording_id, r.subject, r.detail) for r in audit.violations.filter("check = 'missing_block'").collect()}
+    assert found == {("exact", "bass", "1"), ("quarter", "mixture", "2")}
+    mixture = mixture.filter("recording_id IN ('exact', 'quarter')")
+    metrics = {r.recording_id: r for r in SP.reconstruction_metrics(SP.block_energies(mixture, stems)).collect()}
+    for name in ("exact", "quarter"):
+        assert metrics[name].normalized_reconstruction_error is None and metrics[name].within_threshold is None
+    residuals = {r.block_index: r.residual for r in SP.residual_blocks(mixture, stems).filter("recording_id = 'exact'").collect()}
+    assert [k for k, v in residuals.items() if v is None] == [1] and len(residuals) > 1
