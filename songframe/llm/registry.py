@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from songframe.llm import bm25, bpe, brown, debruijn, lines, minhash, quality, suffixes, urls, warc
+from songframe.llm import bm25, bpe, brown, collocations, debruijn, lines, minhash, quality, rotated, suffixes, tries, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.query,
@@ -15,9 +15,9 @@ QUERIES = {
     "op8_debruijn": debruijn.query,
     "op9_brown_lm": brown.query,
     "op10_warc": warc.query,
-    "op8_debruijn": debruijn.query,
-    "op9_brown_lm": brown.query,
-    "op10_warc": warc.query,
+    "op11_collocations": collocations.query,
+    "op12_rotated_codes": rotated.query,
+    "op13_prefix_trie": tries.query,
 }
 
 ORACLES = {
@@ -25,4 +25,7 @@ ORACLES = {
     "op4_url_filters": urls.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_rotated_codes": rotated.ORACLE,
+    "op13_prefix_trie": tries.ORACLE,
 }
