@@ -28,7 +28,7 @@ from songframe.llm.storage import Workspace
 
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: Words of text whose equal suffixes a task merges before it deals them out.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 20
 #: Suffixes in a bucket, and the length from which a partition is split by a pivot and not sorted at once.
 BUCKET, SMALL = 1 << 21, 1 << 12
 
@@ -50,8 +50,8 @@ def _values(seed: int) -> np.ndarray:
 class _Chunk:
     """Words of many texts: hash, language, place, and how many words of the piece follow."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, twice: bool):
+        self.values, self.twice = values, twice
         self.langs: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
@@ -69,28 +69,30 @@ class _Chunk:
         piece = np.cumsum(_BREAK[data])[starts] if size else starts
         hashes = mix(piece_hash(prefix_hash(data, self.values), starts, ends) + (ends - starts).astype(np.uint64))
         codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int64)
+        # another hash tells different words apart that share one
+        second = piece_hash(prefix_hash(_LOWER[data], SECOND), starts, ends) if self.twice else np.zeros(0, np.uint64)
         joined = np.zeros(len(starts), bool)
         joined[:-1] = (owner[1:] == owner[:-1]) & (piece[1:] == piece[:-1])
-        self.parts.append((np.maximum(hashes, _U(1)), codes[owner] if len(owner) else owner, joined, starts, ends - starts, data))
+        self.parts.append((np.maximum(hashes, _U(1)), codes[owner] if len(owner) else owner, joined, starts, ends - starts, second, data))
         self.n += len(starts)
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        hashes, lang, joined, starts, lengths, data = zip(*self.parts, strict=True)
+        hashes, lang, joined, starts, lengths, second, data = zip(*self.parts, strict=True)
         base = np.concatenate(([0], np.cumsum([len(x) for x in data])))
         starts = np.concatenate([s + b for s, b in zip(starts, base, strict=False)])
-        return np.concatenate(hashes), np.concatenate(lang), np.concatenate(joined), starts, np.concatenate(lengths), np.concatenate(data)
+        return (*(np.concatenate(x) for x in (hashes, lang, joined)), starts, *(np.concatenate(x) for x in (lengths, second, data)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], values: np.ndarray) -> Iterator[_Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], values: np.ndarray, twice: bool) -> Iterator[_Chunk]:
     """(lang, text) batches as chunks of about CHUNK_WORDS words."""
-    chunk = _Chunk(values)
+    chunk = _Chunk(values, twice)
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for first, last, data, offsets in pieces(batch.column(1)):
             chunk.add(data, offsets, langs[first:last])
             if chunk.n >= CHUNK_WORDS:
                 yield chunk
-                chunk = _Chunk(values)
+                chunk = _Chunk(values, twice)
     if chunk.n:
         yield chunk
 
@@ -106,11 +108,9 @@ def _vocabulary(values: np.ndarray):
     """(lang, text) to lang, h, word, n: the words of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, values):
-            hashes, lang, _, starts, lengths, data = chunk.arrays()
+        for chunk in _chunks(batches, values, True):
+            hashes, lang, _, starts, lengths, second, data = chunk.arrays()
             names = np.array(list(chunk.langs), object)
-            # other words with the same hash differ in a second one, and become rows of their own
-            second = piece_hash(prefix_hash(_LOWER[data], SECOND), starts, starts + lengths)
             order = np.lexsort((hashes, lang))
             if ((hashes[order[1:]] == hashes[order[:-1]]) & (second[order[1:]] != second[order[:-1]])).any():
                 order = np.lexsort((second, hashes, lang))
@@ -139,7 +139,7 @@ def _routed(values: np.ndarray, buckets: int, heavy: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, values):
+        for chunk in _chunks(batches, values, False):
             hashes, lang, joined, *_ = chunk.arrays()
             known, w = np.unique(hashes, return_inverse=True)
             n, size = len(w), len(known) + 1
