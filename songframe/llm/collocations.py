@@ -28,9 +28,9 @@ from songframe.llm.storage import Workspace
 
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: Words of text whose equal suffixes a task merges before it deals them out.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: Suffixes in a bucket, and the length from which a partition is split by a pivot and not sorted at once.
-BUCKET, SMALL = 1 << 21, 1 << 12
+BUCKET, SMALL = 1 << 20, 1 << 12
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -78,6 +78,7 @@ class _Chunk:
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         hashes, lang, joined, starts, lengths, second, data = zip(*self.parts, strict=True)
+        self.parts.clear()
         base = np.concatenate(([0], np.cumsum([len(x) for x in data])))
         starts = np.concatenate([s + b for s, b in zip(starts, base, strict=False)])
         return (*(np.concatenate(x) for x in (hashes, lang, joined)), starts, *(np.concatenate(x) for x in (lengths, second, data)))
