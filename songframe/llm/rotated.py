@@ -3,9 +3,9 @@
 The index keeps for each vector the signs of its rotated difference from a centre, packed to one bit a
 component, and three scalars: the difference's length, its inner product with the centre, and the cosine
 between it and its code. With a query's rotated difference they give an unbiased estimate of the inner
-product and a bound of its error that holds with high probability. A search deals the index out in blocks,
-sends every query to every block, and reranks there on the original vectors what its bound could bring
-among the nearest. The nearest of all blocks are merged by a window.
+product and a bound of its error that holds with high probability. A search deals the index out in blocks
+and sends every query to every block, twice: at first the largest estimates give each query a floor, then
+all rows whose bound reaches the floor are ranked on the original vectors. A window merges the blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from songframe.llm.storage import Workspace
 
 NEAREST = 20
 #: Half widths of the error bound in its standard deviations.
-WIDTH = 3.0
+WIDTH = 2.5
 #: Bytes of original components in a block, and rows from which a table is cut further to occupy all tasks.
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 4096
 #: Queries compared with a block at once; estimates held are this many times the block's rows.
@@ -127,50 +127,59 @@ class Block:
         self.vectors = _stacked(table.column("vector").combine_chunks(), dims)
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1)
         self.signs = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * np.float32(2) - np.float32(1)
-        length, self.along, cosine = (table.column(c).to_numpy() for c in ("length", "along", "cosine"))
-        self.scale = length / (cosine * np.sqrt(dims))
-        self.spread = length * np.sqrt(np.maximum(1 - cosine * cosine, 0)) / cosine / np.sqrt(max(dims - 1, 1))
+        length, along, cosine = (table.column(c).to_numpy() for c in ("length", "along", "cosine"))
+        self.along = along.astype(np.float32)
+        self.scale = (length / (cosine * np.sqrt(dims))).astype(np.float32)
+        self.spread = (length * np.sqrt(np.maximum(1 - cosine * cosine, 0)) / cosine / np.sqrt(max(dims - 1, 1))).astype(np.float32)
         self.dims, self.centre = dims, centre
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, nearest: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, row and score of the nearest rows of each query, and how many were reranked."""
+    def estimates(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products, the queries' own rows at minus infinity, and the queries' distances."""
         apart = queries - self.centre
-        turned = apart.astype(np.float32) @ rotation(self.dims)
-        estimate = (self.signs @ turned.T).T * self.scale + self.along + (queries @ self.centre)[:, None]
-        bound = width * np.linalg.norm(apart, axis=1)[:, None] * self.spread + 1e-6 * (1 + np.abs(estimate))
-        own = self.id_known & (self.id_values == ids[:, None])
-        estimate[own] = -np.inf
-        n = len(self.id_values)
-        if n > nearest:
-            first = np.argpartition(-estimate, nearest - 1, axis=1)[:, :nearest]
-            scores = np.einsum("qd,qkd->qk", queries, self.vectors[first])
-            scores[np.take_along_axis(own, first, 1)] = -np.inf
-            least = scores.min(1)  # as many rows reach this
-            near = (estimate + bound >= least[:, None]) & ~own
-        else:
-            near = ~own
-        q, row = np.nonzero(near)
-        rough = np.einsum("kd,kd->k", queries[q], self.vectors[row])
-        order = np.lexsort((-rough, q))
-        q, row, rough = q[order], row[order], rough[order]
-        start = np.searchsorted(q, np.arange(len(queries)))
-        place = np.arange(len(q)) - start[q]
-        # scores that rounding could order otherwise stay in
-        last = np.minimum(start + nearest, np.append(start[1:], len(q))) - 1
-        floor = rough[last[q]] if len(q) else rough
-        keep = (place < nearest) | (rough >= floor - 1e-9 * (1 + np.abs(floor)))
-        q, row = q[keep], row[keep]
+        out = (apart.astype(np.float32) @ rotation(self.dims)) @ self.signs.T
+        out *= self.scale
+        out += self.along
+        out += (queries @ self.centre).astype(np.float32)[:, None]
+        out[self.id_known & (self.id_values == ids[:, None])] = -np.inf
+        return out, np.linalg.norm(apart, axis=1).astype(np.float32)
+
+    def promising(self, ids: np.ndarray, queries: np.ndarray, nearest: int) -> list[np.ndarray]:
+        """Rows with the largest estimates of each query."""
+        estimate, _ = self.estimates(ids, queries)
+        n = estimate.shape[1]
+        best = np.argpartition(estimate, n - nearest, axis=1)[:, n - nearest :] if n > nearest else np.tile(np.arange(n), (len(queries), 1))
+        return [row[e[row] > -np.inf] for row, e in zip(best, estimate, strict=True)]
+
+    def possible(self, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, width: float) -> list[np.ndarray]:
+        """Rows of each query whose error bound reaches its floor."""
+        estimate, apart = self.estimates(ids, queries)
+        own = estimate == -np.inf
+        # floors are exact scores, estimates single precision
+        estimate += (np.float32(width) * apart)[:, None] * self.spread + np.float32(1e-6) * (1 + np.abs(estimate))
+        return [np.flatnonzero(x) for x in (estimate >= floors[:, None]) & ~own]
+
+    def ranked(self, queries: np.ndarray, rows: list[np.ndarray], nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, row and score of the nearest of each query's ``rows``, on the original vectors."""
+        kept = []
+        for query, row in zip(queries, rows, strict=True):
+            if len(row) > nearest:
+                rough = self.vectors[row] @ query
+                floor = np.partition(rough, len(row) - nearest)[len(row) - nearest]
+                row = row[rough >= floor - 1e-9 * (1 + abs(floor))]  # what rounding could order otherwise stays in
+            kept.append(row)
+        q, row = np.repeat(np.arange(len(queries)), [len(x) for x in kept]), np.concatenate([np.zeros(0, np.int64), *kept])
         score = exactly(queries[q], self.vectors[row])
-        known, value = self.id_known[row], self.id_values[row]
-        order = np.lexsort((value, ~known, -score, q))
+        order = np.lexsort((self.id_values[row], ~self.id_known[row], -score, q))
         q, row, score = q[order], row[order], score[order]
-        start = np.searchsorted(q, np.arange(len(queries)))
-        top = np.arange(len(q)) - start[q] < nearest
+        top = np.arange(len(q)) - np.searchsorted(q, q) < nearest
         return q[top], row[top], score[top]
 
 
-def _searched(dims: int, centre: np.ndarray, nearest: int, width: float):
-    """Index rows and queries of whole blocks, index rows first, to the nearest rows of each query and block."""
+def _searched(dims: int, centre: np.ndarray, nearest: int, width: float | None):
+    """Index rows and queries of whole blocks, index rows first, to the nearest rows of each query and block.
+
+    Without ``width`` the rows with the largest estimates are ranked, with it all that can reach the floor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, blocks = None, [], {}
@@ -197,7 +206,12 @@ def _searched(dims: int, centre: np.ndarray, nearest: int, width: float):
             rows, block = part.filter(pa.array(sizes == size)), blocks[int(size)]
             for at in range(0, rows.num_rows, QUERIES):
                 some = rows.slice(at, QUERIES)
-                q, row, score = block.search(some.column("vec_id").to_numpy(), _stacked(some.column("vector"), int(size)), nearest, width)
+                ids, queries = some.column("vec_id").to_numpy(), _stacked(some.column("vector"), int(size))
+                if width is None:
+                    found = block.promising(ids, queries, nearest)
+                else:
+                    found = block.possible(ids, queries, some.column("floor").to_numpy(), width)
+                q, row, score = block.ranked(queries, found, nearest)
                 yield pa.RecordBatch.from_arrays(
                     [some.column("vec_id").take(pa.array(q)), some.column("print").take(pa.array(q)), block.ids.take(pa.array(row)), pa.array(score)],
                     ["query_id", "print", "vec_id", "score"],
@@ -212,6 +226,9 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, nearest: in
     ``queries`` has vec_id, vector and dims. Rows of the index with the query's id are its own and no
     candidates; only vectors of its length are. Equal scores go to the smaller vec_id, a null one last.
     A query that is repeated whole is answered once; repeated index rows are candidates each.
+
+    A first pass over all blocks ranks what has the largest estimates. The last of the nearest found so is
+    a floor under the true ones, for all blocks; a second pass ranks every row whose bound reaches it.
     """
     spark = index.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
@@ -220,13 +237,24 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, nearest: in
     rows, components = index.agg(F.count("*"), F.coalesce(F.sum("dims"), F.lit(0))).first()
     blocks = max(1, -(-components * 8 // BLOCK_BYTES), min(-(-rows // BLOCK_ROWS), 2 * spark.sparkContext.defaultParallelism))
     none = lambda kind: F.lit(None).cast(kind)
-    codes = index.select("vec_id", "vector", "dims", "code", "length", "along", "cosine", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("print"))
+    codes = index.select(
+        "vec_id", "vector", "dims", "code", "length", "along", "cosine", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"),
+        F.lit(0).alias("role"), F.lit(0).cast("long").alias("print"), F.lit(0.0).alias("floor"),
+    )
     asked = queries.select("vec_id", "vector", "dims", F.xxhash64("vector").alias("print")).dropDuplicates(["vec_id", "print"])
-    asked = asked.select("vec_id", "vector", "dims", none("binary").alias("code"), *(none("double").alias(c) for c in ("length", "along", "cosine")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "print")
-    dealt = codes.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "role")
-    found = dealt.mapInArrow(_searched(len(centre), centre, nearest, width), "query_id long, print long, vec_id long, score double")
-    found = found.selectExpr("*", "row_number() over (partition by query_id, print order by score desc, vec_id nulls last) as rank")
-    return found.where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+    def scan(queries: DataFrame, width: float | None) -> DataFrame:
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        sent = queries.select("vec_id", "vector", "dims", none("binary").alias("code"), *(none("double").alias(c) for c in ("length", "along", "cosine")), everywhere, F.lit(1).alias("role"), "print", "floor")
+        dealt = codes.unionByName(sent).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "role")
+        found = dealt.mapInArrow(_searched(len(centre), centre, nearest, width), "query_id long, print long, vec_id long, score double")
+        found = found.selectExpr("*", "row_number() over (partition by query_id, print order by score desc, vec_id nulls last) as rank")
+        return found.where(F.col("rank") <= nearest)
+
+    first = scan(asked.withColumn("floor", F.lit(0.0)), None).groupBy(F.col("query_id").alias("vec_id"), "print")
+    floors = first.agg(F.when(F.count("*") >= nearest, F.min("score")).alias("floor"))
+    asked = asked.join(space.keep(floors, "floors"), ["vec_id", "print"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return scan(asked, width).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(vectors: DataFrame, every: int, nearest: int = NEAREST, width: float = WIDTH, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
