@@ -212,6 +212,8 @@ def _searched(dims: int, centre: np.ndarray, nearest: int, width: float | None):
                 else:
                     found = block.possible(ids, queries, some.column("floor").to_numpy(), width)
                 q, row, score = block.ranked(queries, found, nearest)
+                reach = score >= some.column("floor").to_numpy()[q]
+                q, row, score = q[reach], row[reach], score[reach]
                 yield pa.RecordBatch.from_arrays(
                     [some.column("vec_id").take(pa.array(q)), some.column("print").take(pa.array(q)), block.ids.take(pa.array(row)), pa.array(score)],
                     ["query_id", "print", "vec_id", "score"],
@@ -243,18 +245,20 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, nearest: in
     )
     asked = queries.select("vec_id", "vector", "dims", F.xxhash64("vector").alias("print")).dropDuplicates(["vec_id", "print"])
 
-    def scan(queries: DataFrame, width: float | None) -> DataFrame:
+    def scan(queries: DataFrame, width: float | None, each: int) -> DataFrame:
         everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
         sent = queries.select("vec_id", "vector", "dims", none("binary").alias("code"), *(none("double").alias(c) for c in ("length", "along", "cosine")), everywhere, F.lit(1).alias("role"), "print", "floor")
         dealt = codes.unionByName(sent).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "role")
-        found = dealt.mapInArrow(_searched(len(centre), centre, nearest, width), "query_id long, print long, vec_id long, score double")
+        found = dealt.mapInArrow(_searched(len(centre), centre, each, width), "query_id long, print long, vec_id long, score double")
         found = found.selectExpr("*", "row_number() over (partition by query_id, print order by score desc, vec_id nulls last) as rank")
         return found.where(F.col("rank") <= nearest)
 
-    first = scan(asked.withColumn("floor", F.lit(0.0)), None).groupBy(F.col("query_id").alias("vec_id"), "print")
+    # any ``nearest`` exact scores give a floor, so no block has to list as many
+    some = min(nearest, max(2, -(-2 * nearest // blocks)))
+    first = scan(asked.withColumn("floor", F.lit(float("-inf"))), None, some).groupBy(F.col("query_id").alias("vec_id"), "print")
     floors = first.agg(F.when(F.count("*") >= nearest, F.min("score")).alias("floor"))
     asked = asked.join(space.keep(floors, "floors"), ["vec_id", "print"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    return scan(asked, width).select("query_id", "rank", "vec_id", "score")
+    return scan(asked, width, nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(vectors: DataFrame, every: int, nearest: int = NEAREST, width: float = WIDTH, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
