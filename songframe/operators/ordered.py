@@ -65,6 +65,22 @@ def with_running_total(
     return joined.select(*df.columns, total.alias(name))
 
 
+def with_running_max(
+    df: DataFrame, keys: list[str], order: str, bucket: Column, value: Column, name: str
+) -> DataFrame:
+    """Add the largest ``value`` of the rows of the key that come strictly before this one."""
+    rows = _bucketed(df, bucket).withColumn("__value", value)
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.groupBy(*keys, _BUCKET)
+        .agg(F.max("__value").alias("__most"))
+        .select(*keys, _BUCKET, F.max("__most").over(ahead).alias("__carry"))
+    )
+    joined = rows.withColumn("__local", F.max("__value").over(inside)).join(carried, [*keys, _BUCKET], "left")
+    return joined.select(*df.columns, F.greatest("__local", "__carry").alias(name))
+
+
 def with_position(
     df: DataFrame, keys: list[str], order: str, bucket: Column, name: str
 ) -> DataFrame:
