@@ -53,3 +53,21 @@ def points_in_intervals(
     return (
         placed.join(listed, [*keys, "__cell"]).filter(lower & (F.col(point) < F.col(end))).drop("__cell")
     )
+
+
+def overlapping(
+    left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, other_start: str, other_end: str, width: float
+) -> DataFrame:
+    """Pair the intervals of two tables that share more than a point.
+
+    Both are listed once per cell they touch; a pair is taken in the one cell where it begins.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
+
+    def listed(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.filter(F.col(b) > F.col(a)).withColumn("__cell", F.explode(F.sequence(cell(a), cell(b))))
+
+    met = listed(left, start, end).join(listed(right, other_start, other_end), [*keys, "__cell"])
+    begin = F.greatest(start, other_start)
+    first = F.floor(begin / F.lit(width)).cast("bigint") == F.col("__cell")
+    return met.filter(first & (F.least(end, other_end) > begin)).drop("__cell")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songframe.operators import defects as DF
 from songframe.operators import evaluation as EV
+from songframe.operators import retrieval as RT
 from songframe.operators import timeline as TL
 from songframe.plans import testbed as B
 from songframe.plans.oracles import _BEATS, _SECTIONS
 from songframe.plans.queries import query
+from songframe.session import checkpoint_root
+from songframe.sources.ordered_store import save_ordered
 
 SPAN_SECONDS = 37.5
 LOUD_CENTS = 5_000.0
@@ -145,15 +150,17 @@ def recording_defects(t):
     return out.select(F.col("recording_id").cast("bigint").alias("user_id"), "track", "samples", "gaps", "silent_samples", "silent_run", "clipped_samples", "clipped_run")
 
 
-ORACLES["recording_defects"] = f"""WITH placed AS (
+_GRID = f"""placed AS (
   SELECT user_id, (epoch_us(ts) - 1704067200000000) // 86400000000 AS day, event_type, CAST(round_even(value * 100, 0) AS BIGINT) AS cents FROM events),
 tracks AS (SELECT unnest(['mixture', 'vocals', 'drums', 'bass', 'other']) AS track, unnest([NULL, 'purchase', 'click', 'signup', 'error']) AS kind),
 blocks AS (SELECT DISTINCT user_id, CAST(floor(day / {B.BLOCK_DAYS}) AS BIGINT) AS block FROM placed),
 grid AS (SELECT user_id, block, block * {B.BLOCK_DAYS} + unnest(range({B.BLOCK_DAYS})) AS day FROM blocks),
 valued AS (
-  SELECT g.user_id, track, g.block, g.day, abs(CAST(coalesce(sum(cents) FILTER (kind IS NULL OR event_type = kind), 0) AS FLOAT)) AS x
-  FROM grid g CROSS JOIN tracks LEFT JOIN placed p ON p.user_id = g.user_id AND p.day = g.day GROUP BY ALL),
-flagged AS (SELECT *, x <= 0 AS silent, x >= {LOUD_CENTS} AS clipped FROM valued),
+  SELECT g.user_id, track, g.block, g.day, CAST(coalesce(sum(cents) FILTER (kind IS NULL OR event_type = kind), 0) AS FLOAT) AS x
+  FROM grid g CROSS JOIN tracks LEFT JOIN placed p ON p.user_id = g.user_id AND p.day = g.day GROUP BY ALL)"""
+
+ORACLES["recording_defects"] = f"""WITH {_GRID},
+flagged AS (SELECT *, abs(x) <= 0 AS silent, abs(x) >= {LOUD_CENTS} AS clipped FROM valued),
 silences AS (SELECT user_id, track, max(n) AS silent_run FROM (
   SELECT user_id, track, count(*) AS n FROM (
     SELECT *, day - row_number() OVER (PARTITION BY user_id, track ORDER BY day) AS island FROM flagged WHERE silent) GROUP BY user_id, track, island) GROUP BY ALL),
@@ -165,3 +172,59 @@ gaps AS (SELECT user_id, count(*) FILTER (block > coalesce(before, -1) + 1) AS g
 SELECT user_id, track, count(*) AS samples, gaps, count(*) FILTER (silent) AS silent_samples, coalesce(silent_run, 0) AS silent_run,
   count(*) FILTER (clipped) AS clipped_samples, coalesce(clipped_run, 0) AS clipped_run
 FROM flagged LEFT JOIN silences USING (user_id, track) LEFT JOIN clips USING (user_id, track) JOIN gaps USING (user_id) GROUP BY ALL"""
+
+
+@query
+def interval_retrieval(t):
+    """The five days from each signup on, from all five tracks of the user, out of a table stored in order."""
+    spark = t.spark
+    path = f"{checkpoint_root(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = save_ordered(B.event_blocks(t).withColumn("length", RT.stored_length()), path, files)
+    day = F.floor((B.event_micros() - F.lit(1_704_067_200_000_000)) / F.lit(86_400_000_000)).cast("bigint")
+    requests = t.events.filter("event_type = 'signup'").select(
+        F.col("event_id").alias("interval_id"), F.col("user_id").cast("string").alias("recording_id"), day.alias("start_sample"), (day + 5).alias("end_sample")
+    )
+    cents = F.aggregate(F.get("samples", F.lit(0)), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return RT.samples_in(table, requests).groupBy("interval_id", "track").agg(
+        F.min("start_sample").alias("first_day"), F.sum(F.size(F.get("samples", F.lit(0)))).alias("days"), F.sum(cents).alias("cents")
+    )
+
+
+ORACLES["interval_retrieval"] = f"""WITH {_GRID},
+asked AS (SELECT event_id AS interval_id, user_id, (epoch_us(ts) - 1704067200000000) // 86400000000 AS first FROM events WHERE event_type = 'signup')
+SELECT interval_id, track, min(day) AS first_day, count(*) AS days, CAST(sum(CAST(x AS BIGINT)) AS BIGINT) AS cents
+FROM asked JOIN valued USING (user_id) WHERE day >= first AND day < first + 5 GROUP BY ALL"""
+
+
+@query
+def interval_hierarchy(t):
+    """Frames, beats and sections in spans of equal length of every recording."""
+    spans = _spans(t).filter("end_seconds > start_seconds").withColumn("interval_id", F.concat_ws(":", "recording_id", "start_seconds"))
+    turns = B.sections(t).filter("end_seconds > start_seconds").select("recording_id", "section_index", "start_seconds", "end_seconds", "label")
+    out = RT.retrieve(spans, B.recordings(t), meta=B.axes(t), beats=B.beats(t), sections=turns)
+    beats = out.beats.groupBy("interval_id").agg(F.count(F.lit(1)).alias("beats"))
+    met = out.sections.groupBy("interval_id").agg(F.min("section_index").alias("first_section"), F.count(F.lit(1)).alias("sections"))
+    frames = F.col("spectrogram_frames")["transient"]
+    return out.frames.join(beats, "interval_id", "left").join(met, "interval_id", "left").select(
+        _conv(), "start_seconds", "start_sample", "end_sample", frames["start"].alias("start_frame"), frames["end"].alias("end_frame"),
+        F.coalesce("beats", F.lit(0).cast("bigint")).alias("beats"), "first_section", "sections",
+    )
+
+
+ORACLES["interval_hierarchy"] = f"""WITH {_SECTIONS}, {_BEATS}, {_SPANS},
+axes AS (SELECT conv_id, CASE WHEN frame_count < 1024 THEN 0 ELSE (frame_count - 1024) // 256 + 1 END AS frames FROM recordings),
+asked AS (SELECT * FROM spans WHERE end_s > start_s),
+inside AS (SELECT a.conv_id, a.start_s, count(*) AS beats FROM asked a JOIN beats b ON b.conv_id = a.conv_id AND b.s >= a.start_s AND b.s < a.end_s GROUP BY ALL),
+met AS (
+  SELECT a.conv_id, a.start_s, min(turn) AS first_section, count(*) AS sections
+  FROM asked a JOIN sections c ON c.conv_id = a.conv_id AND c.end_s > c.start_s AND c.start_s < a.end_s AND c.end_s > a.start_s GROUP BY ALL),
+placed AS (
+  SELECT a.*, CAST(round_even(start_s * 44100, 0) AS BIGINT) AS start_sample, least(CAST(round_even(end_s * 44100, 0) AS BIGINT), frame_count) AS end_sample, frames
+  FROM asked a JOIN recordings USING (conv_id) JOIN axes USING (conv_id)),
+edges AS (SELECT conv_id, start_s AS s, frames FROM placed UNION SELECT conv_id, end_s, frames FROM placed),
+counted AS (
+  SELECT conv_id, s, (SELECT count(*) FROM (SELECT unnest(range(frames)) AS i) WHERE CAST(512 + i * 256 AS DOUBLE) / 44100 < s) AS frame FROM edges)
+SELECT p.conv_id, p.start_s AS start_seconds, start_sample, end_sample, f.frame AS start_frame, g.frame AS end_frame, coalesce(beats, 0) AS beats, first_section, sections
+FROM placed p JOIN counted f ON f.conv_id = p.conv_id AND f.s = p.start_s JOIN counted g ON g.conv_id = p.conv_id AND g.s = p.end_s
+LEFT JOIN inside i ON i.conv_id = p.conv_id AND i.start_s = p.start_s LEFT JOIN met m ON m.conv_id = p.conv_id AND m.start_s = p.start_s"""
