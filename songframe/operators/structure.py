@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from songframe.functions import exprs as X
 from songframe.operators import timeline as TL
+from songframe.operators.beats import best_beats
 from songframe.operators.frames import ONSET_HOP, onset_chroma_frames
 from songframe.operators.joins import attach
 from songframe.operators.learned import section_distributions
-from songframe.operators.ordered import with_position, with_previous
+from songframe.operators.ordered import with_position
 from songframe.session import cut_lineage, spread
 
 BEATS_PER_BAR = 4
@@ -26,14 +27,13 @@ TARGET_SECTION_SECONDS = 20.0
 HYPOTHESIS = "baseline"
 LABEL_KIND = "unsupervised_similarity_group"
 
-# Beat tracking looks at windows of this many frames (about 12 minutes at 512-sample hops), each
-# with some context, so that a very long recording is many groups and a song is one.
+# Lag products are summed in windows of this many frames (about 12 minutes at 512-sample hops), each
+# with the context of the longest lag.
 WINDOW_FRAMES = 65_536
 WINDOW_CONTEXT = 1_024
 SLOWEST_BPM = 30.0
 FASTEST_BPM = 300.0
 PREFERRED_BPM = 120.0
-TIGHTNESS = 100.0
 
 # Segmentation sees at most this many cells per recording. Up to that many frames a cell is one
 # frame; longer recordings average neighbouring frames.
@@ -148,77 +148,13 @@ def estimate_tempo(frames: DataFrame, frame_rate: float) -> DataFrame:
     )
 
 
-def follow_beats(onset: np.ndarray, period: int) -> np.ndarray:
-    """Frames of the best beat sequence: strong onsets, gaps close to the period.
-
-    Dynamic programming over frames (Ellis 2007). Runs on one window.
-    """
-    deviation = onset.std(ddof=1) if onset.size > 1 else 0.0
-    if deviation <= 0:
-        return np.zeros(0, dtype=np.int64)
-    reach = np.arange(-period, period + 1)
-    local = np.convolve(onset / deviation, np.exp(-0.5 * (reach * 32.0 / period) ** 2), mode="same")
-    gaps = np.arange(max(1, period // 2), 2 * period + 1)
-    cost = -TIGHTNESS * np.log(gaps / period) ** 2
-    total = np.zeros(onset.size)
-    before = np.full(onset.size, -1, dtype=np.int64)
-    weak = local < 0.01 * local.max()
-    started = False
-    for t in range(onset.size):
-        usable = min(len(gaps), max(0, t - gaps[0] + 1))
-        best = -1
-        if usable:
-            options = total[t - gaps[:usable]] + cost[:usable]
-            best = int(options.argmax())
-        total[t] = local[t] + (options[best] if usable else 0.0)
-        if not started and weak[t]:
-            continue
-        started = True
-        if usable:
-            before[t] = t - gaps[best]
-    tail = total[max(0, onset.size - 2 * period) :]
-    beat = int(tail.argmax()) + max(0, onset.size - 2 * period)
-    beats = []
-    while beat >= 0:
-        beats.append(beat)
-        beat = int(before[beat])
-    return np.array(beats[::-1], dtype=np.int64)
-
-
 def track_beats(frames: DataFrame, tempo: DataFrame, frame_rate: float) -> DataFrame:
     """Beats of every recording, numbered, with the onset strength they fall on."""
-    schema = "recording_id string, frame_index bigint, onset double, period_frames bigint"
-
-    def track(key: tuple, rows: pa.Table) -> pa.Table:
-        frame, onset = _in_order(rows, "frame_index", "onset")
-        first = key[1].as_py() * WINDOW_FRAMES
-        period = rows.column("period_frames")[0].as_py()
-        beats = follow_beats(onset, period)
-        beats = beats[(frame[beats] >= first) & (frame[beats] < first + WINDOW_FRAMES)]
-        return pa.table({
-            "recording_id": pa.repeat(key[0], len(beats)),
-            "frame_index": pa.array(frame[beats]),
-            "onset": pa.array(onset[beats]),
-            "period_frames": pa.array(np.full(len(beats), period, dtype=np.int64)),
-        })
-
-    timed = attach(
-        _windows(frames.select("recording_id", "frame_index", "onset")),
-        tempo.filter(F.col("period_frames").isNotNull()).select("recording_id", "period_frames"),
-        ["recording_id"], "frame_index", "inner",
-    )
-    # Read several times below; beats are few, the dynamic programme is not cheap.
-    raw = cut_lineage(
-        spread(timed, "recording_id", "window").groupBy("recording_id", "window").applyInArrow(track, schema)
-    )
-    # Where two windows meet, both may claim the same beat.
+    raw = cut_lineage(best_beats(frames, tempo))
+    placed = raw.join(frames.select("recording_id", "frame_index", "onset"), ["recording_id", "frame_index"])
     run = F.floor(F.col("frame_index") / WINDOW_FRAMES)
-    spaced = with_previous(raw, ["recording_id"], "frame_index", run, {"__previous": "frame_index"}).filter(
-        F.col("__previous").isNull()
-        | (2 * (F.col("frame_index") - F.col("__previous")) >= F.col("period_frames"))
-    )
     numbered = with_position(
-        spaced.select("recording_id", "frame_index", "onset"), ["recording_id"], "frame_index", run, "beat_index"
+        placed.select("recording_id", "frame_index", "onset"), ["recording_id"], "frame_index", run, "beat_index"
     )
     return numbered.withColumn("seconds", F.col("frame_index") / F.lit(frame_rate))
 

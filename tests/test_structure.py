@@ -2,6 +2,7 @@ import numpy as np
 from audio import blocks_of
 from pyspark.sql import functions as F
 
+from songframe.operators import beats as BT
 from songframe.operators import structure as ST
 
 RNG = np.random.default_rng(8)
@@ -56,10 +57,10 @@ def test_groups_are_numbered_by_appearance():
 def test_beats_of_a_click_track():
     onset = np.zeros(3_000)
     onset[7::43] = 1.0
-    beats = ST.follow_beats(onset + RNG.random(3_000) * 0.05, 43)
+    beats = BT.follow_beats(onset + RNG.random(3_000) * 0.05, 43)
     assert len(beats) > 60 and (np.diff(beats)[2:-2] == 43).mean() > 0.95
     assert set((beats[5:-5] - 7) % 43) == {0}
-    assert ST.follow_beats(np.zeros(500), 43).size == 0
+    assert BT.follow_beats(np.zeros(500), 43).size == 0
 
 
 def test_windows_do_not_change_the_tempo_or_tear_the_beats(spark, monkeypatch):
