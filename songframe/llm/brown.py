@@ -367,13 +367,13 @@ def _scored(model):
                 rest = np.flatnonzero(~whole)
                 known = found & ((codes != end) | (log_count[end] > 0))  # a training text's end counts 1 or more
                 sums = lambda x: np.bincount(texts, weights=x, minlength=rows)  # noqa: B023, E731
-                n_rest, lone = len(rest), _spread(rows)
+                n_rest, lone, spread = len(rest), *_spread(batch.column(0).slice(first, rows), hashes, texts, rest)
                 zeros, none = np.zeros(n_rest), np.zeros(n_rest, np.int64)
                 row = np.concatenate((np.arange(rows), texts[rest])).astype(np.int64)
                 # a code of zero or more is in no table, and spreads the rows
                 known_a, known_b = before[rest] >= 0, codes[rest] >= 0
-                a = np.where(known_a, _spread(n_rest), before[rest])
-                b = np.where(known_b, _spread(n_rest), codes[rest])
+                a = np.where(known_a, spread, before[rest])
+                b = np.where(known_b, spread, codes[rest])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(first + row)),
@@ -394,8 +394,17 @@ def _scored(model):
     return run
 
 
-def _spread(n: int) -> np.ndarray:
-    return np.random.default_rng().integers(0, 1 << 63, n, dtype=np.int64)
+def _spread(row: pa.StructArray, hashes: np.ndarray, texts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of rows, and of their tokens ``rest``, that deal them out evenly.
+
+    They follow from id, words and place alone, so a task that runs again deals its rows out as before.
+    """
+    counts = np.bincount(texts, minlength=len(row))
+    ids = mix(row.field("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64))
+    ids = mix(ids ^ np.add.reduceat(hashes, np.cumsum(counts) - counts)) if len(hashes) else ids
+    place = rest - (np.cumsum(counts) - counts)[texts[rest]]
+    keys = mix(ids[texts[rest]] + place.astype(np.uint64))
+    return signed(ids >> np.uint64(1)), signed(keys >> np.uint64(1))
 
 
 def held_out(doc_id) -> F.Column:

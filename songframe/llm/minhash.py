@@ -183,9 +183,9 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
     shared = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = space.keep(tables.join(shared, "key"), "shared")
     labels = space.keep(live.select("node").distinct().withColumn("comp", F.col("node")), "labels")
-    wanted = labels.select("node").join(nodes, "node").select("doc_id").distinct()
+    wanted = labels.select("node").join(nodes, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
     texts = (
-        source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_texts(banding.words), "node long, text string")
+        source.join(wanted, F.expr("doc_id <=> wanted_id"), "left_semi").select("text").mapInArrow(_texts(banding.words), "node long, text string")
         .join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"])
     )
     texts = space.keep(texts, "texts")
@@ -244,7 +244,7 @@ def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Bandi
         if last:
             return labels
         tested = pairs if tested is None else tested.union(pairs)
-        barren = 20 * links.count() < pairs.count()
+        barren = 20 * links.count() <= pairs.count()  # also after a round without pairs
 
 
 #: op1: three words, similarity 0.85.
@@ -257,6 +257,9 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, banding: Banding | None = None) -> DataFrame:
-    """The document with the smallest id of each group, with its own columns; ids count once."""
+    """The document with the smallest id of each group, with its own columns.
+
+    Rows that share an id are one document and stay or go together; so do all rows without an id.
+    """
     kept = components(docs, banding or Banding()).where("kept").select("doc_id").distinct()
     return docs.join(kept.withColumnRenamed("doc_id", "_songframe_id"), F.expr("doc_id <=> _songframe_id"), "left_semi")

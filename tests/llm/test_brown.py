@@ -7,6 +7,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import table, words
 
@@ -55,6 +57,20 @@ def test_class_model_sums_to_one_and_beats_the_word_model(spark):
     assert gain > 0.2, gain
 
 
+def test_join_keys_come_from_the_rows():
+    """A task that runs again, or over other batches, gives every token the same key."""
+    rng = np.random.default_rng(2)
+    counts = [3, 1, 7, 1]
+    hashes = rng.integers(0, 1 << 64, sum(counts), dtype=np.uint64)
+    hashes[-1] = hashes[3]
+    row = pa.StructArray.from_arrays([pa.array([4, None, 9, 5])], ["doc_id"])
+    texts = np.repeat(np.arange(4), counts)
+    lone, keys = brown._spread(row, hashes, texts, np.arange(12))
+    again, some = brown._spread(row.slice(2), hashes[4:], texts[4:] - 2, np.array([1, 7]))
+    assert again.tolist() == lone[2:].tolist() and some.tolist() == keys[[5, 11]].tolist()
+    assert len(set(keys.tolist())) == 12 and len(set(lone.tolist())) == 4 and (keys >= 0).all()
+
+
 def test_every_word_gets_a_class(spark, monkeypatch):
     """Many words of one use each: no single one is frequent, yet their classes show, listed or joined."""
     rng = random.Random(7)

@@ -77,6 +77,32 @@ def test_rounds_before_all_pairs(spark, monkeypatch):
     assert got == plain(list(range(25)), texts, banding)
 
 
+def test_a_round_without_pairs_ends(spark, monkeypatch):
+    """Texts that share keys but differ too much in length to be compared with any head."""
+    monkeypatch.setattr(minhash, "FEW_PAIRS", 0)
+    monkeypatch.setattr(minhash, "PAIRS_A_ROW", 0)
+    body = [f"w{i}" for i in range(100)]
+    texts = [" ".join(body), " ".join(body[:50]), " ".join(body[:99])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for some in (docs, docs.limit(2)):
+        got = sorted(tuple(r) for r in minhash.components(some, Banding(words=3, percent=85, halves=9, width=1)).collect())
+        n = some.count()
+        assert got == plain(list(range(n)), texts[:n], Banding(words=3, percent=85, halves=9, width=1))
+
+
+def test_links_through_a_document_without_an_id(spark):
+    body = [f"w{i}" for i in range(100)]
+    swapped = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(body))
+    rows = [(1, swapped(20)), (None, swapped()), (2, swapped(60)), (9, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    banding = Banding(words=3, percent=90, halves=9, width=1)
+    alike = lambda a, b: len(a & b) / len(a | b)
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(98)} for _, t in rows[:3]]
+    assert alike(sets[0], sets[1]) >= 0.9 and alike(sets[1], sets[2]) >= 0.9 > alike(sets[0], sets[2])
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.components(docs, banding).collect()}
+    assert got == {(1, 1, True), (None, 1, False), (2, 1, False), (9, 9, True)}
+
+
 def test_query_repeated_rows_and_no_rows(spark, odd_docs, tmp_path):
     twice = odd_docs.union(odd_docs.where("doc_id < 5"))
     got = minhash.query(spark, table(spark, tmp_path, "documents", twice)).collect()
