@@ -22,6 +22,7 @@ from songframe.operators.ordered import with_previous
 
 # Rows are flushed to Spark once this many float values are waiting.
 FLUSH_VALUES = 1 << 20
+# Fixed value: the order in which stem features are stacked.
 STEM_ORDER = ("bass", "drums", "other", "vocals")
 ONSET_FRAME = 2_048
 ONSET_HOP = 512
@@ -66,23 +67,34 @@ def reblocked(blocks: DataFrame, size: int = schemas.BLOCK_SAMPLES) -> DataFrame
     return parts.withColumn("samples", joined).select(*[c for c in blocks.columns if c not in ("before", "after")])
 
 
-def with_context(blocks: DataFrame) -> DataFrame:
+def _short_tracks(blocks: DataFrame, owed: int) -> DataFrame:
+    """Tracks with a block, not their last, of fewer samples than the context it owes its neighbours."""
+    length = F.size(F.coalesce(F.get("samples", F.lit(0)), F.array().cast("array<float>")))
+    sizes = blocks.select("recording_id", "track", "block_index", length.alias("n"))
+    last = sizes.groupBy("recording_id", "track").agg(F.max("block_index").alias("last"))
+    return sizes.join(last, ["recording_id", "track"]).filter((F.col("n") < owed) & (F.col("block_index") < F.col("last"))).select("recording_id", "track").distinct()
+
+
+def with_context(
+    blocks: DataFrame, before: int = schemas.CONTEXT_BEFORE, after: int = schemas.CONTEXT_AFTER, size: int = schemas.BLOCK_SAMPLES
+) -> DataFrame:
     """Add ``before`` and ``after`` samples taken from the neighbouring blocks.
 
-    Only block edges travel to the neighbours; each block is moved once to meet them. Blocks that are
-    shorter than the context they owe are an error, since frames would be lost without a word: see
-    ``reblocked``. The last block of a track may be short.
+    Only block edges travel to the neighbours; each block is moved once to meet them. A neighbour alone
+    has to hold the whole context, so tracks with shorter blocks (the last may be short) are cut into
+    blocks of ``size`` first; all others stay as they are.
     """
+    owed = max(before, after)
+    if size < owed:
+        raise ValueError("a block has to hold the context it owes")
     keys = ["recording_id", "track", "block_index"]
-    tail = F.transform(
-        "samples",
-        lambda c: F.slice(
-            c,
-            F.greatest(F.lit(1), F.size(c) - F.lit(schemas.CONTEXT_BEFORE) + 1),
-            F.lit(schemas.CONTEXT_BEFORE),
-        ),
+    short = _short_tracks(blocks, owed)
+    bare = blocks.drop("before", "after")
+    blocks = bare.join(short, ["recording_id", "track"], "left_anti").unionByName(
+        reblocked(bare.join(short, ["recording_id", "track"], "left_semi").select(*bare.columns), size), allowMissingColumns=True
     )
-    head = F.transform("samples", lambda c: F.slice(c, 1, schemas.CONTEXT_AFTER))
+    tail = F.transform("samples", lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - F.lit(before) + 1), F.lit(before)))
+    head = F.transform("samples", lambda c: F.slice(c, 1, after))
     none = F.lit(None).cast("array<array<float>>")
     edges = blocks.select(
         "recording_id",
@@ -98,18 +110,25 @@ def with_context(blocks: DataFrame) -> DataFrame:
         F.first("edge.h", ignorenulls=True).alias("after"),
     )
     silent = F.transform("samples", lambda c: F.slice(c, 1, 0))
-    length = F.size(F.get("samples", F.lit(0)))
-    owed = F.when(F.col("after").isNotNull(), max(schemas.CONTEXT_BEFORE, schemas.CONTEXT_AFTER)).otherwise(0)
-    short = F.raise_error(F.concat(F.lit("block shorter than its context: "), F.concat_ws("/", *keys))).cast("array<array<float>>")
     return (
-        blocks.drop("before", "after")
-        .join(edges, keys, "left")
-        .withColumn("samples", F.when(length < owed, short).otherwise(F.col("samples")))
+        blocks.join(edges, keys, "left")
         .withColumn("before", F.coalesce("before", silent))
         .withColumn("after", F.coalesce("after", silent))
     )
 
 
+def rate_violations(blocks: DataFrame, rate: int = S.BAND_RATE) -> DataFrame:
+    """Tracks whose sample rate the log-band features are not made for; they get no features."""
+    foreign = blocks.filter(~F.col("sample_rate_hz").eqNullSafe(F.lit(rate))).select("recording_id", "track", "sample_rate_hz").distinct()
+    return foreign.select("recording_id", *TL.violation("features", "sample_rate", F.col("track"), F.col("sample_rate_hz")))
+
+
+def _check_reach(before: int, after: int) -> None:
+    """Centred frames must lie within a block and its context, or samples would count as zero unnoticed."""
+    if before > schemas.CONTEXT_BEFORE or after > schemas.CONTEXT_AFTER:
+        raise ValueError(f"frames that reach {before} back and {after} ahead need wider block context")
+
+
 def _channels(cell) -> list[np.ndarray]:
     return [np.asarray(c.values.to_numpy(zero_copy_only=False), dtype=np.float32) for c in cell]
 
@@ -248,15 +267,16 @@ def log_band_frames(
 ) -> DataFrame:
     """Log-compressed band energies on a regular grid, one frame centred at every hop.
 
-    Frames reach past both ends of the recording, where samples count as zero.
+    Frames reach past both ends of the recording, where samples count as zero. Tracks of another
+    rate give no frames; ``rate_violations`` lists them.
     """
+    _check_reach(frame // 2, frame - frame // 2)
+    blocks = blocks.filter(F.col("sample_rate_hz") == rate)
     dtype = np.float64 if precise else np.float32
     window = S.symmetric_hann(frame, dtype)
     filters = S.log_filterbank(frame, rate, low_hz, high_hz).astype(dtype)
 
     def kernel(block: _Block):
-        if block.rate != rate:
-            raise ValueError(f"expected {rate} Hz, received {block.rate} Hz")
         first = -(-block.start // hop)
         count = -(-block.end // hop) - first
         if count <= 0:
@@ -284,6 +304,7 @@ def onset_chroma_frames(
     Onset strength is the mean positive level change from the frame before. The profile is scaled
     to a maximum of one; a silent frame stays zero.
     """
+    _check_reach(frame // 2 + hop, frame - frame // 2 + hop)
     window = S.periodic_hann(frame)
     scale = 1.0 / float(window.sum(dtype=np.float64))
 

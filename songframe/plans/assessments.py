@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from songframe.operators import defects as DF
 from songframe.operators import evaluation as EV
+from songframe.operators import frames as FR
 from songframe.operators import retrieval as RT
 from songframe.operators import timeline as TL
 from songframe.plans import testbed as B
-from songframe.plans.oracles import _BEATS, _SECTIONS
-from songframe.plans.queries import query
+from songframe.plans.oracles import _BEATS, _FILTERS, _SECTIONS
+from songframe.plans.queries import BAND_FRAME, BAND_HIGH, BAND_HOP, BAND_LOW, BAND_RATE, query
 from songframe.session import checkpoint_root
 from songframe.sources.ordered_store import save_ordered
 
@@ -228,3 +229,59 @@ counted AS (
 SELECT p.conv_id, p.start_s AS start_seconds, start_sample, end_sample, f.frame AS start_frame, g.frame AS end_frame, coalesce(beats, 0) AS beats, first_section, sections
 FROM placed p JOIN counted f ON f.conv_id = p.conv_id AND f.s = p.start_s JOIN counted g ON g.conv_id = p.conv_id AND g.s = p.end_s
 LEFT JOIN inside i ON i.conv_id = p.conv_id AND i.start_s = p.start_s LEFT JOIN met m ON m.conv_id = p.conv_id AND m.start_s = p.start_s"""
+
+
+def _edge_blocks(t: B.Tables, rate: int = B.RATE) -> DataFrame:
+    """Four embeddings in a row as one waveform in blocks of 48 samples, which frames reach over."""
+    whole = t.embeddings.select(
+        F.floor(F.col("vec_id") / 4).cast("string").alias("recording_id"), F.lit("mixture").alias("track"),
+        F.pmod("vec_id", F.lit(4)).alias("block_index"), (F.pmod("vec_id", F.lit(4)) * 64).alias("start_sample"),
+        F.lit(rate).alias("sample_rate_hz"), F.array("embedding").alias("samples"),
+    )
+    return FR.with_context(FR.reblocked(whole, 48), 48, 48, 48)
+
+
+_EDGE_SAMPLES = """
+signal AS (
+  SELECT vec_id // 4 AS song, (vec_id % 4) * 64 + generate_subscripts(embedding, 1) - 1 AS n, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+lengths AS (SELECT song, count(*) AS size FROM signal GROUP BY song)"""
+
+
+@query
+def edge_spectrum(t):
+    frames = FR.spectrogram_frames(_edge_blocks(t), [FR.SpectrogramConfig("edge", 32, 8)], precise=True)
+    return frames.select(
+        F.col("recording_id").cast("bigint").alias("song"), "frame_index", F.posexplode("magnitude_dbfs").alias("bin", "x")
+    ).select("song", "frame_index", F.col("bin").cast("bigint").alias("bin"), F.round(F.col("x").cast("double"), 4).alias("dbfs"))
+
+
+ORACLES["edge_spectrum"] = f"""WITH {_EDGE_SAMPLES},
+starts AS (SELECT song, unnest(range((size - 32) // 8 + 1)) AS f FROM lengths),
+cut AS (SELECT s.song, f, n - f * 8 AS n, x FROM starts s JOIN signal g ON g.song = s.song AND n >= f * 8 AND n < f * 8 + 32),
+spectrum AS (
+  SELECT song, f, k,
+    sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 32)) * cos(2 * pi() * ((k * n) % 32) / 32)), 2)
+       + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 32)) * sin(2 * pi() * ((k * n) % 32) / 32)), 2)) / 16 AS m
+  FROM cut, (SELECT unnest(range(17)) AS k) GROUP BY song, f, k)
+SELECT song, f AS frame_index, k AS bin, round(CAST(CAST(greatest(20 * log10(greatest(m, 1e-6)), -120) AS FLOAT) AS DOUBLE), 4) AS dbfs FROM spectrum"""
+
+
+@query
+def edge_log_bands(t):
+    bands = FR.log_band_frames(_edge_blocks(t, BAND_RATE), BAND_FRAME, BAND_HOP, BAND_RATE, BAND_LOW, BAND_HIGH, precise=True)
+    return bands.select(
+        F.col("recording_id").cast("bigint").alias("song"), "frame_index", F.posexplode("bands").alias("band", "x")
+    ).select("song", "frame_index", F.col("band").cast("bigint").alias("band"), F.round(F.col("x").cast("double"), 5).alias("energy"))
+
+
+ORACLES["edge_log_bands"] = f"""WITH {_EDGE_SAMPLES},
+starts AS (SELECT song, unnest(range((size + 15) // 16)) AS f FROM lengths),
+cut AS (SELECT s.song, f, n - (f * 16 - 32) AS n, x FROM starts s JOIN signal g ON g.song = s.song AND n >= f * 16 - 32 AND n < f * 16 + 32),
+spectrum AS (
+  SELECT song, f, k,
+    sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 63)) * cos(2 * pi() * ((k * n) % 64) / 64)), 2)
+       + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 63)) * sin(2 * pi() * ((k * n) % 64) / 64)), 2)) AS m
+  FROM cut, (SELECT unnest(range(32)) AS k) GROUP BY song, f, k),
+{_FILTERS}
+SELECT song, f AS frame_index, band, round(CAST(CAST(log10(1 + sum(m * w)) AS FLOAT) AS DOUBLE), 5) AS energy
+FROM spectrum JOIN filters USING (k) GROUP BY song, f, band"""

@@ -82,9 +82,28 @@ def test_log_band_features(spark):
             assert np.allclose(bands[k], np.log10(1 + spectrum @ S.log_filterbank()), atol=1e-4)
 
 
-def test_wrong_rate_is_refused(spark):
-    with pytest.raises(Exception, match="expected 44100 Hz"):
-        FR.log_band_frames(blocks_of(spark, {("a", "bass"): [np.zeros(500)]}, rate=8_000)).collect()
+def test_other_rates_are_listed_and_left_out(spark):
+    blocks = blocks_of(spark, {("a", "bass"): [np.zeros(500)]}, rate=8_000).unionByName(blocks_of(spark, {("b", "bass"): [np.zeros(500)]}))
+    assert {r.recording_id for r in FR.log_band_frames(blocks).collect()} == {"b"}
+    assert [(r.recording_id, r.check, r.detail) for r in FR.rate_violations(blocks).collect()] == [("a", "sample_rate", "8000")]
+
+
+def test_frames_wider_than_the_context_are_refused(spark):
+    blocks = blocks_of(spark, {("a", "bass"): [np.zeros(500)]})
+    for wide in (lambda: FR.log_band_frames(blocks, 4_098), lambda: FR.onset_chroma_frames(blocks, 4_096), lambda: FR.spectrogram_frames(blocks, [FR.SpectrogramConfig("w", 8_192, 64)])):
+        with pytest.raises(ValueError, match="wider block context"):
+            wide()
+    with pytest.raises(ValueError, match="has to hold"):
+        FR.with_context(blocks, 10, 10, 5)
+
+
+def test_short_blocks_get_their_context(spark):
+    x = RNG.normal(0, 0.1, 9_000)
+    whole = blocks_of(spark, {("a", "m"): [x], ("b", "m"): [x]}, block=3_000)
+    pieces = blocks_of(spark, {("a", "m"): [x]}, block=700, context=False).unionByName(blocks_of(spark, {("b", "m"): [x]}, block=3_000, context=False))
+    got = FR.with_context(pieces, 2_048, 2_500, 3_000)
+    rows = lambda df: {(r.recording_id, r.block_index): (r.start_sample, r.samples, r.before, [c[:2_500] for c in r.after]) for r in df.collect()}
+    assert rows(got) == rows(whole)
 
 
 def test_stacking_and_shapes(spark):
