@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from songframe.operators import defects as DF
 from songframe.operators import frames as FR
+from songframe.operators import learned as LN
 from songframe.operators import passages as PS
 from songframe.operators import separation as SP
 from songframe.operators import timeline as TL
@@ -30,6 +32,10 @@ class CatalogTables:
     passage_stems: recording_id, hypothesis_id, stem, sha256
     feature_shapes: output of ``frames.feature_shapes``
     files: path, sha256 measured by the file scan
+    spectrogram_axes: recording_id, track, config, frame_index, center_seconds as they are stored
+    activations, segments: recording_id, model of learned hypotheses, one row or more each
+    mixture_blocks, stem_blocks: waveform blocks that the separation is measured on
+    defects: output of ``defects.recording_defects``
     """
 
     recordings: DataFrame
@@ -45,6 +51,12 @@ class CatalogTables:
     feature_shapes: DataFrame | None = None
     separation_metrics: DataFrame | None = None
     files: DataFrame | None = None
+    spectrogram_axes: DataFrame | None = None
+    activations: DataFrame | None = None
+    segments: DataFrame | None = None
+    mixture_blocks: DataFrame | None = None
+    stem_blocks: DataFrame | None = None
+    defects: DataFrame | None = None
 
 
 SHARED = ["recording_id", "stage", "check", "subject", "severity", "detail"]
@@ -127,6 +139,16 @@ def _axis_violations(meta: DataFrame, recordings: DataFrame) -> DataFrame:
     )
 
 
+def stored_axis_violations(axes: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Stored frame centres that don't strictly increase or lie outside the recording."""
+    keys = ["recording_id", "track", "config"]
+    durations = axes.select(*keys).distinct().join(
+        recordings.select("recording_id", (F.col("duration_seconds") + TL.X.TOLERANCE).alias("duration_seconds")), "recording_id"
+    )
+    found = TL.order_violations(axes, durations, keys, "frame_index", "center_seconds", "spectrogram")
+    return found.withColumn("subject", F.concat_ws("/", "track", "config", "subject"))
+
+
 def _per_hypothesis(recordings: DataFrame, structures: DataFrame) -> DataFrame:
     return structures.select("recording_id", "hypothesis_id").join(
         recordings.select("recording_id", "duration_seconds"), "recording_id"
@@ -145,6 +167,16 @@ def catalog_violations(t: CatalogTables) -> DataFrame:
     if t.spectrograms is not None:
         parts += [_missing(t.recordings, t.spectrograms, "spectrogram"),
                   _axis_violations(t.spectrograms, t.recordings), FR.short_recordings(t.spectrograms)]
+    if t.spectrogram_axes is not None:
+        parts.append(stored_axis_violations(t.spectrogram_axes, t.recordings))
+    if t.separations is not None:
+        parts.append(_missing(t.recordings, t.separations, "separation"))
+    if t.mixture_blocks is not None and t.stem_blocks is not None:
+        parts.append(SP.block_violations(t.mixture_blocks, t.stem_blocks))
+    if t.activations is not None and t.segments is not None:
+        parts.append(LN.learned_violations(t.activations, t.segments, t.recordings))
+    if t.defects is not None:
+        parts.append(DF.defect_violations(t.defects, t.recordings))
     if t.stems is not None:
         parts += [SP.contract_violations(t.recordings, t.stems), SP.alignment_violations(t.recordings, t.stems)]
     if t.separation_metrics is not None:

@@ -12,6 +12,7 @@ from songframe.operators import evaluation as EV
 from songframe.operators import frames as FR
 from songframe.operators import retrieval as RT
 from songframe.operators import timeline as TL
+from songframe.operators.validation import CatalogTables, validate_catalog
 from songframe.plans import testbed as B
 from songframe.plans.oracles import _BEATS, _FILTERS, _SECTIONS
 from songframe.plans.queries import BAND_FRAME, BAND_HIGH, BAND_HOP, BAND_LOW, BAND_RATE, query
@@ -285,3 +286,50 @@ spectrum AS (
 {_FILTERS}
 SELECT song, f AS frame_index, band, round(CAST(CAST(log10(1 + sum(m * w)) AS FLOAT) AS DOUBLE), 5) AS energy
 FROM spectrum JOIN filters USING (k) GROUP BY song, f, band"""
+
+
+@query
+def catalog_validation(t):
+    """The whole report: lineage, stored axes, missing artifacts and lost sides of learned hypotheses."""
+    recordings = B.recordings(t).withColumn("sha256", F.sha2("recording_id", 256))
+    number = F.col("recording_id").cast("bigint")
+    heard = t.events.select(F.col("user_id").cast("string").alias("recording_id"), "event_id", B.event_micros().alias("us")).join(
+        recordings.select("recording_id", F.rint(F.col("duration_seconds") * 1000).cast("bigint").alias("ms")), "recording_id"
+    ).filter("ms > 0")
+    axes = heard.select(
+        "recording_id", F.lit("mixture").alias("track"), F.lit("events").alias("config"), F.col("event_id").alias("frame_index"),
+        (F.pmod(F.floor(F.col("us") / 1000).cast("bigint"), F.col("ms")) / F.lit(1000.0) + 0.5).alias("center_seconds"),
+    )
+    # odd recordings claim another parent
+    parent = F.when(number % 2 == 0, F.sha2("recording_id", 256)).otherwise(F.sha2(F.lit("other"), 256))
+    separations = heard.select("recording_id").distinct().withColumn("parent_sha256", parent)
+    structures = recordings.filter((F.col("frame_count") / 4_410).cast("bigint") % 3 != 0).select(
+        "recording_id", F.lit("turns").alias("hypothesis_id"), F.sha2(F.lit("s"), 256).alias("sha256"), F.col("sha256").alias("parent_sha256")
+    )
+    turns = t.conversations.select(F.col("conv_id").cast("string").alias("recording_id"), F.lit("m").alias("model"), "role", "turn")
+    tables = CatalogTables(
+        recordings=recordings, spectrogram_axes=axes, separations=separations, structures=structures,
+        activations=turns.filter("role = 'system'"), segments=turns.filter("turn = 2"),
+    )
+    _, report = validate_catalog(tables)
+    return report.select(_conv(), "valid", "errors", "warnings", F.array_join("failed_checks", ";").alias("failed_checks"))
+
+
+ORACLES["catalog_validation"] = f"""WITH {_SECTIONS},
+heard AS (
+  SELECT conv_id, event_id, CAST((epoch_us(ts) // 1000) % (chars * 100) AS DOUBLE) / 1000 + 0.5 AS s, duration
+  FROM events JOIN recordings ON conv_id = user_id WHERE chars > 0),
+stepped AS (SELECT *, lag(s) OVER (PARTITION BY conv_id ORDER BY event_id) AS before FROM heard),
+active AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'), cut AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 2),
+problems AS (
+  SELECT conv_id, 'spectrogram.not_increasing' AS c FROM stepped WHERE s <= before
+  UNION ALL SELECT conv_id, 'spectrogram.past_end' FROM stepped WHERE s > duration + 1e-6
+  UNION ALL SELECT conv_id, 'separation.lineage_mismatch' FROM heard WHERE conv_id % 2 <> 0 GROUP BY conv_id
+  UNION ALL SELECT conv_id, 'separation.missing_artifact' FROM recordings WHERE conv_id NOT IN (SELECT conv_id FROM heard)
+  UNION ALL SELECT conv_id, 'structure.missing_artifact' FROM recordings WHERE chars % 3 = 0
+  UNION ALL SELECT conv_id, 'learned.missing_segments' FROM active WHERE conv_id NOT IN (SELECT conv_id FROM cut)
+  UNION ALL SELECT conv_id, 'learned.missing_activations' FROM cut WHERE conv_id NOT IN (SELECT conv_id FROM active)),
+counted AS (SELECT conv_id, c, count(*) AS n FROM problems GROUP BY ALL),
+summed AS (SELECT conv_id, CAST(sum(n) AS BIGINT) AS errors, string_agg(c || ' ' || n, ';' ORDER BY c || ' ' || n) AS failed FROM counted GROUP BY conv_id)
+SELECT conv_id, coalesce(errors, 0) = 0 AS valid, coalesce(errors, 0) AS errors, CAST(0 AS BIGINT) AS warnings, coalesce(failed, '') AS failed_checks
+FROM recordings LEFT JOIN summed USING (conv_id)"""
