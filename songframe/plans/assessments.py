@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songframe.operators import defects as DF
+from songframe.operators import drift as DR
 from songframe.operators import evaluation as EV
 from songframe.operators import frames as FR
 from songframe.operators import retrieval as RT
@@ -333,3 +334,24 @@ counted AS (SELECT conv_id, c, count(*) AS n FROM problems GROUP BY ALL),
 summed AS (SELECT conv_id, CAST(sum(n) AS BIGINT) AS errors, string_agg(c || ' ' || n, ';' ORDER BY c || ' ' || n) AS failed FROM counted GROUP BY conv_id)
 SELECT conv_id, coalesce(errors, 0) = 0 AS valid, coalesce(errors, 0) AS errors, CAST(0 AS BIGINT) AS warnings, coalesce(failed, '') AS failed_checks
 FROM recordings LEFT JOIN summed USING (conv_id)"""
+
+
+@query
+def stem_drift(t):
+    """Cents per user, track and block as levels: where they leave the mean for too long."""
+    cents = F.aggregate(F.get("samples", F.lit(0)), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    levels = B.event_blocks(t).select("recording_id", "track", "block_index", cents.alias("level"))
+    out = DR.change_alarms(levels, ["recording_id", "track"], "block_index", "level", 5_000, 60_000)
+    return out.select(F.col("recording_id").cast("bigint").alias("user_id"), "track", "block_index", "direction", "excess")
+
+
+ORACLES["stem_drift"] = f"""WITH {_GRID},
+levels AS (SELECT user_id, track, block, CAST(sum(CAST(x AS BIGINT)) AS BIGINT) AS level FROM valued GROUP BY ALL),
+stepped AS (
+  SELECT user_id, track, block, direction, CASE direction WHEN 'up' THEN off ELSE -off END - 5000 AS step
+  FROM (SELECT *, level - CAST(floor(sum(level) OVER w / count(*) OVER w) AS BIGINT) AS off FROM levels WINDOW w AS (PARTITION BY user_id, track)),
+    (SELECT unnest(['up', 'down']) AS direction)),
+summed AS (SELECT *, sum(step) OVER (PARTITION BY user_id, track, direction ORDER BY block) AS c FROM stepped),
+excesses AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY user_id, track, direction ORDER BY block)) AS excess FROM summed),
+chained AS (SELECT *, coalesce(lag(excess) OVER (PARTITION BY user_id, track, direction ORDER BY block), 0) AS was FROM excesses)
+SELECT user_id, track, block AS block_index, direction, CAST(excess AS BIGINT) AS excess FROM chained WHERE excess >= 60000 AND was < 60000"""
