@@ -49,6 +49,11 @@ def _section_checks(section: Column, index: Column) -> Column:
     )
 
 
+def created_timestamp(text: Column) -> Column:
+    """The instant that an RFC 3339 text names; null where there is none, as in month 13."""
+    return F.try_to_timestamp(F.upper(text))
+
+
 def judge_corrections(corrections: DataFrame, bases: DataFrame) -> DataFrame:
     """Each correction next to its base with the list of its problems.
 
@@ -94,7 +99,7 @@ def judge_corrections(corrections: DataFrame, bases: DataFrame) -> DataFrame:
             claimed,
         ),
         _check("missing_annotator", F.length("annotator") < 1, F.col("annotator")),
-        _check("invalid_created_at", ~F.col("created_at").rlike(DATE_TIME_PATTERN), F.col("created_at")),
+        _check("invalid_created_at", ~F.col("created_at").rlike(DATE_TIME_PATTERN) | created_timestamp(F.col("created_at")).isNull(), F.col("created_at")),
         _check("no_sections", F.size("sections") < 1, F.lit(None).cast("string")),
         _check(
             "incomplete",
@@ -180,6 +185,7 @@ def apply_corrections(
         "correction_id",
         "annotator",
         "created_at",
+        created_timestamp(F.col("created_at")).alias("created"),
     )
     kept = [c for c in bases.columns if c not in ("recording_id", "hypothesis_id", "backend")]
     of_base = bases.withColumnRenamed("hypothesis_id", "base_hypothesis_id")
@@ -194,6 +200,7 @@ def apply_corrections(
         "correction_id",
         "annotator",
         "created_at",
+        "created",
     )
     moved = (
         attach(

@@ -12,6 +12,7 @@ from songframe.operators import drift as DR
 from songframe.operators import evaluation as EV
 from songframe.operators import frames as FR
 from songframe.operators import retrieval as RT
+from songframe.operators import sketches as SK
 from songframe.operators import timeline as TL
 from songframe.operators.validation import CatalogTables, validate_catalog
 from songframe.plans import testbed as B
@@ -355,3 +356,25 @@ summed AS (SELECT *, sum(step) OVER (PARTITION BY user_id, track, direction ORDE
 excesses AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY user_id, track, direction ORDER BY block)) AS excess FROM summed),
 chained AS (SELECT *, coalesce(lag(excess) OVER (PARTITION BY user_id, track, direction ORDER BY block), 0) AS was FROM excesses)
 SELECT user_id, track, block AS block_index, direction, CAST(excess AS BIGINT) AS excess FROM chained WHERE excess >= 60000 AND was < 60000"""
+
+
+@query
+def quality_by_genre(t):
+    """Lengths by genre, sketched per shard (the source) and merged, beside the exact values."""
+    shards = SK.sketch(t.documents.filter("lang is not null"), ["lang", "source"], "n_chars")
+    found = SK.quantiles(SK.merged([shards.drop("source")], ["lang"]), ["lang"])
+    exact = SK.exact_quantiles(t.documents.filter("lang is not null"), ["lang"], "n_chars")
+    joined = found.join(exact, ["lang", "quantile"])
+    close = F.abs(F.col("estimate") - F.col("exact")) <= SK.ACCURACY * F.col("exact") * (1 + 1e-9)
+    return joined.select("lang", "quantile", "count", F.round("estimate", 6).alias("estimate"), "exact", close.alias("within"))
+
+
+ORACLES["quality_by_genre"] = f"""WITH counted AS (SELECT lang, n_chars, count(*) AS n FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY n_chars) AS upto, sum(n) OVER (PARTITION BY lang) AS total FROM counted),
+hit AS (
+  SELECT lang, q, total, n_chars FROM ranked, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS q)
+  WHERE upto >= greatest(1, ceil(q * total)) AND upto - n < greatest(1, ceil(q * total)))
+SELECT lang, q AS quantile, CAST(total AS BIGINT) AS count, CAST(n_chars AS DOUBLE) AS exact, true AS "within",
+  round(CASE WHEN n_chars = 0 THEN 0.0 ELSE 2 * pow({SK.growth()!r}, ceil(ln(n_chars) / ln({SK.growth()!r}))) / ({SK.growth()!r} + 1) END, 6) AS estimate
+FROM hit"""

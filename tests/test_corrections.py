@@ -135,3 +135,36 @@ def test_stream_applies_each_correction_once(spark, tmp_path):
     query.awaitTermination(120)
     for table, rows in (("sections", 4), ("structures", 2), ("beats", 8), ("violations", 1)):
         assert spark.read.parquet(f"{out}/{table}").count() == rows
+
+
+def test_stream_waits_for_bases(spark, tmp_path):
+    from songframe.streaming.corrections import publish_when_based
+
+    bases, beats, recordings = setup(spark)
+    landing, table = tmp_path / "landing" / "song", str(tmp_path / "bases")
+    landing.mkdir(parents=True)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    bases.withColumn("recording_id", F.lit("another")).write.parquet(table)
+
+    def drain():
+        publish_when_based(spark, str(tmp_path / "landing"), table, beats, recordings, out, check).awaitTermination(180)
+        try:
+            return spark.read.parquet(f"{out}/sections").count(), spark.read.parquet(f"{out}/violations").count()
+        except Exception:  # nothing written yet
+            return 0, 0
+
+    (landing / "a.json").write_text(document())
+    assert drain() == (0, 0)  # not judged, so no missing_base either
+    bases.write.mode("append").parquet(table)
+    assert drain() == (2, 0)
+    (landing / "b.json").write_text(document(annotator="other"))
+    (landing / "c.json").write_text(document(sections=section(1, start_seconds=6)))
+    assert drain() == (4, 1)
+    assert drain() == (4, 1)
+
+
+def test_impossible_dates_are_no_instants(spark):
+    texts = ["2030-02-03T04:05:06.5+07:00", "2030-02-03t04:05:06z", "2030-99-03T04:05:06Z", "2030-02-30T00:00:00Z", "2030-02-03T25:00:00Z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.at for r in df.select(CR.created_timestamp(F.col("t")).cast("string").alias("at")).collect()]
+    assert got == ["2030-02-02 21:05:06.5", "2030-02-03 04:05:06", None, None, None, None]
