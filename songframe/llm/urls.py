@@ -26,8 +26,8 @@ RULES = (
 TRACKING = r"^(utm_[^=]*|fbclid|gclid|ref)(=|$)"
 #: Bits of the filter per listed URL; about one false positive in 200.
 BITS = 16
-#: Hosts whose pages make up the production list.
-LISTED_HOSTS = r"(^|\.)ads-track\."
+#: Hosts whose pages make up the production list: advertising, gambling, pills, spam and adult families.
+LISTED_HOSTS = r"(^|\.)(ads-track|casino-win|free-bets|cheap-pills|spam-farm|adult-x)\."
 
 _WORDS = 4
 
@@ -113,8 +113,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") ->
     return out.toDF(*names, "host", "path", "rule", "verdict", "listed")
 
 
-def ad_pages(pages: DataFrame, url: str = "url") -> DataFrame:
-    """The production list: canonical URLs of pages on advertising hosts."""
+def unwanted_pages(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The production list: canonical URLs of pages on unwanted hosts."""
     asked = F.col(url)
     return pages.where(host(asked).rlike(LISTED_HOSTS)).select(canonical(asked).alias("canonical"))
 
@@ -122,7 +122,7 @@ def ad_pages(pages: DataFrame, url: str = "url") -> DataFrame:
 def query(spark: SparkSession, folder: str) -> DataFrame:
     """op4: the verdict on every page's URL."""
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
-    return judge(pages, ad_pages(pages)).drop("url")
+    return judge(pages, unwanted_pages(pages)).drop("url")
 
 
 _AZ = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"

@@ -206,7 +206,9 @@ def read(folder: str, selected: DataFrame) -> DataFrame:
     spark = selected.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     stretch = F.floor(F.col("start") / STRETCH)
-    places = selected.select("archive", "start", "length").repartition("archive", stretch).sortWithinPartitions("archive", "start")
+    # index rows are tiny and what they point to is not, so the number of tasks follows the latter
+    tasks = max(1, -(-selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // STRETCH))
+    places = selected.select("archive", "start", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "start")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, digest_ok boolean"
     return places.mapInArrow(_reader(folder), schema)
 
