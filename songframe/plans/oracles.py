@@ -120,7 +120,7 @@ _CATALOG = """
 eligible AS (
   SELECT doc_id AS track_id, trim(lang) AS genre_top, source AS artist_id, n_chars,
     'fma_full/' || substr(printf('%06d', doc_id), 1, 3) || '/' || printf('%06d', doc_id) || '.mp3' AS archive_member
-  FROM documents WHERE trim(lang) <> '' AND n_chars BETWEEN 120 AND 6000)"""
+  FROM documents WHERE trim(lang) <> '' AND n_chars BETWEEN 120 AND 6000 AND doc_id % 7 <> 0)"""
 
 _LABEL_FRAMES = """
 framed AS (
@@ -299,12 +299,12 @@ SELECT user_id, day, CAST(mixture - vocals - drums - bass - other AS BIGINT) AS
     "reconstruction_metrics": f"""WITH {_STEMS}, {_GRID},
 energy AS (
   SELECT user_id, sqrt(avg(mixture * mixture)) AS mix, sqrt(avg(pow(mixture - vocals - drums - bass - other, 2))) AS res,
-    max(abs(mixture - vocals - drums - bass - other)) AS worst, max(abs(vocals)) AS pv, max(abs(other)) AS po
+    max(abs(mixture - vocals - drums - bass - other)) AS worst, max(abs(vocals)) AS pv, max(abs(drums)) AS pd, max(abs(bass)) AS pb, max(abs(other)) AS po
   FROM grid GROUP BY user_id)
 SELECT user_id, round(mix, 6) AS mixture_rms, round(res, 6) AS residual_rms,
   round(res / greatest(mix, pow(2.0, -52)), 6) AS normalized_reconstruction_error,
   CASE WHEN res = 0 THEN CAST('inf' AS DOUBLE) ELSE round(20 * log10(greatest(mix, pow(2.0, -52)) / res), 6) END AS reconstruction_snr_db,
-  round(worst, 6) AS maximum_absolute_residual, round(pv, 6) AS peak_vocals, round(po, 6) AS peak_other,
+  round(worst, 6) AS maximum_absolute_residual, round(pv, 6) AS peak_vocals, round(pd, 6) AS peak_drums, round(pb, 6) AS peak_bass, round(po, 6) AS peak_other,
   res / greatest(mix, pow(2.0, -52)) <= 0.15 AS within_threshold
 FROM energy""",
     "block_loudness": f"""WITH {_STEMS}, {_GRID},

@@ -362,7 +362,7 @@ def reconstruction_metrics(t):
     return found.select(
         F.col("recording_id").cast("bigint").alias("user_id"),
         r("mixture_rms"), r("residual_rms"), r("normalized_reconstruction_error"),
-        r("reconstruction_snr_db"), r("maximum_absolute_residual"), r("peak_vocals"), r("peak_other"),
+        r("reconstruction_snr_db"), r("maximum_absolute_residual"), r("peak_vocals"), r("peak_drums"), r("peak_bass"), r("peak_other"),
         "within_threshold",
     )
 

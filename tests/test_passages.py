@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from songframe.operators import passages as PS
 
@@ -72,23 +71,40 @@ def test_edges(spark):
     assert got["d"] == [(0.0, 8.0)]  # candidates closer than the minimum
 
 
-def test_alignment_stems_and_violations(spark):
+def test_passages_on_samples_frames_and_stems(spark):
+    """Worked out by hand: every third beat cuts, the one at 6.6 s would leave less than half a second."""
     sections = spark.createDataFrame([("a", "h", 0, 0.0, 3.0, "ride"), ("a", "h", 1, 3.0, 7.0, "coda")], SECTIONS)
     beats = spark.createDataFrame([("a", "h", 0.6 * i) for i in range(1, 12)], BEATS)
     recordings = spark.createDataFrame([("a", 50, 350, 7.0)], "recording_id string, sample_rate_hz int, frame_count bigint, duration_seconds double")
+    # centres at 0.16 s and every half second from there, fourteen of them
+    axis = spark.createDataFrame([("a", "mixture", "wide", 16, 25, 50, 14)], "recording_id string, track string, config string, n_fft int, hop_length int, sample_rate_hz int, time_frames bigint")
     stems = spark.createDataFrame([("a", s, f"/{s}", s[0]) for s in ("vocals", "drums", "bass", "other", "choir")], "recording_id string, stem string, path string, sha256 string")
-    built = PS.build_passages(sections, beats, recordings, None, stems, 3, 0.5)
-    rows = built.orderBy("passage_index").collect()
-    assert rows[0].start_seconds == 0 and rows[-1].end_seconds == 7 and rows[-1].end_sample == 350
-    assert all(a.end_seconds == b.start_seconds for a, b in zip(rows, rows[1:]))
-    assert [r.passage_index for r in rows] == list(range(len(rows)))
-    assert {r.section_label for r in rows} == {"ride", "coda"}
-    assert set(rows[0].aligned_stems) == {"vocals", "drums", "bass", "other"}
-    durations = recordings.withColumn("hypothesis_id", F.lit("h"))
-    assert PS.passage_violations(built, durations).count() == 0
-    assert PS.passage_violations(built.filter("passage_index <> 1"), durations).count() == 1
-    late = built.withColumn("start_seconds", F.when(F.col("passage_index") == 0, 1e-7).otherwise(F.col("start_seconds")))
-    assert [r.check for r in PS.passage_violations(late, durations).collect()] == ["nonzero_start"]
+    built = PS.build_passages(sections, beats, recordings, axis, stems, 3, 0.5)
+    got = [
+        (r.passage_index, r.section_label, round(r.start_seconds, 6), r.start_sample, r.end_sample, *r.spectrogram_frames["wide"])
+        for r in built.orderBy("passage_index").collect()
+    ]
+    assert got == [
+        (0, "ride", 0.0, 0, 90, 0, 4),
+        (1, "ride", 1.8, 90, 150, 4, 6),
+        (2, "coda", 3.0, 150, 240, 6, 10),
+        (3, "coda", 4.8, 240, 350, 10, 14),
+    ]
+    # the fifth stem is none that passages carry
+    assert {k: v.sha256 for k, v in built.first().aligned_stems.items()} == {"bass": "b", "drums": "d", "other": "o", "vocals": "v"}
+
+
+def test_violations_of_passages(spark):
+    durations = spark.createDataFrame([("a", "h", 9.0)], "recording_id string, hypothesis_id string, duration_seconds double")
+
+    def checks(*edges):
+        rows = [("a", "h", i, start, end) for i, (start, end) in enumerate(edges)]
+        table = spark.createDataFrame(rows, "recording_id string, hypothesis_id string, passage_index int, start_seconds double, end_seconds double")
+        return sorted(r.check for r in PS.passage_violations(table, durations).collect())
+
+    assert checks((0.0, 4.0), (4.0, 9.0)) == []
+    assert len(checks((0.0, 4.0), (5.0, 9.0))) == 1
+    assert checks((1e-7, 4.0), (4.0, 9.0)) == ["nonzero_start"]
 
 
 def test_bad_settings():
