@@ -26,7 +26,9 @@ _U = np.uint64
 #: Pairs per row of the groups up to which all that are left are compared at once.
 PAIRS_A_ROW = 2
 #: So many pairs are few anyway, and not worth a round.
-FEW_PAIRS = 1 << 17
+FEW_PAIRS = 1 << 12
+#: Bits of the parity maps of sets of up to 512 shingles; they double whenever the size does.
+PARITY_BITS = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,22 @@ def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node, some, begin
 
 
+def _parities(keys: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Per text a bit map in 64-bit words: whether an odd number of its shingles falls on the bit.
+
+    Two maps of one length differ in at most as many bits as there are shingles in only one of the sets.
+    """
+    doubled = np.ceil(np.log2(np.maximum(counts, 1) / (PARITY_BITS / 2))).clip(0).astype(np.int64)
+    size = np.where(counts > 0, PARITY_BITS << doubled, 0)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    falls = mix(keys ^ _U(0x7A5C93E1)) % np.repeat(size, counts).astype(np.uint64)
+    odd = np.zeros(begin[-1], np.uint8)
+    np.bitwise_xor.at(odd, np.repeat(begin[:-1], counts) + falls.astype(np.int64), 1)
+    return pa.ListArray.from_arrays(pa.array((begin // 64).astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _signatures(banding: Banding):
-    """Arrow batches (doc_id, text) to (doc_id, n, node, halves)."""
+    """Arrow batches (doc_id, text) to (doc_id, n, node, halves, parity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants = _constants(2 * banding.halves * banding.width)
@@ -107,8 +123,9 @@ def _signatures(banding: Banding):
                         pa.array(counts, pa.int64()),
                         pa.array(signed(node), mask=counts == 0),
                         halves.cast(pa.list_(pa.int64())),
+                        _parities(keys, counts),
                     ],
-                    ["doc_id", "n", "node", "halves"],
+                    ["doc_id", "n", "node", "halves", "parity"],
                 )
 
     return run
@@ -169,17 +186,17 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
     space = Workspace(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = space.keep(
-        source.mapInArrow(_signatures(banding), "doc_id long, n long, node long, halves array<long>"), "signatures"
+        source.mapInArrow(_signatures(banding), "doc_id long, n long, node long, halves array<long>, parity array<long>"), "signatures"
     )
     nodes = space.keep(
-        rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("halves").alias("halves")),
+        rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "halves", "parity")]),
         "nodes",
     )
     h = banding.halves
     keys = F.flatten(
         F.transform(F.slice("halves", 1, h), lambda x: F.transform(F.slice("halves", h + 1, h), lambda y: F.xxhash64(x, y)))
     )
-    tables = nodes.select("node", "n", F.explode(keys).alias("key"))
+    tables = nodes.select("node", "n", F.posexplode(keys).alias("no", "key"))
     shared = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = space.keep(tables.join(shared, "key"), "shared")
     labels = space.keep(live.select("node").distinct().withColumn("comp", F.col("node")), "labels")
@@ -189,7 +206,8 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
         .join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"])
     )
     texts = space.keep(texts, "texts")
-    labels = _linked(live, labels, texts, banding, space)
+    sets = space.keep(nodes.join(labels.select("node"), "node").select("node", "halves", "parity"), "sets")
+    labels = _linked(live, labels, texts, sets, banding, space)
     least = labels.join(nodes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = space.keep(labels.join(least, "comp").select("node", "component_id"), "found")
     own = nodes.select("node", F.col("doc_id").alias("own")).join(found, "node", "left")
@@ -199,14 +217,34 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Banding, space: Workspace) -> DataFrame:
+def _met_here(banding: Banding) -> str:
+    """Whether table ``no`` is the first in which the nodes with halves ha and hb meet."""
+    h = banding.halves
+    first = lambda at: f"array_position(zip_with(slice(ha, {at}, {h}), slice(hb, {at}, {h}), (x, y) -> x = y), true) - 1"
+    return f"no = {h} * ({first(1)}) + {first(h + 1)}"
+
+
+def _within_parity(banding: Banding) -> str:
+    """Whether the parity maps pa and pb leave it open that the sets of n and nb shingles are similar enough.
+
+    Sets of similarity s have (n + nb) * (1 - s) / (1 + s) shingles in only one of them at most, and
+    their maps differ in no more bits, so no link is lost. Maps of different lengths leave it open.
+    """
+    differ = "aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return f"size(pa) <> size(pb) or {differ} * {100 + banding.percent} <= (n + nb) * {100 - banding.percent}"
+
+
+def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, sets: DataFrame, banding: Banding, space: Workspace) -> DataFrame:
     """Labels after all links between nodes that share a key.
 
     A round names one head in each group of nodes that share a key, the member that meets most nodes
     of other components in all its groups; in a group of edited copies that is what they are copies
     of. Each node is compared with the head it shares most keys with, where the two are still apart.
     Once the pairs left are in proportion to the groups' rows, or a round linked next to nothing, all
-    that are left are compared, which ends it. No pair that could join two components stays uncompared.
+    that are left are held against each other in the join of their groups, which ends it. What the join
+    gives out is each pair once, and only where the parity maps of its sets don't rule it out; in a group of
+    texts that are alike but not similar enough that is next to none. No pair that could join two
+    components stays uncompared.
     """
     tested: DataFrame | None = None
     barren = False
@@ -218,11 +256,13 @@ def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Bandi
         size, apart = groups.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("(c * c - inner) / 2")), F.lit(0.0))).first()
         if not size:
             return labels
-        live = space.keep(live.join(groups.select("key", "c"), "key"), "live").select("key", "node", "n", "comp", "c")
+        live = space.keep(live.join(groups.select("key", "c"), "key"), "live").select("key", "no", "node", "n", "comp", "c")
         last = barren or apart <= max(FEW_PAIRS, PAIRS_A_ROW * size)
         if last:
-            other = live.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = live.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").where("a < b and comp <> cb")
+            full = space.keep(live.join(sets, "node"), "full")
+            one = full.select("key", "no", F.col("node").alias("a"), "n", "comp", F.col("halves").alias("ha"), F.col("parity").alias("pa"))
+            other = full.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("halves").alias("hb"), F.col("parity").alias("pb"))
+            pairs = one.join(other, "key").where("a < b and comp <> cb").where(_met_here(banding)).where(_within_parity(banding))
         else:
             met = live.groupBy("node").agg(F.sum("c").alias("met"))
             if tested is not None:
@@ -231,7 +271,7 @@ def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, banding: Bandi
             heads = live.join(met, "node").groupBy("key").agg(best.alias("h")).select("key", "h.a", "h.na", "h.ca")
             pairs = live.join(heads, "key").where("comp <> ca").select("key", "a", F.col("node").alias("b"), F.col("na").alias("n"), F.col("n").alias("nb"))
         pairs = pairs.where(F.expr(f"100 * least(n, nb) >= {banding.percent} * greatest(n, nb)"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))  # in the last round of one table each
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         if not last:  # a node's most promising head of this round

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import odd_texts, table, words
 
 from songframe.llm import minhash
+from songframe.llm.batches import encoded
 from songframe.llm.minhash import Banding
 
 
@@ -112,3 +115,41 @@ def test_query_repeated_rows_and_no_rows(spark, odd_docs, tmp_path):
             assert row.kept and row.component_id == row.doc_id
     assert minhash.components(odd_docs.limit(0), Banding()).count() == 0
     assert minhash.keep_one(odd_docs).columns == odd_docs.columns
+
+
+def test_parity_maps_bound_the_difference():
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(base[:n]) for n in (1, 5, 400, 514, 515, 1026, 1500)]
+    texts += [" ".join("x" if rng.random() < 0.1 else w for w in t.split()) for t in texts] + ["", None]
+    data, offsets = encoded(pa.array(texts))
+    keys, owner = minhash.shingles(data, offsets, 3)
+    counts = np.bincount(owner, minlength=len(texts))
+    maps = minhash._parities(keys, counts).to_pylist()
+    assert [64 * len(m) for m in maps[:7]] == [1024, 1024, 1024, 1024, 2048, 2048, 4096] and maps[-1] == maps[-2] == []
+    found = [set(keys[owner == i]) for i in range(len(texts))]
+    for a, x in zip(found, maps, strict=True):
+        for b, y in zip(found, maps, strict=True):
+            if len(x) == len(y):
+                assert sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) + (1 << 64)).bit_count() for p, q in zip(x, y, strict=True)) <= len(a ^ b)
+
+
+def test_a_loose_group_gives_out_few_pairs(spark, monkeypatch):
+    """Alike but not similar enough: the groups hold all pairs, the join gives out the links and little more."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"y{rng.randint(0, 10**9)}" if i in at else w for i, w in enumerate(base)) for at in (rng.sample(range(200), 8) for _ in range(150))]
+    texts += [texts[3] + " z", texts[7] + " z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, seen = minhash.Workspace.keep, {}
+
+    def counting(self, df, name):
+        out = kept(self, df, name)
+        if name == "pairs":
+            seen["last"] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Workspace, "keep", counting)
+    got = sorted(tuple(r) for r in minhash.components(docs, minhash.PRODUCTION).collect())
+    assert got == plain(list(range(152)), texts, minhash.PRODUCTION)
+    assert seen["last"] < 20 < 152 * 151 / 2
