@@ -21,6 +21,9 @@ LEAST_CHARS = 20
 #: Copies of a line above which only its first occurrence is indexed; others are merely dropped earlier.
 HOT_COPIES = 1000
 
+#: The characters that are counted; all others only enter the length.
+_COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
 _BLANK = "[^ \\t\\n\\x0B\\f\\r]"
 
 
@@ -106,6 +109,50 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     return rows.drop("_q", "_p", "_ra", "_rb", "_s", "_x", "_y", "_m", "_n", "_d")
 
 
+def _counts(line: str) -> Column:
+    """How often each letter, digit and the blank occur in a line, as an array."""
+    low = F.lower(line)
+    return F.array(*[F.char_length(low) - F.char_length(F.replace(low, F.lit(c))) for c in _COUNTED])
+
+
+def _counts_apart(x: str, y: str, edits: int) -> str:
+    """Whether two arrays of counts leave it open that their lines are at most ``edits`` apart: an edit
+    takes one from a count and adds one to another, so no pair within the distance is lost."""
+    return " + ".join(f"abs({x}[{i}] - {y}[{i}])" for i in range(len(_COUNTED))) + f" <= {2 * edits}"
+
+
+def _near(index: DataFrame, probes: DataFrame, texts: DataFrame, edits: int, space: Workspace) -> DataFrame:
+    """h and g of the lines that have an earlier line at most ``edits`` apart.
+
+    ``index(key, h)`` and ``probes(key, h)`` meet in keys. First each line is held against the earliest line
+    that its keys index, and the earliest that probes them. In a group of lines that are all near each
+    other that settles nearly all of them. The rest are held against all earlier lines of their keys in the
+    join, which gives out only pairs that their counts of characters leave open.
+    """
+    known = texts.select("h", "g", "first", "n")
+    sides = [space.keep(side.join(known, "h"), "side") for side in (index, probes)]
+
+    def verified(pairs: list[DataFrame]) -> DataFrame:
+        distinct = space.keep(pairs[0].union(pairs[1]).where(f"abs(n - m_n) <= {edits}").select("h", "g", "m_h", "m_g").distinct(), "pairs")
+        early = texts.select("h", "g", F.col("line").alias("a"))
+        late = texts.select(F.col("h").alias("m_h"), F.col("g").alias("m_g"), F.col("line").alias("b"))
+        links = within(distinct.join(early, ["h", "g"]).join(late, ["m_h", "m_g"]), edits)
+        return space.keep(links.select(F.col("m_h").alias("h"), F.col("m_g").alias("g")).distinct(), "near")
+
+    later = lambda side: side.toDF(*["key" if x == "key" else f"m_{x}" for x in side.columns])
+    met = []
+    for own, other in (sides, sides[::-1]):
+        heads = other.groupBy("key").agg(F.min(F.struct("first", "h", "g", "n")).alias("head")).select("key", "head.*")
+        met.append(later(own).join(heads, "key").where("first < m_first"))
+    settled = verified(met)
+    met, counts = [], space.keep(texts.select("h", "g", _counts("line").alias("counts")), "counts")
+    for own, other in (sides, sides[::-1]):
+        own = space.keep(own.join(settled, ["h", "g"], "left_anti"), "rest").join(counts, ["h", "g"])
+        other = other.join(own.select("key").distinct(), "key", "left_semi").join(counts, ["h", "g"])
+        met.append(later(own).join(other, "key").where("first < m_first").where(_counts_apart("counts", "m_counts", edits)))
+    return settled.union(verified(met))
+
+
 def _bucketed(docs: DataFrame, space: Workspace) -> DataFrame:
     """``docs`` in a table of buckets by row key, so that no later join moves the texts again."""
     spark = docs.sparkSession
@@ -145,22 +192,18 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, text: s
 
     hot = found.where(F.col("copies") > HOT_COPIES).select(F.col("h").alias("hh"), F.col("g").alias("hg"), "first")
     long = lines.where(F.col("n") >= least).join(hot, F.expr("h = hh and g = hg"), "left").where(F.col("first").isNull() | (F.col("first") == place))
-    keyed = lambda keys, name: long.select(F.col("h").alias(name), F.explode(F.array(*map(F.expr, keys))).alias("key"))
-    index = keyed(index_keys(edits), "a").distinct()
-    pairs = index.join(keyed(probe_keys(edits), "b"), "key").where("a <> b")
-    pairs = space.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = found.join(wanted, "h").select("h", "g", "first.*")
-    texts = table.join(wanted, ["_doc", "_th"]).select("h", "g", F.struct("_doc", "_th", "no").alias("first"), F.element_at(F.split(body, "\n"), F.col("no") + 1).alias("line"))
+    keyed = lambda keys: long.select("h", F.explode(F.array(*map(F.expr, keys))).alias("key"))
+    index, probes = keyed(index_keys(edits)), keyed(probe_keys(edits))
+    # keys in which different lines meet; the others end here
+    ends = index.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    probes = space.keep(probes.join(ends, "key").where("low <> h or high <> h").select("key", "h").distinct(), "probes")
+    index = space.keep(index.join(probes.select("key").distinct(), "key", "left_semi").distinct(), "index")
+
+    wanted = index.select("h").union(probes.select("h")).distinct()
+    wanted = found.join(wanted, "h").select("h", "g", "n", "first.*")
+    texts = table.join(wanted, ["_doc", "_th"]).select("h", "g", "n", F.struct("_doc", "_th", "no").alias("first"), F.element_at(F.split(body, "\n"), F.col("no") + 1).alias("line"))
     texts = space.keep(texts.dropDuplicates(["h", "g"]), "texts")
-    side = lambda name: texts.select(F.col("h").alias(name), F.struct("h", "g", "first").alias(f"{name}_of"), F.col("line").alias(f"{name}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(
-        F.col("a_of"), F.col("b_of"), F.col("a_line").alias("a"), F.col("b_line").alias("b")
-    )
-    links = within(both, edits)
-    later = F.when(F.col("a_of.first") < F.col("b_of.first"), F.col("b_of")).otherwise(F.col("a_of"))
-    near = space.keep(links.select(later.alias("l")).select("l.h", "l.g").distinct().withColumn("near", F.lit(True)), "near")
+    near = _near(index, probes, texts, edits, space).withColumn("near", F.lit(True))
 
     gone = found.join(near, ["h", "g"], "left").where("copies > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     places = lines.select("h", "g", "_doc", "_th", "no").join(gone, ["h", "g"]).where(F.col("near") | (F.col("first") != place))

@@ -87,3 +87,27 @@ def test_no_rows_and_rows_twice(spark):
     got = sorted((str(r.doc_id), r.text) for r in lines.without_repeats(docs).collect())
     assert got == [("1", "a line that is long enough\nb")] * 2 + [("None", "")]
     assert lines.dedup(docs.limit(0)).count() == 0
+
+
+def test_groups_of_near_lines_give_out_few_pairs(spark, monkeypatch):
+    """A tight group is settled by its first line; in a loose one hardly a pair is given out; both as by all pairs."""
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    tight = [body + f" {i:02d}" for i in range(80)]
+    loose = [body[:40] + "".join(rng.choice("qrstuvwxyz0123456789") for _ in range(6)) + body[40:] for _ in range(80)]
+    rows = list(enumerate([*loose, *tight, loose[5] + "q", body.upper()]))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, sizes = lines.Workspace.keep, []
+
+    def counting(self, df, name):
+        out = kept(self, df, name)
+        if name == "pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.Workspace, "keep", counting)
+    got = sorted((r.doc_id, r.lines.n, r.lines.removed, r.lines.near, r.text) for r in lines.dedup(docs).collect())
+    assert got == plain(rows, lines.EDITS, lines.LEAST_CHARS)
+    assert sum(x[3] for x in got) > 75
+    assert sizes[0] <= 12 * len(rows) and sizes[1] < 200
