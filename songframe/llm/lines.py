@@ -190,7 +190,8 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, text: s
     place = F.struct("_doc", "_th", "no")
     found = space.keep(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "found")
 
-    hot = found.where(F.col("copies") > HOT_COPIES).select(F.col("h").alias("hh"), F.col("g").alias("hg"), "first")
+    # a table of its own, whose size Spark sees before it plans the join, so that the lines' texts need not move
+    hot = space.keep(found.where(F.col("copies") > HOT_COPIES).select(F.col("h").alias("hh"), F.col("g").alias("hg"), "first").coalesce(8), "hot")
     long = lines.where(F.col("n") >= least).join(hot, F.expr("h = hh and g = hg"), "left").where(F.col("first").isNull() | (F.col("first") == place))
     keyed = lambda keys: long.select("h", F.explode(F.array(*map(F.expr, keys))).alias("key"))
     index, probes = keyed(index_keys(edits)), keyed(probe_keys(edits))
