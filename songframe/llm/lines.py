@@ -35,12 +35,19 @@ def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
     return start, f"({base} + if({i} > {n} - {more}, 1, 0))"
 
 
+def _key(n: str, i: int, start: str, size: str) -> str:
+    """Hash of a piece of ``line`` as segment ``i`` of a line of ``n``; in lines of one-byte characters
+    it is cut out of the bytes, which needs no walk from the line's start."""
+    piece = f"if(octet_length(line) = n, substring(cast(line as binary), {start}, {size}), cast(substring(line, {start}, {size}) as binary))"
+    return f"xxhash64({n}, {i}, {piece})"
+
+
 def index_keys(edits: int) -> list[str]:
     """Keys of the segments of column ``line`` with length ``n``."""
     out = []
     for i in range(1, edits + 2):
         start, size = _segment("n", i, edits)
-        out.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
+        out.append(_key("n", i, start, size))
     return out
 
 
@@ -52,7 +59,7 @@ def probe_keys(edits: int) -> list[str]:
             start, size = _segment(f"n - {less}", i, edits)
             low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
             for shift in range(low, high + 1):
-                out.append(f"xxhash64(n - {less}, {i}, substring(line, greatest({start} + {shift}, 1), {size}))")
+                out.append(_key(f"n - {less}", i, f"greatest({start} + {shift}, 1)", size))
     return out
 
 
