@@ -179,13 +179,23 @@ def downbeat_phase(
     """The offset within the bar whose beats are strongest; the lowest on a tie.
 
     A key with fewer beats than a bar has no phase. ``beats`` needs beat_index from zero.
+
+    A sum of doubles depends on the order it is added in, which would decide ties. Strengths that are
+    whole millionths below 10**12 are summed exactly and their means compared as quotient and rest; a
+    key with any other strength is decided by means of doubles.
     """
+    value = F.col(strength).cast("double")
+    exact = value.try_cast("decimal(18,6)")
     scored = beats.groupBy(*keys, F.pmod("beat_index", F.lit(per_bar)).alias("__phase")).agg(
-        F.avg(strength).alias("__score"), F.count(F.lit(1)).alias("__n")
-    )
+        F.avg(value).alias("__score"), F.count(F.lit(1)).alias("__n"),
+        (F.sum(exact) * F.lit(1_000_000)).cast("decimal(38,0)").alias("__total"), F.nullif(F.count(value), F.lit(0)).alias("__count"),
+        F.every(value.isNull() | F.coalesce(exact.cast("double") == value, F.lit(False))).alias("__exact"),
+    ).withColumn("__whole", F.expr("__total div __count"))
+    rest = (F.col("__total") - F.col("__whole") * F.col("__count")).cast("double") / F.col("__count")
+    best = lambda *score: F.max_by("__phase", F.struct(*score, -F.col("__phase")))
     return scored.groupBy(*keys).agg(
         F.sum("__n").alias("__beats"),
-        F.max_by("__phase", F.struct(F.col("__score"), -F.col("__phase"))).alias("__best"),
+        F.when(F.every("__exact"), best("__whole", rest)).otherwise(best("__score")).alias("__best"),
     ).select(*keys, F.when(F.col("__beats") >= per_bar, F.col("__best")).alias("downbeat_phase"))
 
 

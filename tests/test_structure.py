@@ -95,6 +95,16 @@ def test_downbeats(spark):
     assert sorted((r.k, r.beat_index) for r in marked.collect()) == [("a", 2), ("a", 6), ("b", 0), ("b", 4)]
 
 
+def test_equal_means_of_decimals_tie_whatever_the_order(spark):
+    # 0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1 in doubles; 1.1 is the mean of 0.7, 1.5 and of 1.0, 1.1, 1.2
+    tied = [("a", 4 * i + phase, x) for phase, xs in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1)), (3, (0.2, 0.3, 0.1))) for i, x in enumerate(xs)]
+    tied += [("b", 4 * i + phase, x) for phase, xs in ((0, (0.7, 1.5)), (1, (1.2, 1.1, 1.0)), (2, (-3.5, None))) for i, x in enumerate(xs)]
+    tied += [("c", i, -x) for i, x in enumerate((0.5, 0.4, 0.4, 0.6))] + [("d", i, x) for i, x in enumerate((1e-9, 3e-9, 1e300, 2.0))] + [("e", i, None) for i in range(4)]
+    for rows in (tied, tied[::-1]):
+        beats = spark.createDataFrame(rows, "k string, beat_index bigint, onset double").coalesce(1)
+        assert {r.k: r.downbeat_phase for r in ST.downbeat_phase(beats, ["k"]).collect()} == {"a": 1, "b": 0, "c": 1, "d": 2, "e": 0}
+
+
 def test_onsets_at_beats_stay_on_the_axis(spark):
     frames = spark.createDataFrame([("a", i, float(i)) for i in range(5)], "recording_id string, frame_index bigint, onset double")
     beats = spark.createDataFrame([("a", 2), ("a", 9), ("a", -3)], "recording_id string, frame_index bigint")
