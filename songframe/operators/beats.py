@@ -23,6 +23,8 @@ TIGHTNESS = 100.0
 # Frames in a block, about three minutes at 512-sample hops, and units of a score.
 BLOCK_FRAMES = 16_384
 UNITS = 1 << 16
+# Frames of blocks solved side by side.
+CELLS = 1 << 19
 # Onsets are counted in whole units for their deviation, so that it doesn't depend on any order.
 ONSET_UNITS = 1 << 20
 _NEVER = -(1 << 60)
@@ -40,24 +42,32 @@ def local_scores(onset: np.ndarray, deviation: float, period: int) -> np.ndarray
     return np.rint(np.convolve(onset / deviation, weights, mode="valid") * UNITS).astype(np.int64)
 
 
-def solve(local: np.ndarray, past: np.ndarray, period: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of a block's frames and the gap back from each (0 where none fits).
+def solve_many(local: np.ndarray, past: np.ndarray, period: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the frames of blocks of one length and period, a row each, and the gap back from each frame (0 where none fits).
 
     ``past`` are the scores of the 2 * period frames before, the last one at the end. In a recording's
     first block frames with no earlier one at a fitting gap start a sequence.
     """
     gaps, cost = gap_costs(period)
-    size = 2 * period
-    total = np.concatenate((past, local))
-    back = np.zeros(len(local), dtype=np.int64)
-    for t in range(len(local)):
-        usable = min(len(gaps), max(0, t - int(gaps[0]) + 1)) if first else len(gaps)
+    size, shortest = 2 * period, int(gaps[0])
+    # frames come first, so that what one step reads and writes lies together
+    total = np.ascontiguousarray(np.concatenate((past, local), axis=1).T)
+    back = np.zeros((local.shape[1], local.shape[0]), dtype=np.int64)
+    for t in range(local.shape[1]):
+        usable = min(len(gaps), max(0, t - shortest + 1)) if first else len(gaps)
         if usable:
-            options = total[size + t - gaps[:usable]] + cost[:usable]
-            best = int(options.argmax())
-            total[size + t] = local[t] + options[best]
+            stop = size + t - shortest + 1
+            options = total[stop - usable : stop][::-1] + cost[:usable, None]
+            best = options.argmax(0)
+            total[size + t] += options.max(0)
             back[t] = gaps[best]
-    return total[size:], back
+    return total[size:].T, back.T
+
+
+def solve(local: np.ndarray, past: np.ndarray, period: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``solve_many`` for one block."""
+    total, back = solve_many(local[None, :], past[None, :], period, first)
+    return total[0], back[0]
 
 
 def transfer(local: np.ndarray, period: int) -> np.ndarray:
@@ -113,18 +123,27 @@ def scored_blocks(frames: DataFrame, periods: DataFrame, block_frames: int) -> D
     listed = placed.select("recording_id", "first", "final", "deviation", "period", at.alias("at"), "onset", last.alias("last_block"), F.explode(own).alias("block"))
     listed = listed.filter((F.col("block") >= 0) & (F.col("block") <= F.col("last_block")))
 
-    def score(key: tuple, rows: pa.Table) -> pa.Table:
-        head = {c: rows.column(c)[0].as_py() for c in ("recording_id", "first", "final", "deviation", "period", "last_block", "block")}
-        begin = head["block"] * block_frames
-        stop = min(begin + block_frames, head["final"] - head["first"] + 1)
-        onset = np.zeros(stop - begin + 2 * head["period"])  # zeros before the start and after the end
-        onset[rows.column("at").to_numpy() - begin + head["period"]] = rows.column("onset").to_numpy()
-        local = local_scores(onset, head["deviation"], head["period"])
-        kept = {c: [head[c]] for c in ("recording_id", "first", "period", "last_block", "block")}
-        return pa.table({**kept, "local": pa.array([local], pa.list_(pa.int64())), "largest": [int(local.max())]})
+    head = ["recording_id", "first", "final", "deviation", "period", "last_block", "block"]
+    packed = listed.groupBy(*head).agg(F.array_sort(F.collect_list(F.struct("at", "onset"))).alias("heard"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            locals_ = []
+            for row in _cells(batch):
+                begin, period = row["block"].as_py() * block_frames, row["period"].as_py()
+                stop = min(begin + block_frames, row["final"].as_py() - row["first"].as_py() + 1)
+                onset = np.zeros(stop - begin + 2 * period)  # zeros before the start and after the end
+                heard = row["heard"].values
+                onset[heard.field("at").to_numpy() - begin + period] = heard.field("onset").to_numpy()
+                locals_.append(local_scores(onset, row["deviation"].as_py(), period))
+            kept = [batch.column(c) for c in ("recording_id", "first", "period", "last_block", "block")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(locals_, pa.list_(pa.int64())), pa.array([int(x.max()) for x in locals_], pa.int64())],
+                ["recording_id", "first", "period", "last_block", "block", "local", "largest"],
+            )
 
     schema = "recording_id string, first bigint, period bigint, last_block bigint, block bigint, local array<bigint>, largest bigint"
-    return listed.groupBy("recording_id", "block").applyInArrow(score, schema)
+    return packed.mapInArrow(score, schema)
 
 
 def best_beats(frames: DataFrame, periods: DataFrame, block_frames: int | None = None) -> DataFrame:
@@ -174,42 +193,50 @@ def best_beats(frames: DataFrame, periods: DataFrame, block_frames: int | None =
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _cells(batch):
-                period, first = row["period"].as_py(), row["block"].as_py() == 0
-                size, begin = 2 * period, row["block"].as_py() * block_frames
-                past = np.full(size, _NEVER) if first else _array(row["past"])
-                local = _array(row["local"])
-                total, back = solve(local, past, period, first)
-                strong = 100 * local >= row["largest"].as_py()
-                back_of = np.where(back > 0, np.arange(len(back)) - back, -size - 1)  # relative to the block, below -size: none
-                final = -1
-                if row["block"] == row["last_block"]:
-                    recent = _recent(past, total, min(size, begin + len(local)))
-                    final = begin + len(local) - len(recent) + int(recent.argmax())
+            for rows in _alike(batch):
+                period, first = rows[0]["period"].as_py(), rows[0]["block"].as_py() == 0
+                size = 2 * period
+                local = np.stack([_array(row["local"]) for row in rows])
+                past = np.full((len(rows), size), _NEVER) if first else np.stack([_array(row["past"]) for row in rows])
+                total, back = solve_many(local, past, period, first)
+                strong = 100 * local >= np.array([row["largest"].as_py() for row in rows])[:, None]
+                loud = strong.argmax(1)
+                back_of = np.where(back > 0, np.arange(back.shape[1]) - back, -size - 1)  # relative to the block, below -size: none
+                strongs, finals = [], []
+                for i, row in enumerate(rows):
+                    begin, final = row["block"].as_py() * block_frames, -1
+                    if row["block"] == row["last_block"]:
+                        recent = _recent(past[i], total[i], min(size, begin + local.shape[1]))
+                        final = begin + local.shape[1] - len(recent) + int(recent.argmax())
+                    strongs.append(int(loud[i]) + begin if strong[i, loud[i]] else None)
+                    finals.append(final)
                 yield pa.RecordBatch.from_pydict({
-                    "recording_id": [row["recording_id"].as_py()], "first": [row["first"].as_py()], "period": [period], "block": [row["block"].as_py()],
-                    "back": pa.array([back_of], pa.list_(pa.int64())), "strong": pa.array([int(np.flatnonzero(strong)[0]) + begin if strong.any() else None], pa.int64()), "final": [final],
+                    **{c: pa.array([row[c].as_py() for row in rows]) for c in ("recording_id", "first", "period", "block")},
+                    "back": pa.array(list(back_of), pa.list_(pa.int64())), "strong": pa.array(strongs, pa.int64()), "final": pa.array(finals, pa.int64()),
                 })
 
     schema = "recording_id string, first bigint, period bigint, block bigint, back array<bigint>, strong bigint, final bigint"
     done = cut_lineage(ready.select("recording_id", "first", "period", "block", "last_block", "local", "past", "largest").mapInArrow(solved, schema))
-    strong = done.groupBy("recording_id").agg(F.min("strong").alias("begins"), F.max("final").alias("ends"))
+    strong = done.groupBy("recording_id").agg(F.min("strong").alias("begins"), F.max("final").alias("ends"), F.max("block").alias("last"))
     done = done.drop("strong", "final").join(strong, "recording_id")
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _cells(batch):
                 back, size = _stopped(row, block_frames), 2 * row["period"].as_py()
-                leaves = np.empty(len(back), dtype=np.int64)
-                for t in range(len(back)):  # a frame's way out is that of the frame it points to
-                    leaves[t] = leaves[back[t]] if back[t] >= 0 else back[t]
+                leaves = back.tolist()
+                for t, to in enumerate(leaves):  # a frame's way out is that of the frame it points to
+                    if to >= 0:
+                        leaves[t] = leaves[to]
                 kept = max(0, len(back) - size)
                 yield pa.RecordBatch.from_pydict({
                     "recording_id": [row["recording_id"].as_py()], "block": [row["block"].as_py()], "ends": [row["ends"].as_py()], "kept": [kept],
                     "size": [size], "leaves": pa.array([leaves[kept:]], pa.list_(pa.int64())),
                 })
 
-    tables = done.mapInArrow(exits, "recording_id string, block bigint, ends bigint, kept bigint, size bigint, leaves array<bigint>")
+    # a recording of one block is entered where its sequence ends
+    alone = done.filter("last = 0").select("recording_id", "block", F.col("ends").alias("enters"))
+    tables = done.filter("last > 0").drop("last").mapInArrow(exits, "recording_id string, block bigint, ends bigint, kept bigint, size bigint, leaves array<bigint>")
 
     def chain_back(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("block", "descending")])
@@ -240,7 +267,7 @@ def best_beats(frames: DataFrame, periods: DataFrame, block_frames: int | None =
                     ["recording_id", "frame_index", "period_frames"],
                 )
 
-    return done.join(entries, ["recording_id", "block"]).mapInArrow(listed, "recording_id string, frame_index bigint, period_frames bigint")
+    return done.drop("last").join(entries.unionByName(alone), ["recording_id", "block"]).mapInArrow(listed, "recording_id string, frame_index bigint, period_frames bigint")
 
 
 def _cells(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -248,6 +275,19 @@ def _cells(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(name)[i] for name in batch.schema.names}
 
 
+def _alike(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+    """Rows of one period and length, first blocks apart, in lists of about ``CELLS`` frames at most."""
+    groups: dict[tuple, list[dict]] = {}
+    for row in _cells(batch):
+        frames = len(row["local"])
+        key = row["period"].as_py(), row["block"].as_py() == 0, frames
+        rows = groups.setdefault(key, [])
+        rows.append(row)
+        if len(rows) * frames >= CELLS:
+            yield groups.pop(key)
+    yield from groups.values()
+
+
 def _recent(past: np.ndarray, total: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate((past, total))[-count:]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,13 +94,6 @@ def _windows(frames: DataFrame) -> DataFrame:
     return frames.withColumn("window", F.explode(own)).filter(F.col("window") >= 0)
 
 
-def _in_order(rows: pa.Table, order: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two columns of a group as arrays, sorted by the first."""
-    keys = rows.column(order).to_numpy()
-    sorting = np.argsort(keys, kind="stable")
-    return keys[sorting], rows.column(value).to_numpy()[sorting]
-
-
 def _lag_range(frame_rate: float) -> tuple[int, int]:
     return max(1, int(round(60.0 * frame_rate / FASTEST_BPM))), int(round(60.0 * frame_rate / SLOWEST_BPM))
 
@@ -115,23 +108,24 @@ def estimate_tempo(frames: DataFrame, frame_rate: float) -> DataFrame:
 
     lags = np.arange(shortest, longest + 1)
 
-    def lag_products(key: tuple, rows: pa.Table) -> pa.Table:
-        frame, onset = _in_order(rows, "frame_index", "onset")
-        first = key[1].as_py() * WINDOW_FRAMES
-        begin, stop = np.searchsorted(frame, [first, first + WINDOW_FRAMES])
-        sums = np.zeros(len(lags))
-        for i, lag in enumerate(lags):
-            pairs = min(stop, len(onset) - lag) - begin
-            if pairs > 0:
-                sums[i] = onset[begin : begin + pairs] @ onset[begin + lag : begin + lag + pairs]
-        return pa.table({
-            "recording_id": pa.repeat(key[0], len(lags)), "lag": pa.array(lags), "product": pa.array(sums),
-        })
+    def lag_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            products = np.zeros((batch.num_rows, len(lags)))
+            for row, (window, heard) in enumerate(zip(batch.column("window").to_pylist(), batch.column("heard"), strict=True)):
+                frame, onset = (heard.values.field(c).to_numpy() for c in ("frame_index", "onset"))
+                begin, stop = np.searchsorted(frame, [window * WINDOW_FRAMES, (window + 1) * WINDOW_FRAMES])
+                for i, lag in enumerate(lags):
+                    pairs = min(stop, len(onset) - lag) - begin
+                    if pairs > 0:
+                        products[row, i] = onset[begin : begin + pairs] @ onset[begin + lag : begin + lag + pairs]
+            whole = batch.column("recording_id").take(pa.array(np.repeat(np.arange(batch.num_rows), len(lags))))
+            yield pa.RecordBatch.from_arrays([whole, pa.array(np.tile(lags, batch.num_rows)), pa.array(products.ravel())], ["recording_id", "lag", "product"])
 
     sums = (
-        spread(_windows(frames.select("recording_id", "frame_index", "onset")), "recording_id", "window")
+        spread(_windows(frames.select("recording_id", "frame_index", F.col("onset").cast("double").alias("onset"))), "recording_id", "window")
         .groupBy("recording_id", "window")
-        .applyInArrow(lag_products, "recording_id string, lag bigint, product double")
+        .agg(F.array_sort(F.collect_list(F.struct("frame_index", "onset"))).alias("heard"))
+        .mapInArrow(lag_products, "recording_id string, lag bigint, product double")
         .groupBy("recording_id", "lag")
         .agg(F.sum("product").alias("product"))
     )

@@ -72,3 +72,20 @@ def test_transfer_is_what_solving_does():
         total, _ = BT.solve(local, past, period, False)
         end = (BT.transfer(local, period) + past[::-1][None, :]).max(1)
         assert end.tolist() == total[::-1][: 2 * period].tolist()
+
+
+def test_blocks_side_by_side_are_solved_as_alone():
+    rng = np.random.default_rng(12)
+    for period, first in ((1, True), (5, True), (9, False)):
+        local = rng.integers(-50, 50, (4, 60)) * 1000
+        past = np.full((4, 2 * period), BT._NEVER) if first else rng.integers(-50, 50, (4, 2 * period)) * 1000
+        gaps, cost = BT.gap_costs(period)
+        totals, backs = BT.solve_many(local, past, period, first)
+        for row in range(4):
+            total = list(past[row])
+            for t in range(60):
+                options = [(total[2 * period + t - g] + c, -g) for g, c in zip(gaps, cost, strict=True) if not first or g <= t]
+                best = max(options, default=(0, 0))
+                total.append(local[row, t] + best[0])
+                assert backs[row, t] == -best[1]
+            assert totals[row].tolist() == total[2 * period :]
