@@ -23,7 +23,7 @@ from songframe.llm.storage import Workspace
 
 _U = np.uint64
 
-#: Pairs per row of the groups up to which all that are left are compared at once.
+#: Pairs per row of all groups up to which all that are left are compared at once; within one group four times as many.
 PAIRS_A_ROW = 2
 #: So many pairs are few anyway, and not worth a round.
 FEW_PAIRS = 1 << 12
@@ -237,54 +237,69 @@ def _within_parity(banding: Banding) -> str:
 def _linked(live: DataFrame, labels: DataFrame, texts: DataFrame, sets: DataFrame, banding: Banding, space: Workspace) -> DataFrame:
     """Labels after all links between nodes that share a key.
 
-    A round names one head in each group of nodes that share a key, the member that meets most nodes
-    of other components in all its groups; in a group of edited copies that is what they are copies
-    of. Each node is compared with the head it shares most keys with, where the two are still apart.
-    Once the pairs left are in proportion to the groups' rows, or a round linked next to nothing, all
-    that are left are held against each other in the join of their groups, which ends it. What the join
+    In each round a group of nodes that share a key is finished if the pairs of different components in it
+    are in proportion to its rows: they are held against each other in the join of the group. What that
     gives out is each pair once, and only where the parity maps of its sets don't rule it out; in a group of
-    texts that are alike but not similar enough that is next to none. No pair that could join two
-    components stays uncompared.
+    texts that are alike but not similar enough that is next to none. Each other group names one head, the
+    member that met most nodes in all its groups at the start; in a group of edited copies that is what they
+    are copies of. Each node is compared with the head it shares most keys with, where the two are still
+    apart. Finished groups and those that have become one component take no part in later rounds. After a
+    round whose heads linked next to nothing all groups left are finished. No pair that could join two
+    components stays uncompared: it is given out by the group of the first key it shares.
     """
     tested: DataFrame | None = None
     barren = False
+    start = live.count()
+    met = live.groupBy("key").agg(F.count("*").alias("c"))
+    met = space.keep(live.join(met, "key").groupBy("node").agg(F.sum("c").alias("met")), "met")
     while True:
-        live = live.drop("comp", "c").join(labels, "node")
+        marks = labels.join(met, "node").withColumn("old", F.lit(None).cast("boolean"))
+        if tested is not None:
+            marks = marks.drop("old").join(tested.select(F.col("a").alias("node")).distinct().withColumn("old", F.lit(True)), "node", "left")
+        live = space.keep(live.select("key", "no", "node", "n").join(marks, "node"), "marked")
         parts = live.groupBy("key", "comp").agg(F.count("*").alias("own"))
         groups = parts.groupBy("key").agg(F.sum("own").alias("c"), F.sum(F.col("own") * F.col("own")).alias("inner"), F.count("*").alias("parts"))
-        groups = space.keep(groups.where("parts > 1"), "groups")
-        size, apart = groups.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("(c * c - inner) / 2")), F.lit(0.0))).first()
-        if not size:
+        groups = groups.where("parts > 1").withColumn("apart", F.expr("(c * c - inner) / 2"))
+        groups = space.keep(groups.select("key", "apart", F.expr(f"{str(barren).lower()} or apart <= {4 * PAIRS_A_ROW} * c").alias("ends")), "groups")
+        size, apart = groups.where("not ends").agg(F.count("*"), F.coalesce(F.sum("apart"), F.lit(0.0))).first()
+        if not size and groups.isEmpty():
             return labels
-        live = space.keep(live.join(groups.select("key", "c"), "key"), "live").select("key", "no", "node", "n", "comp", "c")
-        last = barren or apart <= max(FEW_PAIRS, PAIRS_A_ROW * size)
-        if last:
-            full = space.keep(live.join(sets, "node"), "full")
-            one = full.select("key", "no", F.col("node").alias("a"), "n", "comp", F.col("halves").alias("ha"), F.col("parity").alias("pa"))
-            other = full.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("halves").alias("hb"), F.col("parity").alias("pb"))
-            pairs = one.join(other, "key").where("a < b and comp <> cb").where(_met_here(banding)).where(_within_parity(banding))
-        else:
-            met = live.groupBy("node").agg(F.sum("c").alias("met"))
-            if tested is not None:
-                met = met.join(tested.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-            best = F.max(F.struct("met", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")))
-            heads = live.join(met, "node").groupBy("key").agg(best.alias("h")).select("key", "h.a", "h.na", "h.ca")
-            pairs = live.join(heads, "key").where("comp <> ca").select("key", "a", F.col("node").alias("b"), F.col("na").alias("n"), F.col("n").alias("nb"))
-        pairs = pairs.where(F.expr(f"100 * least(n, nb) >= {banding.percent} * greatest(n, nb)"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))  # in the last round of one table each
+        last = apart <= max(FEW_PAIRS, PAIRS_A_ROW * start)  # so few are finished with the others
+        groups = groups.select("key", F.lit(True).alias("ends")) if last else groups.select("key", "ends")
+        live = space.keep(live.join(groups, "key"), "live")
+
+        full = space.keep(live.where("ends").drop("ends").join(sets, "node"), "full")
+        one = full.select("key", "no", F.col("node").alias("a"), "n", "comp", F.col("halves").alias("ha"), F.col("parity").alias("pa"))
+        other = full.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("halves").alias("hb"), F.col("parity").alias("pb"))
+        alike = F.expr(f"100 * least(n, nb) >= {banding.percent} * greatest(n, nb)")
+        pairs = one.join(other, "key").where("a < b and comp <> cb").where(alike).where(_met_here(banding)).where(_within_parity(banding)).select("a", "b", F.lit(False).alias("by_head"))
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        if not last:  # a node's most promising head of this round
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        pairs = space.keep(pairs.select("a", "b"), "pairs")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            pairs = _untested(pairs, tested)
+        if not last:
+            live = live.where("not ends").drop("ends")
+            best = F.max(F.struct("met", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")))
+            heads = live.where("old is null").groupBy("key").agg(best.alias("h")).select("key", "h.a", "h.na", "h.ca")
+            near = live.join(heads, "key").where("comp <> ca").select("a", F.col("node").alias("b"), F.col("na").alias("n"), F.col("n").alias("nb")).where(alike)
+            near = near.groupBy("a", "b").agg(F.count("*").alias("c"))
+            near = near if tested is None else _untested(near, tested)
+            near = near.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m"))  # a node's most promising head of this round
+            pairs = pairs.union(near.select("m.a", "b", F.lit(True)))
+        pairs = space.keep(pairs, "pairs")
+        both = pairs.select("a", "b").distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         links = space.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(banding), "a long, b long"), "links")
         labels = relabel(labels, links, space)
         if last:
             return labels
-        tested = pairs if tested is None else tested.union(pairs)
-        barren = 20 * links.count() <= pairs.count()  # also after a round without pairs
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        tried = pairs.where("by_head")
+        barren = 20 * links.join(tried, ["a", "b"], "left_semi").count() <= tried.count()  # also after a round without pairs
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The ``pairs`` that were not compared before, either way round."""
+    back = tested.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return pairs.join(tested.union(back.select("a", "b")).distinct(), ["a", "b"], "left_anti").select(*pairs.columns)
 
 
 #: op1: three words, similarity 0.85.

@@ -153,3 +153,32 @@ def test_a_loose_group_gives_out_few_pairs(spark, monkeypatch):
     got = sorted(tuple(r) for r in minhash.components(docs, minhash.PRODUCTION).collect())
     assert got == plain(list(range(152)), texts, minhash.PRODUCTION)
     assert seen["last"] < 20 < 152 * 151 / 2
+
+
+def test_small_groups_are_finished_in_one_round(spark, monkeypatch):
+    """Rounds for a large group don't carry along groups of two texts that share keys but are no link."""
+    monkeypatch.setattr(minhash, "FEW_PAIRS", 0)
+    monkeypatch.setattr(minhash, "PAIRS_A_ROW", 1)
+    rng = random.Random(9)
+    body, texts = [f"w{i}" for i in range(60)], []
+    for _ in range(40):
+        body = body.copy()
+        body[rng.randrange(60)] = f"y{rng.randint(0, 10**6)}"
+        texts.append(" ".join(body))
+    for i in range(8):
+        own = [f"z{i}x{j}" for j in range(200)]
+        texts += [" ".join(own), " ".join("x" if j % 20 == 0 else w for j, w in enumerate(own))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, seen = minhash.Workspace.keep, []
+
+    def counting(self, df, name):
+        out = kept(self, df, name)
+        if name == "live":
+            seen.append(out.where("n > 100").count())
+        return out
+
+    monkeypatch.setattr(minhash.Workspace, "keep", counting)
+    banding = Banding(words=3, percent=85, halves=9, width=1)
+    got = sorted(tuple(r) for r in minhash.components(docs, banding).collect())
+    assert got == plain(list(range(len(texts))), texts, banding)
+    assert seen[0] > 0 and len(seen) > 1 and not any(seen[1:])
