@@ -22,6 +22,8 @@ from songframe.operators.ordered import with_previous
 
 # Rows are flushed to Spark once this many float values are waiting.
 FLUSH_VALUES = 1 << 20
+# Or this many blocks: of short blocks the arrays themselves take far more memory than their values.
+FLUSH_PARTS = 1 << 9
 # Fixed value: the order in which stem features are stacked.
 STEM_ORDER = ("bass", "drums", "other", "vocals")
 ONSET_FRAME = 2_048
@@ -167,7 +169,7 @@ class _Rows:
         self.values += values
 
     def full(self) -> bool:
-        return self.values >= FLUSH_VALUES
+        return self.values >= FLUSH_VALUES or len(self.parts) >= FLUSH_PARTS
 
     def take(self) -> pa.RecordBatch:
         arrays = [

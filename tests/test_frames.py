@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from audio import blocks_of, tone
 
@@ -142,3 +143,12 @@ def test_downmix_and_pcm(spark):
     scaled = SP.pcm_to_float("s", F.lit(16))
     assert df.select(scaled).first()[0] == [[0.5, -1.0], [0.0, 0.0]]
     assert df.select(SP.downmix(scaled)).first()[0] == [0.25, -0.5]
+
+
+def test_short_blocks_are_handed_out_before_their_arrays_pile_up():
+    rows, sizes = FR._Rows(pa.schema([("x", pa.int64())])), []
+    for i in range(5_000):
+        rows.add([pa.array([i])], 1)
+        if rows.full():
+            sizes.append(rows.take().num_rows)
+    assert sizes and max(sizes) <= 1_000 and sum(sizes) + len(rows.parts) == 5_000
