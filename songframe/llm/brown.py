@@ -6,9 +6,10 @@ bigrams most, until few move. A token's probability is that of its class after t
 that of the word in its class, both smoothed; words that training never saw have a class of their own.
 
 Words are known by 64-bit hashes. What is sent to every task is bounded: the ``LISTED`` most frequent
-words with their counts and classes, and the table of class pairs. All other words' counts and classes
-lie in a table and are joined. Bigrams of words stay in a table; the number of classes grows with the
-cube root of the number of words, so the class table stays smaller than the vocabulary.
+words with their counts and classes, and the table of class pairs. These words are exchanged first, and
+see all others as one class. Then every other word is exchanged, with counts and classes in a table that
+is joined. The number of classes grows with the cube root of the number of words, so the class table
+stays smaller than the vocabulary.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from songframe.llm.batches import mix, pieces, signed, word_hashes, words
 from songframe.llm.storage import Workspace
 
 #: At most so many words, the most frequent ones, are sent to every task; the others are joined.
-LISTED = 1 << 18
+LISTED = 1 << 19
 #: Least number of classes; more from the cube of it on.
 CLASSES = 48
-#: Words are split in this many parts, and a round moves the words of one; in more, once moves made
+#: Listed words are split in this many parts, others in one, and a round moves the words of one; in more, once moves made
 #: side by side lower the likelihood. The rounds end where ``MOST_PARTS`` still lower it.
 PARTS, MOST_PARTS = 2, 64
 #: A round is quiet if fewer than this share of its words move, or the likelihood grows by less than
@@ -37,8 +38,10 @@ PARTS, MOST_PARTS = 2, 64
 FEW = 0.01
 #: A task brings its table up to date after moves of words with this share of all tokens.
 STALE = 1 / 1_000
+#: Neighbours of listed words in a packed row.
+BLOCK = 1 << 18
 #: Counts up to which differences of c * log c are tabled.
-SMALL = 8
+SMALL = 32
 #: Tokens that smoothing adds to each class transition's count.
 ADDED = 0.1
 
@@ -84,8 +87,10 @@ class _Listed:
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         other = signed(hashes | np.uint64(1 << 63))
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            other = np.where(self.hashes[at] == hashes, self.ranks[at], other)
+            each, where = np.unique(hashes, return_inverse=True)  # in order, so that the search stays near
+            at = np.minimum(np.searchsorted(self.hashes, each), len(self.hashes) - 1)
+            found = np.where(self.hashes[at] == each, self.ranks[at], -1)[where]
+            other = np.where(found >= 0, found, other)
         return np.where(hashes == END, len(self.hashes), other)
 
 
@@ -106,7 +111,7 @@ def _before(codes: np.ndarray, end: int) -> np.ndarray:
 
 
 def _pairs(sent):
-    """Texts to counts (a, b, c) of neighbours' codes, ends among them."""
+    """Texts to counts (a, b, c) of neighbours' codes, ends among them, where one or both are unlisted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: _Listed = sent.value
@@ -114,7 +119,9 @@ def _pairs(sent):
 
         def flush():
             codes = np.concatenate(held)
-            keys, c = _summed([_before(codes, len(listed.hashes)), codes], np.ones(len(codes), np.int64))
+            before = _before(codes, len(listed.hashes))
+            rest = np.flatnonzero((codes < 0) | (before < 0))
+            keys, c = _summed([before[rest], codes[rest]], np.ones(len(rest), np.int64))
             return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(c)], ["a", "b", "c"])
 
         for batch in batches:
@@ -134,54 +141,148 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def _class_of(codes: np.ndarray, own: np.ndarray, joined: np.ndarray) -> np.ndarray:
-    return np.where(codes >= 0, own[np.maximum(codes, 0)], joined)
+def _packed(*arrays: np.ndarray) -> list[bytes]:
+    return [x.astype(np.int32).tobytes() for x in arrays]
 
 
-def _cells(sent, classes: int):
-    """(a, b, c, ka, kb) to counts of class pairs (first, then, c)."""
+def _unpacked(batch: pa.RecordBatch, *names: str) -> Iterator[list[np.ndarray]]:
+    columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
+    for row in range(batch.num_rows):
+        yield [np.frombuffer(x[row].as_buffer(), np.int32) for x in columns]
+
+
+def _added(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys put together in order, their counts added."""
+    order = np.argsort(keys)
+    keys, c = keys[order], c[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(c, at) if len(c) else c
+
+
+def _dealt(sent, buckets: int):
+    """Texts to the neighbours of listed words, many in a row: (bucket, w, x, c), packed.
+
+    ``x`` is the code of what follows ``w``, or that of what precedes it plus the number of codes. Behind
+    the listed words' codes come those of a text's end and of all unlisted words together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed: _Listed = sent.value
+        end = len(listed.hashes)
+        span, held, size = end + 2, [], 0
+
+        def flush():
+            codes = np.concatenate(held)
+            codes = np.where(codes < 0, end + 1, codes)
+            before = _before(codes, end)
+            follows, precedes = (before < end) | ((before == end) & (codes == end)), codes < end
+            w = np.concatenate((before[follows], codes[precedes]))
+            x = np.concatenate((codes[follows], before[precedes] + span))
+            keys, c = _added(((mix(w.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) * span + w) * (2 * span) + x, np.ones(len(w), np.int64))
+            edges = np.searchsorted(keys, np.arange(buckets + 1) * (2 * span * span))
+            some = np.flatnonzero(np.diff(edges))
+            w, x = keys // (2 * span) % span, keys % (2 * span)
+            rows = [[np.ascontiguousarray(y[edges[i] : edges[i + 1]], np.int32).tobytes() for i in some] for y in (w, x, c)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(y, pa.binary()) for y in rows)], ["bucket", "w", "x", "c"])
+
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(0)):
+                held.append(listed.codes(_tokens(data, offsets)[0]))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _blocks(span: int):
+    """Rows of ``_dealt`` to blocks (w, n, x, c), packed: words in order, each with all its ``n`` neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, 1 << 22
+        for batch in batches:
+            for w, x, c in _unpacked(batch, "w", "x", "c"):
+                held.append((w.astype(np.int64) * (2 * span) + x, c.astype(np.int64)))
+                size += len(w)
+                if size > most:
+                    held = [_added(*(np.concatenate(y) for y in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    most = max(most, 2 * size)
+        if not size:
+            return
+        keys, c = _added(*(np.concatenate(y) for y in zip(*held, strict=True)))
+        w, x = keys // (2 * span), keys % (2 * span)
+        begin = np.append(np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))), len(w))
+        i = 0
+        while i < len(begin) - 1:
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + BLOCK, side="right")) - 1)
+            part = slice(begin[i], begin[j])
+            row = _packed(w[begin[i:j]], np.diff(begin[i : j + 1]), x[part], c[part])
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.binary()) for y in row], ["w", "n", "x", "c"])
+            i = j
+
+    return run
+
+
+def _cell_rows(total: np.ndarray, classes: int) -> list[pa.Array]:
+    at = np.flatnonzero(total)
+    return [pa.array(at // classes), pa.array(at % classes), pa.array(total[at].astype(np.int64))]
+
+
+def _block_cells(sent, classes: int):
+    """Blocks to counts of class pairs (first, then, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, np.zeros(classes * classes)
+        span = len(own)
         for batch in batches:
-            a, b, c, ka, kb = (_numbers(batch, x) for x in ("a", "b", "c", "ka", "kb"))
-            pair = _class_of(a, own, ka) * classes + _class_of(b, own, kb)
-            total += np.bincount(pair, weights=c, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at // classes), pa.array(at % classes), pa.array(total[at].astype(np.int64))], ["first", "then", "c"]
-        )
+            for w, n, x, c in _unpacked(batch, "w", "n", "x", "c"):
+                mine = np.repeat(own[w], n)
+                # what precedes a word is met there, but for ends and unlisted words
+                follows, precedes = np.flatnonzero(x < span), np.flatnonzero(x >= 2 * span - 2)
+                total += np.bincount(mine[follows] * classes + own[x[follows]], weights=c[follows], minlength=len(total))
+                total += np.bincount(own[x[precedes] - span] * classes + mine[precedes], weights=c[precedes], minlength=len(total))
+        yield pa.RecordBatch.from_arrays(_cell_rows(total, classes), ["first", "then", "c"])
 
     return run
 
 
-def _near(sent, classes: int, part: int, parts: int):
-    """(a, b, c, ka, kb) to (w, at, c) of the words of one part: counts of the classes after a word,
-    then of those before it; a word's own class is a third such range with no count."""
+def _block_moves(sent, part: int, parts: int):
+    """Blocks to the listed words of one part that move and their new classes (w, k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = sent.value, len(sent.value) - 1
-        held, size = [], 0
+        table, own = sent.value
+        known, classes, end = _Table(table), len(table), len(own) - 2
+        class_of = np.concatenate((own, own + classes))
+        for batch in batches:
+            for w, n, x, c in _unpacked(batch, "w", "n", "x", "c"):
+                turn = (mix(w.astype(np.uint64)) >> np.uint64(32)) % np.uint64(parts) == part
+                turn &= w < end
+                of, w = np.repeat(turn, n), w[turn]
+                if len(w):
+                    keys = np.repeat(np.arange(len(w)), n[turn]) * (2 * classes) + class_of[x[of]]
+                    keys, c = _added(keys, c[of].astype(np.int64))
+                    chosen = known.moved(keys // (2 * classes), keys % (2 * classes), c, own[w])
+                    goes = chosen >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(w[goes], pa.int32()), pa.array(chosen[goes], pa.int32())], ["w", "k"])
 
-        def flush():
-            w, at, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            (w, at), c = _summed([w, at], c)
-            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(at, pa.int32()), pa.array(c)], ["w", "at", "c"])
+    return run
 
+
+def _sided(sent, classes: int):
+    """Pairs (a, b, c) of an unlisted word and another to (w, at, c): ``w`` is the unlisted one, ``at`` the
+    other's class, plus the number of classes where the other comes before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         for batch in batches:
-            a, b, c, ka, kb = (_numbers(batch, x) for x in ("a", "b", "c", "ka", "kb"))
-            ka, kb = _class_of(a, own, ka), _class_of(b, own, kb)
-            for side, w, k, mine in ((0, a, kb, ka), (1, b, ka, kb)):
-                turn = np.flatnonzero((mix(w.view(np.uint64)) % np.uint64(parts) == part) & (w != end))
-                held.append((w[turn], k[turn] + side * classes, c[turn]))
-                if not side:  # every word is once before another, or before an end
-                    held.append((w[turn], mine[turn] + 2 * classes, np.zeros(len(turn), np.int64)))
-                size += len(turn) * (2 - side)
-            if size > 1 << 21:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            a, b, c = (_numbers(batch, x) for x in ("a", "b", "c"))
+            first = a < 0
+            (w, at), c = _summed([np.where(first, a, b), np.where(first, own[np.maximum(b, 0)], own[np.maximum(a, 0)] + classes)], c)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(at, pa.int32()), pa.array(c)], ["w", "at", "c"])
 
     return run
 
@@ -201,32 +302,48 @@ class _Table:
         self.sides = np.stack((np.ascontiguousarray(self.table.T), self.table))  # [side, neighbour's class, word's class]
         self.alone, self.changed = self.table.sum(1), 0.0
         n = np.arange(1, SMALL + 1)[None, :, None, None]
-        self.rise = _xlogx(self.sides[:, None] + n) - _xlogx(self.sides)[:, None]
+        self.before = _xlogx(self.sides)
+        self.rise = (_xlogx(self.sides[:, None] + n) - self.before[:, None]).astype(np.float32)
 
-    def best(self, at: np.ndarray, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    def moved(self, word: np.ndarray, at: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The class each word moves to, or -1, from sorted entries (word, at, c); words are numbered from 0,
+        ``own`` are their classes, and ``at`` those of what follows them and, plus the number of classes, precedes."""
+        classes = len(self.table)
+        begin = np.searchsorted(word, np.arange(len(own) + 1))
+        tokens = np.bincount(word, weights=c * (at < classes), minlength=len(own)).cumsum()
+        most = max(1, (1 << 22) // classes)  # entries at once
+        i, chosen = 0, []
+        while i < len(own):
+            so_far = tokens[i - 1] if i else 0
+            j = min(np.searchsorted(tokens, so_far + STALE * self.total, side="right"), np.searchsorted(begin, begin[i] + most) - 1)
+            j = min(max(i + 1, int(j)), len(own))
+            part = slice(begin[i], begin[j])
+            chosen.append(self.best(at[part], c[part], begin[i:j] - begin[i], own[i:j].astype(np.int64)))
+            i = j
+        return np.concatenate(chosen)
+
+    def best(self, at: np.ndarray, c: np.ndarray, begin: np.ndarray, own: np.ndarray) -> np.ndarray:
         """The class each word of sorted (word, at, c) moves to; entries of a word from ``begin`` on."""
         classes = len(self.table)
         side, k = at // classes, at % classes
         word = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
-        own = np.zeros(len(begin), np.int64)
-        own[word[side == 2]] = k[side == 2]
         tokens = np.bincount(word, weights=c * (side == 0), minlength=len(begin))
-        rise = np.zeros((len(at), classes))
-        small = np.flatnonzero((side < 2) & (c <= SMALL))
+        rise = np.empty((len(at), classes), np.float32)
+        small = np.flatnonzero(c <= SMALL)
         rise[small] = self.rise[side[small], c[small] - 1, k[small]]
-        large = np.flatnonzero((side < 2) & (c > SMALL))
-        now = self.sides[side[large], k[large]]
-        rise[large] = _xlogx(now + c[large, None]) - _xlogx(now)
-        gain = np.add.reduceat(rise, begin) - 2 * (_xlogx(self.alone + tokens[:, None]) - _xlogx(self.alone))
+        large = np.flatnonzero(c > SMALL)
+        then = self.sides[side[large], k[large]] + c[large, None]
+        rise[large] = then * np.log(then) - self.before[side[large], k[large]]
+        gain = np.add.reduceat(rise, begin).astype(float) - 2 * (_xlogx(self.alone + tokens[:, None]) - _xlogx(self.alone))
         # where it is, the word is taken out first
-        both = np.flatnonzero(side < 2)
-        here = self.sides[side[both], k[both], own[word[both]]]
-        stay = np.bincount(word[both], weights=_xlogx(here) - _xlogx(np.maximum(here - c[both], 0)), minlength=len(begin))
+        here = self.sides[side, k, own[word]]
+        stay = np.bincount(word, weights=_xlogx(here) - _xlogx(np.maximum(here - c, 0)), minlength=len(begin))
         stay -= 2 * (_xlogx(self.alone[own]) - _xlogx(np.maximum(self.alone[own] - tokens, 0)))
         gain[np.arange(len(begin)), own] = stay
         gain[:, : BORDER + 1] = -np.inf
         chosen = gain.argmax(1)
-        chosen = np.where(gain.max(1) > stay + 1e-9, chosen, own)
+        better = gain[np.arange(len(begin)), chosen] - stay
+        chosen = np.where(better > 1e-6 * (1 + np.abs(stay)), chosen, own)  # rises are single floats
         # the moves, as this task's later words see them
         for s, rows in ((0, self.table), (1, self.table.T)):
             mine = np.flatnonzero((side == s) & (chosen != own)[word])
@@ -239,38 +356,41 @@ class _Table:
         return np.where(chosen != own, chosen, -1)
 
 
-def _moves(sent):
-    """(w, at, c) sorted by w to the words that move and their new classes (w, k)."""
+def _moves(sent, part: int, parts: int):
+    """(w, at, c) of unlisted words, sorted by w, to their classes (w, k, goes) after the words of one part
+    moved, and to rows without a word for the counts of the class pairs (first, then, c) they make with
+    listed ones. ``at`` has five ranges of classes: of what follows and precedes and is listed, the word's
+    own, and of what follows and precedes and is unlisted, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Table(sent.value)
         classes = len(known.table)
-        most = max(1, (1 << 22) // classes)  # entries at once
+        cells = np.zeros(classes * classes)
 
         def flush(w, at, c):
-            order = np.lexsort((at, w))
-            w, at, c = w[order], at[order], c[order]
-            fresh = np.ones(len(w), bool)
-            fresh[1:] = (w[1:] != w[:-1]) | (at[1:] != at[:-1])
-            first = np.flatnonzero(fresh)
-            w, at, c = w[first], at[first].astype(np.int64), np.add.reduceat(c, first)
-            begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            edges = np.append(begin, len(w))
-            tokens = np.add.reduceat(c * (at < classes), begin).cumsum()
-            i, chosen = 0, []
-            while i < len(begin):
-                so_far = tokens[i - 1] if i else 0
-                j = min(np.searchsorted(tokens, so_far + STALE * known.total, side="right"), np.searchsorted(edges, edges[i] + most) - 1)
-                j = max(i + 1, int(j))
-                part = slice(edges[i], edges[j])
-                chosen.append(known.best(at[part], c[part], begin[i:j] - edges[i]))
-                i = j
-            k = np.concatenate(chosen)
-            return pa.RecordBatch.from_arrays([pa.array(w[begin][k >= 0]), pa.array(k[k >= 0], pa.int32())], ["w", "k"])
-
+            nonlocal cells
+            fresh = np.concatenate(([True], w[1:] != w[:-1]))
+            word, names, side = fresh.cumsum() - 1, w[fresh], at // classes
+            own = np.zeros(len(names), np.int64)
+            own[word[side == 2]] = at[side == 2] % classes
+            turn = (mix(names.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts) == part
+            to = own.copy()
+            if turn.any():
+                seen = np.flatnonzero(turn[word] & (side != 2))
+                number = turn.cumsum() - 1
+                keys, n = _added(number[word[seen]] * (2 * classes) + at[seen] % (3 * classes), c[seen])
+                chosen = known.moved(keys // (2 * classes), keys % (2 * classes), n, own[turn])
+                to[turn] = np.where(chosen >= 0, chosen, own[turn])
+            for s, first, then in ((0, to[word], at), (1, at - classes, to[word])):
+                rows = np.flatnonzero(side == s)
+                cells += np.bincount(first[rows] * classes + then[rows], weights=c[rows], minlength=len(cells))
+            none = pa.nulls(len(names), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(to, pa.int32()), pa.array(to != own), none, none, none], names_out)
+
+        names_out = ["w", "k", "goes", "first", "then", "c"]
         held, size = [], 0
         for batch in batches:
-            held.append([_numbers(batch, x) for x in ("w", "at", "c")])
+            held.append([_numbers(batch, x).astype(np.int64) for x in ("w", "at", "c")])
             size += batch.num_rows
             if size > 1 << 19:
                 w, at, c = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -280,6 +400,9 @@ def _moves(sent):
                 held, size = [[w[cut:], at[cut:], c[cut:]]], len(w) - cut
         if size:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        found = _cell_rows(cells, classes)
+        n = len(found[0])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), *found], names_out)
 
     return run
 
@@ -288,63 +411,93 @@ def _likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-def exchange(pairs: DataFrame, listed: int, rare: DataFrame | None, distinct: int, space: Workspace, classes: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
-    """Classes of all words: of the listed ones and the end, of the table ``rare(word, c)`` as ``k``
-    beside, and the table of class pairs, from the counts ``pairs(a, b, c)`` of neighbours' codes.
+def _table(cells: DataFrame, size: int) -> np.ndarray:
+    """Counts (first, then, c) of class pairs as a square array."""
+    found = cells.groupBy("first", "then").agg(F.sum("c").alias("c")).toArrow()
+    table = np.zeros((size, size))
+    table[found["first"].to_numpy(), found["then"].to_numpy()] = found["c"].to_numpy()
+    return table
 
-    Words start in classes by code. In a round the words of one part see their neighbours' classes, and
-    many tasks move each word to where the sum of c * log c over class pairs, less those of the classes
-    alone, grows most. A task follows up its own moves only, so the sum is computed anew after each
-    round; a round that lowered it is taken back, and smaller parts are moved from then on.
+
+def _settled(state, table: np.ndarray, distinct: int, move, parts: int):
+    """State and table after rounds of ``move(state, table, part, parts)``, which gives both and the number of moves.
+
+    A task follows up its own moves only, so the likelihood is computed anew after each round; a round that
+    lowered it is taken back, and smaller parts are moved from then on.
     """
-    spark, sc = pairs.sparkSession, pairs.sparkSession.sparkContext
-    size = classes + 2
-    own = np.append(np.arange(listed) % classes + 2, BORDER)
-    if rare is not None:
-        rare = rare.withColumn("k", (F.pmod("word", F.lit(classes)) + 2).cast("int"))
-
-    def classed(rare):
-        none = F.lit(None).cast("int")
-        if rare is None:
-            return pairs.select("a", "b", "c", none.alias("ka"), none.alias("kb"))
-        of = lambda x: rare.select(F.col("word").alias(x), F.col("k").alias("k" + x))
-        ab = pairs.where("a < 0 and b < 0").join(of("a"), "a").join(of("b"), "b")
-        a = pairs.where("a < 0 and b >= 0").join(of("a"), "a").withColumn("kb", none)
-        b = pairs.where("a >= 0 and b < 0").join(of("b"), "b").withColumn("ka", none)
-        both = pairs.where("a >= 0 and b >= 0").withColumns({"ka": none, "kb": none})
-        return both.unionByName(a).unionByName(b).unionByName(ab)
-
-    def count(own, rare):
-        found = classed(rare).mapInArrow(_cells(sc.broadcast(own), size), "first long, then long, c long")
-        cells = found.groupBy("first", "then").agg(F.sum("c").alias("c")).toPandas()
-        table = np.zeros((size, size))
-        table[cells["first"].to_numpy(np.int64), cells["then"].to_numpy(np.int64)] = cells["c"].to_numpy(float)
-        return table
-
-    table = count(own, rare)
     first = last = _likelihood(table)
-    parts, turn, quiet = PARTS, 0, 0
+    turn = quiet = 0
     while quiet < parts and distinct > 1:
-        near = classed(rare).mapInArrow(_near(sc.broadcast(own), size, turn % parts, parts), "w long, at int, c long")
-        near = near.repartition("w").sortWithinPartitions("w")
-        moved = space.keep(near.mapInArrow(_moves(sc.broadcast(table)), "w long, k int"), "moved")
-        new_own, new_rare, n = own.copy(), rare, moved.count()
-        of_listed = moved.where("w >= 0").toPandas()
-        new_own[of_listed.w.to_numpy(np.int64)] = of_listed.k.to_numpy(np.int64)
-        if rare is not None:
-            to = moved.where("w < 0").select(F.col("w").alias("word"), F.col("k").alias("to"))
-            new_rare = space.keep(rare.join(to, "word", "left").select("word", "c", F.coalesce("to", "k").alias("k")), "rare")
-        new_table = count(new_own, new_rare)
+        new_state, new_table, n = move(state, table, turn % parts, parts)
         reached = _likelihood(new_table)
         if reached < last:
             parts, turn, quiet = parts * 2, 0, 0
             if parts > MOST_PARTS:
                 break
             continue
-        grown, (own, rare, table, last) = reached - last, (new_own, new_rare, new_table, reached)
+        grown, (state, table, last) = reached - last, (new_state, new_table, reached)
         still = n < FEW * distinct / parts or grown < FEW * (last - first)
         turn, quiet = turn + 1, quiet + 1 if still else 0
-    return own, rare, table
+    return state, table
+
+
+def exchange(texts: DataFrame, sent, listed: int, tokens: int, space: Workspace, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the listed words, the end and, as ``RARE``, all unlisted words together, and their class pairs.
+
+    The neighbours of each listed word are gathered once, packed by the million, so a round is one pass over
+    them and sends only the moves to the driver. Words start in classes by code and move to where the sum
+    of c * log c over class pairs, less those of the classes alone, grows most.
+    """
+    spark, sc = texts.sparkSession, texts.sparkSession.sparkContext
+    size, span = classes + 2, listed + 2
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens >> 21)
+    dealt = texts.mapInArrow(_dealt(sent, 4 * tasks), "bucket int, w binary, x binary, c binary")
+    blocks = dealt.repartition(tasks, "bucket").mapInArrow(_blocks(span), "w binary, n binary, x binary, c binary")
+    blocks = space.keep(blocks, "neighbours")
+
+    def count(own):
+        return _table(blocks.mapInArrow(_block_cells(sc.broadcast(own), size), "first long, then long, c long"), size)
+
+    def move(own, table, part, parts):
+        moved = blocks.mapInArrow(_block_moves(sc.broadcast((table, own)), part, parts), "w int, k int").toArrow()
+        own = own.copy()
+        own[moved["w"].to_numpy()] = moved["k"].to_numpy()
+        return own, count(own), moved.num_rows
+
+    own = np.concatenate((np.arange(listed) % classes + 2, [BORDER, RARE]))
+    return _settled(own, count(own), listed, move, PARTS)
+
+
+def exchange_unlisted(pairs: DataFrame, own: np.ndarray, table: np.ndarray, unlisted: DataFrame, distinct: int, space: Workspace, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """Classes (word, k) of the words of ``unlisted(word)``, and the table of all class pairs.
+
+    ``pairs(a, b, c)`` counts neighbours of which one or both are unlisted, ``own`` and ``table`` come from
+    the exchange of the listed ones. Rounds are as there, but neighbours lie in a table, where those that
+    are unlisted themselves are joined with their classes.
+    """
+    sc = pairs.sparkSession.sparkContext
+    size = classes + 2
+    listed_table = table.copy()
+    listed_table[RARE] = listed_table[:, RARE] = 0
+    fixed = space.keep(pairs.where("a >= 0 or b >= 0").mapInArrow(_sided(sc.broadcast(own), size), "w long, at int, c long"), "fixed")
+    both = space.keep(pairs.where("a < 0 and b < 0"), "both")
+    of = lambda known, x: known.select(F.col("word").alias(x), F.col("k").alias("k" + x))
+
+    def move(known, table, part, parts):
+        after = both.join(of(known, "b"), "b").select(F.col("a").alias("w"), (F.col("kb") + 3 * size).alias("at"), "c")
+        ahead = both.join(of(known, "a"), "a").select(F.col("b").alias("w"), (F.col("ka") + 4 * size).alias("at"), "c")
+        mine = known.select(F.col("word").alias("w"), (F.col("k") + 2 * size).alias("at"), F.lit(0).cast("long").alias("c"))
+        near = fixed.union(after).union(ahead).union(mine).repartition("w").sortWithinPartitions("w")
+        schema = "w long, k int, goes boolean, first long, then long, c long"
+        moved = space.keep(near.mapInArrow(_moves(sc.broadcast(table), part, parts), schema), "moved")
+        known = moved.where("w is not null").select(F.col("w").alias("word"), "k")
+        cells = both.join(of(known, "a"), "a").join(of(known, "b"), "b").select(F.col("ka").cast("long").alias("first"), F.col("kb").cast("long").alias("then"), "c")
+        cells = cells.union(moved.where("w is null").select("first", "then", "c"))
+        return known, listed_table + _table(cells, size), moved.where("goes").count()
+
+    start = unlisted.select("word", (F.pmod("word", F.lit(classes)) + 2).cast("int").alias("k"))
+    known, table, _ = move(start, table, -1, 1)  # counts only
+    return _settled(known, table, distinct, move, 1)
 
 
 def _scored(model):
@@ -443,12 +596,18 @@ def score(docs: DataFrame, classes: int | None = None) -> DataFrame:
         rare = space.keep(words_of.where(F.col("c") < least).select(code, "c"), "unlisted")
 
     sc = spark.sparkContext
-    pairs = training.mapInArrow(_pairs(sc.broadcast(listed)), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = space.keep(pairs, "pairs")
     classes = classes or max(CLASSES, round(distinct ** (1 / 3)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    own, rare, steps = exchange(pairs, len(listed_words), rare, distinct, space, classes)
+    sent_listed = sc.broadcast(listed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    own, steps = exchange(training, sent_listed, len(listed_words), int(total), space, classes)
+    if rare is not None:
+        pairs = training.mapInArrow(_pairs(sent_listed), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+        pairs = space.keep(pairs, "pairs")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+        known, steps = exchange_unlisted(pairs, own, steps, rare.select("word"), int(distinct) - len(listed_words), space, classes)
+        rare = space.keep(rare.join(known, "word"), "classed")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    own = own[:-1]
 
     members = np.bincount(own[:-1], minlength=classes + 2).astype(float)
     if rare is not None:

@@ -84,3 +84,46 @@ def test_every_word_gets_a_class(spark, monkeypatch):
         rows = [r for r in got if r.held_out]
         gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
         assert gain > 0.2, (listed, gain)
+
+
+def test_table_of_class_pairs_equals_a_plain_count(spark, monkeypatch):
+    """What the rounds follow up in packed rows and joins is what all neighbours of the texts give."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randrange(9))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen = {}
+
+    def noted(name, run):
+        def call(*args):
+            state, table = run(*args)
+            seen[name] = args, (state, table.copy())  # scoring changes the table
+            return state, table
+
+        return call
+
+    for name in ("exchange", "exchange_unlisted"):
+        monkeypatch.setattr(brown, name, noted(name, getattr(brown, name)))
+    monkeypatch.setattr(brown, "MOST_PARTS", 2)
+    monkeypatch.setattr(brown, "LISTED", 12)
+    monkeypatch.setattr(brown, "BLOCK", 16)
+    brown.score(docs, classes=3).collect()
+    (args, (own, first)), (_, (rare, table)) = seen["exchange"], seen["exchange_unlisted"]
+    listed, known = args[1].value, {r.word: r.k for r in rare.collect()}
+    end = len(listed.hashes)
+
+    def classes(word, of_rare):
+        data = np.frombuffer(word.encode(), np.uint8)
+        code = int(listed.codes(brown.word_hashes(data, np.array([0]), np.array([len(data)])))[0])
+        return int(own[code]) if code >= 0 else of_rare(code)
+
+    for got, of_rare in ((first, lambda code: brown.RARE), (table, known.__getitem__)):
+        want = np.zeros_like(got)
+        for text in train:
+            k = [brown.BORDER, *[classes(w, of_rare) for w in text], brown.BORDER]
+            np.add.at(want, (k[:-1], k[1:]), 1)
+        if got is first:  # unlisted words among themselves and next to ends come later
+            for a, b in ((0, 0), (0, 1), (1, 0)):
+                want[a, b] = got[a, b]
+        assert (got == want).all()
+    assert known and 0 < end <= 12
