@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.llm.storage import Workspace
@@ -27,40 +27,36 @@ _COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
 _BLANK = "[^ \\t\\n\\x0B\\f\\r]"
 
 
-def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
-    """Start (from 1) and size of segment ``i`` (from 1) of a line of ``length``; later ones take the rest."""
-    n = edits + 1
-    base, more = f"(({length}) div {n})", f"(({length}) % {n})"
-    start = f"({i - 1} * {base} + greatest({i - 1} - ({n} - {more}), 0) + 1)"
-    return start, f"({base} + if({i} > {n} - {more}, 1, 0))"
+def _key(less: int, i: int, shift: int, edits: int) -> str:
+    """Hash of a piece of ``line`` as segment ``i`` (from 1) of a line that is ``less`` shorter, ``shift`` from its
+    place there; later segments take the rest. In lines of one-byte characters it is cut out of the bytes,
+    which needs no walk from the line's start."""
+    n = edits + 1  # a remainder is below n, so the first segments need fewer terms
+    start = f"{i - 1} * b{less} + {1 + shift}" if i > 1 else f"{1 + shift}"
+    start += f" + greatest(r{less} - {n - i + 1}, 0)" if i > 2 else ""
+    start = f"greatest({start}, 1)" if shift < 0 else start
+    size = f"b{less} + if(r{less} > {n - i}, 1, 0)" if i > 1 else f"b{less}"
+    return f"xxhash64(m{less}, {i}, if(narrow, substring(bytes, {start}, {size}), cast(substring(line, {start}, {size}) as binary)))"
 
 
-def _key(n: str, i: int, start: str, size: str) -> str:
-    """Hash of a piece of ``line`` as segment ``i`` of a line of ``n``; in lines of one-byte characters
-    it is cut out of the bytes, which needs no walk from the line's start."""
-    piece = f"if(octet_length(line) = n, substring(cast(line as binary), {start}, {size}), cast(substring(line, {start}, {size}) as binary))"
-    return f"xxhash64({n}, {i}, {piece})"
+def segment_keys(rows: DataFrame, edits: int) -> DataFrame:
+    """``h``, ``key`` and ``own`` of rows with h, line and its length n: a line's own segments, and its other
+    substrings that can be a segment of a line up to ``edits`` shorter.
 
-
-def index_keys(edits: int) -> list[str]:
-    """Keys of the segments of column ``line`` with length ``n``."""
-    out = []
-    for i in range(1, edits + 2):
-        start, size = _segment("n", i, edits)
-        out.append(_key("n", i, start, size))
-    return out
-
-
-def probe_keys(edits: int) -> list[str]:
-    """Keys of the substrings of ``line`` that can be a segment of a line up to ``edits`` shorter."""
-    out = []
+    Lengths are divided once, ahead of the keys: the code of all keys has to stay below 8,000 bytes, or
+    else the virtual machine does not compile it.
+    """
+    own, other = [], []
     for less in range(edits + 1):
         for i in range(1, edits + 2):
-            start, size = _segment(f"n - {less}", i, edits)
             low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
             for shift in range(low, high + 1):
-                out.append(_key(f"n - {less}", i, f"greatest({start} + {shift}, 1)", size))
-    return out
+                (other if less or shift else own).append(_key(less, i, shift, edits))
+    known = {"bytes": "cast(line as binary)", "narrow": "octet_length(line) = n"}
+    for less in range(edits + 1):
+        known |= {f"m{less}": f"n - {less}", f"b{less}": f"cast((n - {less}) div {edits + 1} as int)", f"r{less}": f"(n - {less}) % {edits + 1}"}
+    keys = F.array(*map(F.expr, own + other))
+    return _fixed(rows, **known).select("h", F.posexplode(keys).alias("at", "key")).select("h", "key", (F.col("at") <= edits).alias("own"))
 
 
 def _common(a: str, b: str, most: str) -> str:
@@ -200,12 +196,16 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, text: s
     # a table of its own, whose size Spark sees before it plans the join, so that the lines' texts need not move
     hot = space.keep(found.where(F.col("copies") > HOT_COPIES).select(F.col("h").alias("hh"), F.col("g").alias("hg"), "first").coalesce(8), "hot")
     long = lines.where(F.col("n") >= least).join(hot, F.expr("h = hh and g = hg"), "left").where(F.col("first").isNull() | (F.col("first") == place))
-    keyed = lambda keys: long.select("h", F.explode(F.array(*map(F.expr, keys))).alias("key"))
-    index, probes = keyed(index_keys(edits)), keyed(probe_keys(edits))
-    # keys in which different lines meet; the others end here
-    ends = index.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    probes = space.keep(probes.join(ends, "key").where("low <> h or high <> h").select("key", "h").distinct(), "probes")
-    index = space.keep(index.join(probes.select("key").distinct(), "key", "left_semi").distinct(), "index")
+    # a window sees all rows of a key, so every line is cut up and dealt out once
+    keyed = segment_keys(long.select("h", "n", "line"), edits)
+    of_key = Window.partitionBy("key")
+    indexed = F.when(F.col("own"), F.col("h"))
+    ends = {"low": F.min(indexed), "high": F.max(indexed), "least": F.min("h"), "most": F.max("h")}
+    met = keyed.select("key", "h", "own", *[x.over(of_key).alias(name) for name, x in ends.items()])
+    # keys in which different lines meet, one of them indexed; the others end here
+    met = met.where("low is not null and least <> most").select("key", "h", "own", F.expr("low <> h or high <> h").alias("probes")).distinct()
+    met = space.keep(met, "met")
+    index, probes = (met.where(side).select("key", "h").distinct() for side in ("own", "probes"))
 
     wanted = index.select("h").union(probes.select("h")).distinct()
     wanted = found.join(wanted, "h").select("h", "g", "n", "first.*")

@@ -111,3 +111,23 @@ def test_groups_of_near_lines_give_out_few_pairs(spark, monkeypatch):
     assert got == plain(rows, lines.EDITS, lines.LEAST_CHARS)
     assert sum(x[3] for x in got) > 75
     assert sizes[0] <= 12 * len(rows) and sizes[1] < 200
+
+
+def test_keys_of_segments_and_their_code(spark):
+    """Keys hash the pieces that plain slicing gives, and their code is small enough to be compiled."""
+    texts = ["a line of plain words", "eine Zeile mit Größe und ß", "x" * 22, "日本語の行がここにあります、二十字以上"]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "h long, line string, n int")
+    got = lines.segment_keys(rows, 2)
+    pieces = []
+    for h, t in enumerate(texts):
+        for less in range(3):
+            sizes = [(len(t) - less) // 3 + (i >= 3 - (len(t) - less) % 3) for i in range(3)]
+            for i in range(3):
+                for shift in range(max(-i, less - (2 - i)), min(i, less + (2 - i)) + 1):
+                    start = max(sum(sizes[:i]) + shift, 0)
+                    pieces.append((h, len(t) - less, i + 1, t[start : start + sizes[i]], not less and not shift))
+    want = spark.createDataFrame(pieces, "h long, n int, i int, piece string, own boolean")
+    want = want.selectExpr("h", "xxhash64(n, i, cast(piece as binary)) as key", "own")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    code = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
