@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,80 +12,146 @@ from pyspark.sql import types as T
 
 from songframe.operators import timeline as TL
 from songframe.operators.joins import points_in_intervals
-from songframe.session import cut_lineage
 
 TOLERANCES = (0.5, 3.0)
-# Seconds of points that one task matches at once; at least the largest tolerance.
+# Seconds of points that are summed up at once; at least the largest tolerance.
 MATCH_RUN = 64.0
+# Points in a row of a summary at most; stretches of points are scanned side by side.
+STRETCH = 256
+# What a stretch does: its points, bounds of the number waiting, pairs if none waits, and what waiting points of either side add at most.
+_EFFECT = ("estimated", "reference", "low", "high", "found", "of_estimates", "of_references")
+_MANY = 1 << 60
 # Seconds per cell in which intervals and the pieces they cover meet.
 OVERLAY_CELL = 64.0
 
 
-def _within_reach(seconds, side, count, tolerance) -> np.ndarray:
-    """How many points of the other side lie at most ``tolerance`` before each point.
+def _edges(columns: list[pa.Array]) -> np.ndarray:
+    """Where rows begin that differ from the row before in any of the columns; the first row always is one."""
+    fresh = np.zeros(len(columns[0]), dtype=bool)
+    fresh[:1] = True
+    for column in columns:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(fresh)
 
-    Points are in order of time, estimates before references of the same time.
-    """
-    est, ref = side == 0, side == 1
-    reach = np.zeros(len(seconds), dtype=np.int64)
-    for mine, other, until in ((est, ref, "left"), (ref, est, "right")):
-        times, total = seconds[other], np.concatenate(([0], np.cumsum(count[other])))
-        last = np.searchsorted(times, seconds[mine], side=until)
-        first = np.searchsorted(times, seconds[mine] - tolerance, side="left")
-        reach[mine] = total[last] - total[np.minimum(first, last)]
-    return reach
 
+def _reach(seconds, side, count, begin, tolerance: float) -> np.ndarray:
+    """How many points of the other side lie at most ``tolerance`` before each point of its run.
 
-def _run_arrays(rows: pa.Table):
-    """A run's points in order, with the points before it that may still be matched."""
-    seconds, side = rows.column("seconds").to_numpy(), rows.column("side").to_numpy()
-    order = np.lexsort((side, seconds))
-    count, own = rows.column("n").to_numpy()[order], rows.column("own").to_numpy()[order]
-    seconds, side = seconds[order], side[order]
-    reach = _within_reach(seconds, side, count, rows.column("tolerance")[0].as_py())
-    return side[own], count[own], reach[own]
+    Points are in order of run and time, estimates before references of the same time; ``begin`` is
+    where each point's run begins. All points are searched for at once.
+    """
+    low, high, wanted = begin.copy(), np.arange(len(seconds)), seconds - tolerance
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_]) >> 1
+        early = seconds[middle] < wanted[open_]
+        low[open_] = np.where(early, middle + 1, low[open_])
+        high[open_] = np.where(early, high[open_], middle)
+    at = np.arange(len(seconds))
+    ahead = [np.concatenate(([0], np.cumsum(np.where(side == i, count, 0)))) for i in (0, 1)]
+    return np.where(side == 0, ahead[1][at] - ahead[1][low], ahead[0][at] - ahead[0][low])
 
 
-def _waiting_after(side, count, reach) -> tuple[int, int, int]:
-    """What a run does to the number of points waiting: p becomes min(max(p + shift, low), high).
+def _scans(side, count, reach, begin, stop) -> tuple[np.ndarray, np.ndarray]:
+    """Points waiting after each stretch [begin, stop), and pairs found in it, if none, all or all of the other side wait before.
 
     Positive numbers are waiting estimates, negative ones waiting references; only one kind ever
     waits, and always its latest points. A point drops those out of reach and takes the others.
+    ``reach`` has a row per tolerance. All stretches go forward together, a point at a time.
     """
-    shift, low, high = 0, -(1 << 60), 1 << 60
-    for s, n, c in zip(side.tolist(), count.tolist(), reach.tolist(), strict=True):
-        if s == 0:
-            shift, low, high = shift + n, max(low, -c) + n, max(high, -c) + n
-        else:
-            shift, low, high = shift - n, min(low, c) - n, min(high, c) - n
-    return shift, low, high
-
-
-def _matches(side, count, reach, waiting: int) -> int:
-    found = 0
-    for s, n, c in zip(side.tolist(), count.tolist(), reach.tolist(), strict=True):
-        if s == 0:
-            waiting = max(waiting, -c)
-            found += min(n, max(0, -waiting))
-            waiting += n
-        else:
-            waiting = min(waiting, c)
-            found += min(n, max(0, waiting))
-            waiting -= n
-    return found
-
-
-def boundary_matches(
+    order = np.argsort(begin - stop, kind="stable")  # the longest first
+    begin, length = begin[order], (stop - begin)[order]
+    waiting = np.zeros((3, len(reach), len(begin)), dtype=np.int64)
+    waiting[1], waiting[2] = _MANY, -_MANY
+    found = np.zeros_like(waiting)
+    for t in range(int(length.max()) if len(length) else 0):
+        some = int(np.searchsorted(-length, -t))
+        at = begin[:some] + t
+        n, c, sign = count[at], reach[:, at], 1 - 2 * side[at]
+        # seen from the point's own side, what waits of the other side is negative
+        own = np.maximum(waiting[:, :, :some] * sign, -c)
+        found[:, :, :some] += np.minimum(n, np.maximum(0, -own))
+        waiting[:, :, :some] = (own + n) * sign
+    back = np.argsort(order)
+    return waiting[:, :, back], found[:, :, back]
+
+
+def _summed_up(keys: list[str], tolerances: tuple[float, ...]):
+    """Rows (keys, run, seconds, side, own, n), in order, to what each stretch of a run's own points does."""
+    group = [*keys, "run"]
+
+    def summary(rows: pa.RecordBatch) -> pa.RecordBatch:
+        seconds, side = (rows.column(c).to_numpy() for c in ("seconds", "side"))
+        count, own = rows.column("n").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False)
+        runs = _edges([rows.column(c) for c in group])
+        begin = np.repeat(runs, np.diff(np.append(runs, len(seconds))))
+        reach = np.stack([_reach(seconds, side, count, begin, x) for x in tolerances])
+        # a run's own points follow those before it, and are cut into stretches
+        mine = np.flatnonzero(own)
+        place = np.arange(len(mine))
+        head = np.flatnonzero(np.diff(begin[mine], prepend=-1))
+        part = (place - np.repeat(head, np.diff(np.append(head, len(mine))))) // STRETCH
+        cut = np.flatnonzero((np.diff(begin[mine], prepend=-1) != 0) | (np.diff(part, prepend=0) != 0))
+        side, count, reach = side[mine], count[mine], reach[:, mine]
+        waiting, found = _scans(side, count, reach, cut, np.append(cut[1:], len(mine)))
+        totals = [np.add.reduceat(np.where(side == i, count, 0), cut) if len(cut) else np.zeros(0, np.int64) for i in (0, 1)]
+        each = len(tolerances)
+        columns = [rows.column(c).take(pa.array(np.tile(mine[cut], each))) for c in group]
+        columns += [pa.array(np.tile(part[cut], each)), pa.array(np.repeat(np.array(tolerances, dtype=float), len(cut)))]
+        columns += [pa.array(np.tile(x, each)) for x in totals]
+        columns += [pa.array(x.ravel()) for x in (waiting[2], waiting[1], found[0], found[1] - found[0], found[2] - found[0])]
+        return pa.RecordBatch.from_arrays(columns, [*group, "part", "tolerance", *_EFFECT])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last run may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(_edges([batch.column(c) for c in group])[-1])
+            seam = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]) if held else None
+            if held and len(_edges([seam.column(c) for c in group])) > 1:
+                yield summary(pa.concat_batches(held))
+                held = []
+            if last:
+                yield summary(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield summary(pa.concat_batches(held))
+
+    return run
+
+
+def _chained(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds up the stretches of a key and tolerance: estimated, reference and matched points."""
+    effect = F.sort_array(F.collect_list(F.struct("run", "part", *_EFFECT)))
+    totals = [F.sum(c).alias(c) for c in ("estimated", "reference")]
+    lists = stretches.groupBy(*keys, "tolerance").agg(*totals, effect.alias("effects"))
+    zero = F.lit(0).cast("bigint")
+
+    def after(state, x):
+        before = state["waiting"]
+        taken = F.least(F.greatest(before, zero), x["of_estimates"]) + F.least(F.greatest(-before, zero), x["of_references"])
+        moved = F.least(F.greatest(before + x["estimated"] - x["reference"], x["low"]), x["high"])
+        return F.struct(moved.alias("waiting"), (state["matched"] + x["found"] + taken).alias("matched"))
+
+    start = F.struct(zero.alias("waiting"), zero.alias("matched"))
+    matched = F.aggregate("effects", start, after, lambda state: state["matched"])
+    return lists.select(*keys, "tolerance", "estimated", "reference", matched.alias("matched"))
+
+
+def boundary_counts(
     estimated: DataFrame, reference: DataFrame, keys: list[str],
     tolerances: tuple[float, ...] = TOLERANCES, run_seconds: float = MATCH_RUN,
 ) -> DataFrame:
-    """(keys, tolerance, matched): the most one-to-one pairs at most ``tolerance`` seconds apart.
+    """(keys, tolerance, estimated, reference, matched): points, and the most one-to-one pairs at most ``tolerance`` seconds apart.
 
     Both tables need the keys and ``seconds``. Taking each point's earliest partner in time order is
     optimal on a line. What such a scan carries along is the number of points that wait for a
-    partner, and a stretch of time changes that number by a shift between two bounds. Stretches are
-    therefore summed up apart, chained with one row each, and counted apart again: the result does
-    not depend on where they are cut. Equal points travel as one row with a count. Null times are
+    partner. A stretch of time changes that number by a shift between two bounds, and each point that
+    waits before it adds one pair up to a bound for its side, since later points reach all that
+    earlier ones do. Stretches are therefore summed up apart, once, and chained with one row each: the
+    result does not depend on where they are cut. Equal points travel as one row with a count. Null times are
     left out, as are keys without a point.
     """
     if run_seconds < max(tolerances):
@@ -92,44 +160,27 @@ def boundary_matches(
         df.filter(F.col("seconds").isNotNull()).select(*keys, F.col("seconds").cast("double").alias("seconds"), F.lit(i).alias("side"))
         for i, df in enumerate((estimated, reference))
     ]
-    points = sides[0].unionByName(sides[1]).groupBy(*keys, "seconds", "side").agg(F.count(F.lit(1)).alias("n"))
-    points = cut_lineage(points).withColumn("tolerance", F.explode(F.array(*[F.lit(float(x)) for x in tolerances])))
+    points = sides[0].unionByName(sides[1])
     run = F.floor(F.col("seconds") / run_seconds)
-    nearly = F.col("seconds") + F.col("tolerance") * 1.001 >= (run + 1) * run_seconds
+    nearly = F.col("seconds") + max(tolerances) * 1.001 >= (run + 1) * run_seconds
     placed = points.select("*", F.inline(F.array_compact(F.array(
         F.struct(run.alias("run"), F.lit(True).alias("own")),
         F.when(nearly, F.struct((run + 1).alias("run"), F.lit(False).alias("own"))),
     ))))
-    key_fields = [points.schema[k] for k in keys]
-    group = [*keys, "tolerance", "run"]
-    fields = [*key_fields, T.StructField("tolerance", T.DoubleType()), T.StructField("run", T.LongType())]
-
-    bounds = ("shift", "low", "high")
-
-    def effect(key: tuple, rows: pa.Table) -> pa.Table:
-        own = _waiting_after(*_run_arrays(rows))
-        return pa.table({**{name: [k.as_py()] for name, k in zip(group, key, strict=True)}, **{c: [x] for c, x in zip(bounds, own, strict=True)}})
+    # one shuffle serves the counts and the runs
+    placed = placed.repartition(*keys, "run").groupBy(*keys, "run", "seconds", "side", "own").agg(F.count(F.lit(1)).alias("n"))
+    placed = placed.sortWithinPartitions(*keys, "run", "seconds", "side")
+    fields = [*[points.schema[k] for k in keys], *[T.StructField(c, T.LongType()) for c in ("run", "part")]]
+    fields += [T.StructField("tolerance", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in _EFFECT]]
+    return _chained(placed.mapInArrow(_summed_up(keys, tolerances), T.StructType(fields)), keys)
 
-    effect_schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in bounds]])
-    effects = placed.groupBy(*group).applyInArrow(effect, effect_schema)
 
-    def chain(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("run")
-        waiting, states = 0, []
-        for shift, low, high in zip(*(rows.column(c).to_pylist() for c in bounds), strict=True):
-            states.append(waiting)
-            waiting = min(max(waiting + shift, low), high)
-        return rows.select(group).append_column("waiting", pa.array(states, pa.int64()))
-
-    states = effects.groupBy(*keys, "tolerance").applyInArrow(chain, T.StructType([*fields, T.StructField("waiting", T.LongType())]))
-
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
-        waiting = rows.column("waiting")[0].as_py()
-        found = _matches(*_run_arrays(rows), waiting)
-        return pa.table({**{name: [k.as_py()] for name, k in zip(group, key, strict=True)}, "matched": [found]})
-
-    counted = placed.join(states, group).groupBy(*group).applyInArrow(count, T.StructType([*fields, T.StructField("matched", T.LongType())]))
-    return counted.groupBy(*keys, "tolerance").agg(F.sum("matched").alias("matched"))
+def boundary_matches(
+    estimated: DataFrame, reference: DataFrame, keys: list[str],
+    tolerances: tuple[float, ...] = TOLERANCES, run_seconds: float = MATCH_RUN,
+) -> DataFrame:
+    """(keys, tolerance, matched) of ``boundary_counts``."""
+    return boundary_counts(estimated, reference, keys, tolerances, run_seconds).select(*keys, "tolerance", "matched")
 
 
 def boundary_quality(
@@ -137,16 +188,11 @@ def boundary_quality(
     tolerances: tuple[float, ...] = TOLERANCES, run_seconds: float = MATCH_RUN,
 ) -> DataFrame:
     """Precision, recall and F of boundaries per key and tolerance; null where there is nothing to divide by."""
-    size = lambda df, name: df.filter(F.col("seconds").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    sizes = size(estimated, "estimated").join(size(reference, "reference"), keys, "full")
-    sizes = sizes.withColumn("tolerance", F.explode(F.array(*[F.lit(float(x)) for x in tolerances])))
-    out = sizes.join(boundary_matches(estimated, reference, keys, tolerances, run_seconds), [*keys, "tolerance"], "left")
-    n = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
-    share = lambda a, b: F.when(b > 0, a / b)
-    return out.select(
-        *keys, "tolerance", n("estimated").alias("estimated"), n("reference").alias("reference"), n("matched").alias("matched"),
-        share(n("matched"), n("estimated")).alias("precision"), share(n("matched"), n("reference")).alias("recall"),
-        (2 * n("matched") / (n("estimated") + n("reference"))).alias("f_measure"),
+    matched = F.col("matched")
+    share = lambda of: F.when(F.col(of) > 0, matched / F.col(of))
+    return boundary_counts(estimated, reference, keys, tolerances, run_seconds).select(
+        *keys, "tolerance", "estimated", "reference", "matched", share("estimated").alias("precision"), share("reference").alias("recall"),
+        (2 * matched / (F.col("estimated") + F.col("reference"))).alias("f_measure"),
     )
 
 

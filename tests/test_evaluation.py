@@ -53,6 +53,42 @@ def test_a_run_has_to_span_the_tolerance(spark):
     assert EV.boundary_quality(df.limit(0), df.limit(0), ["song"]).count() == 0
 
 
+def scan(est, ref, tolerance):
+    """Earliest partners in time order, as the SQL walks."""
+    est, ref, i, j, found = sorted(est), sorted(ref), 0, 0, 0
+    while i < len(est) and j < len(ref):
+        if abs(est[i] - ref[j]) <= tolerance:
+            i, j, found = i + 1, j + 1, found + 1
+        elif est[i] < ref[j]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_runs_are_summed_up_once_and_cut_anywhere(spark, batch):
+    """Runs of many stretches that go on over batches; Spark forms no Python group per run or key."""
+    rng = random.Random(5)
+    songs = {}
+    for s, (a, b, span) in enumerate([(900, 900, 100), (1500, 300, 64), (40, 2000, 400), (700, 0, 70), (0, 300, 30), (600, 600, 5000)]):
+        songs[f"s{s}"] = [[rng.randint(0, span * 1000) / 1000 for _ in range(n)] for n in (a, b)]
+    # waiting points of one side pass through many stretches before the other side takes them
+    songs["late"] = [[3.0 + i / 1000 for i in range(800)] * 2, [5.9 + i / 500 for i in range(1000)]]
+    songs[None] = [[1.0], []]
+    est, ref = (spark.createDataFrame([(k, x) for k, v in songs.items() for x in v[i]], "song string, seconds double") for i in (0, 1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        out = EV.boundary_quality(est, ref, ["song"])
+        got = {(r.song, r.tolerance): (r.estimated, r.reference, r.matched) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(k, x): (len(a), len(b), scan(a, b, x)) for k, (a, b) in songs.items() for x in EV.TOLERANCES}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
+
+
 def test_overlay_and_agreement(spark):
     rng = random.Random(4)
     rows = []
