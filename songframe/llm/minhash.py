@@ -27,6 +27,8 @@ _U = np.uint64
 PAIRS_A_ROW = 2
 #: So many pairs are few anyway, and not worth a round.
 FEW_PAIRS = 1 << 12
+#: Up to so many ids of texts to compare go to the tasks that read the texts; with more of them all texts are shuffled.
+LISTED_IDS = 1 << 22
 #: Bits of the parity maps of sets of up to 512 shingles; they double whenever the size does.
 PARITY_BITS = 1 << 10
 
@@ -200,9 +202,11 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
     shared = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = space.keep(tables.join(shared, "key"), "shared")
     labels = space.keep(live.select("node").distinct().withColumn("comp", F.col("node")), "labels")
-    wanted = labels.select("node").join(nodes, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
+    known = F.coalesce("doc_id", F.lit(0))  # a few texts too many do no harm
+    wanted = space.keep(labels.select("node").join(nodes, "node").select(known.alias("wanted_id")).distinct(), "wanted")
+    listed = F.broadcast(wanted) if wanted.count() <= LISTED_IDS else wanted
     texts = (
-        source.join(wanted, F.expr("doc_id <=> wanted_id"), "left_semi").select("text").mapInArrow(_texts(banding.words), "node long, text string")
+        source.join(listed, known == F.col("wanted_id"), "left_semi").select("text").mapInArrow(_texts(banding.words), "node long, text string")
         .join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"])
     )
     texts = space.keep(texts, "texts")

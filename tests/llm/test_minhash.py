@@ -182,3 +182,28 @@ def test_small_groups_are_finished_in_one_round(spark, monkeypatch):
     got = sorted(tuple(r) for r in minhash.components(docs, banding).collect())
     assert got == plain(list(range(len(texts))), texts, banding)
     assert seen[0] > 0 and len(seen) > 1 and not any(seen[1:])
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_texts_that_are_not_compared_are_not_shuffled(spark, monkeypatch, listed):
+    """Only the texts of nodes that share a key leave the tasks that read them, also where Spark would not broadcast their ids."""
+    texts = near_copies()[:20] + [f"alone{i} " * 3 + f"and{i} only{i}" for i in range(30)]
+    ids = [None, 0, *range(5, 3 + len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    if not listed:
+        monkeypatch.setattr(minhash, "LISTED_IDS", 0)
+    kept, plans = minhash.Workspace.keep, {}
+
+    def watching(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(self, df, name)
+
+    monkeypatch.setattr(minhash.Workspace, "keep", watching)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [tuple(r) for r in minhash.components(docs, minhash.PRODUCTION).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = plain([1 << 40 if i is None else i for i in ids], texts, minhash.PRODUCTION)
+    assert sorted(got, key=str) == sorted(((None if i == 1 << 40 else i, n, least, kept) for i, n, least, kept in want), key=str)
+    assert ("BroadcastHashJoin [coalesce(doc_id" in plans["texts"]) == listed
