@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.llm.batches import mix, pieces, signed, windows, word_hashes, words
@@ -199,8 +199,9 @@ def components(docs: DataFrame, banding: Banding, doc_id: str = "doc_id", text:
         F.transform(F.slice("halves", 1, h), lambda x: F.transform(F.slice("halves", h + 1, h), lambda y: F.xxhash64(x, y)))
     )
     tables = nodes.select("node", "n", F.posexplode(keys).alias("no", "key"))
-    shared = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    live = space.keep(tables.join(shared, "key"), "shared")
+    # counted where the rows lie, so that they are shuffled once and need not be joined
+    shared = tables.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    live = space.keep(shared.select("key", "node", "n", "no"), "shared")
     labels = space.keep(live.select("node").distinct().withColumn("comp", F.col("node")), "labels")
     known = F.coalesce("doc_id", F.lit(0))  # a few texts too many do no harm
     wanted = space.keep(labels.select("node").join(nodes, "node").select(known.alias("wanted_id")).distinct(), "wanted")

@@ -207,3 +207,18 @@ def test_texts_that_are_not_compared_are_not_shuffled(spark, monkeypatch, listed
     want = plain([1 << 40 if i is None else i for i in ids], texts, minhash.PRODUCTION)
     assert sorted(got, key=str) == sorted(((None if i == 1 << 40 else i, n, least, kept) for i, n, least, kept in want), key=str)
     assert ("BroadcastHashJoin [coalesce(doc_id" in plans["texts"]) == listed
+
+
+def test_keys_are_shuffled_once(spark, monkeypatch):
+    kept, plans = minhash.Workspace.keep, {}
+
+    def watching(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(self, df, name)
+
+    monkeypatch.setattr(minhash.Workspace, "keep", watching)
+    texts = near_copies()[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.components(docs, minhash.PRODUCTION).collect())
+    assert got == plain(list(range(20)), texts, minhash.PRODUCTION)
+    assert plans["shared"].count("Exchange") == 1
